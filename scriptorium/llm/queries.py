@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import line_dedup, lm_score, quality, secrets, toxicity, url_filter
+from scriptorium.llm import decontaminate, line_dedup, lm_score, mixing, quality, secrets, toxicity, url_filter
 from scriptorium.llm._common import table
 
 
@@ -36,9 +36,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op7_secrets, op8_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle()}
+    return {"op4_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op9_decontamination": decontaminate.oracle()}
