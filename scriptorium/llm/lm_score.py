@@ -36,10 +36,10 @@ class Params:
     vocabulary: str | None = None
     held_out: int = 2
     folds: int = 7
-    rounds: int = 2
+    rounds: int = 1
     longest_piece: int = 12
     prior: float = 0.001
-    block_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
 
 
 def vocabulary(path: str | None, longest: int) -> tuple[list[bytes], np.ndarray]:

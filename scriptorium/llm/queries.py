@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontaminate, line_dedup, lm_score, mixing, quality, secrets, toxicity, url_filter
+from scriptorium.llm import decontaminate, line_dedup, lm_score, mixing, quality, secrets, simhash, toxicity, url_filter
 from scriptorium.llm._common import table
 
 
@@ -27,6 +27,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
