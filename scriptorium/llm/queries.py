@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, line_dedup, lm_score, mixing, quality, secrets, simhash, toxicity, url_filter
+from scriptorium.llm import decontaminate, graph_ann, line_dedup, lm_score, mixing, quality, secrets, simhash, toxicity, url_filter
 from scriptorium.llm._common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -49,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
