@@ -178,6 +178,8 @@ def searching(indexes: list[Index], schema: str):
                     place = np.minimum(np.searchsorted(index.universe, s[at]), len(index.universe) - 1)
                     same = index.universe[place] == s[at]
                     pair = np.unique(owner[at[same]].astype(np.int64) * len(index.universe) + place[same])
+                    if not len(pair):
+                        continue
                     docs_hit, cut = np.unique(pair // len(index.universe), return_index=True)
                     for d, found in zip(docs_hit.tolist(), np.split(pair % len(index.universe), cut[1:]), strict=True):
                         if len(found) >= index.least:
