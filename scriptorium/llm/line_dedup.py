@@ -4,7 +4,7 @@ A rolling hash over the hashes of the last `window` lines chooses where a chunk
 boundaries near it; a line of `long_words` or more words is a chunk of its own wherever it stands. Chunks of several lines
 and long lines are counted over all documents. The first occurrence (least doc_id, then position) stays; another is removed
 if its bytes equal the first's. Only built-in functions are used: the chunks of a text are built in its row, and what is
-shuffled are hashes, then the texts of repeated chunks alone, then each text once to be rebuilt.
+shuffled are hashes, then the texts of repeated chunks alone, and each text once to be rebuilt (one exchange serves both uses).
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def with_chunks(docs: DataFrame, p: Params) -> DataFrame:
-    """docs with __chunks: array of struct(pos, n_lines, n_words, text), in order; their texts joined by line feeds are the text."""
+def with_chunks(docs: DataFrame, p: Params, where: Column | None = None) -> DataFrame:
+    """docs with __chunks: array of struct(pos, n_lines, n_words, text), in order; their texts joined by line feeds are the text. Null where `where` doesn't hold."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    lines = lines if where is None else F.when(where, lines)
     out = docs.withColumn("__lines", F.transform(lines, lambda s: F.struct(s.alias("s"), words_in(s).alias("w"), F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long").alias("h"))))
 
     def ends(x: Column, i: Column) -> Column:
@@ -74,33 +75,30 @@ def dedup_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """
     p = p or Params()
     base = docs.drop("n_lines", "n_removed")
-    chunked = with_chunks(base.select("doc_id", "text"), p)
-    rows = (
-        chunked.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode(F.filter("__chunks", lambda c: candidate(c, p))).alias("c"))
-        .select("doc_id", F.col("c.pos").alias("pos"), F.xxhash64("c.text", F.length("c.text")).alias("h"), F.col("c.text").alias("chunk"))
-    )
-    repeated = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("h", "first")
-    repeated = materialize(repeated, "repeated-chunks")
-    first = rows.join(repeated.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")), ["h", "doc_id", "pos"], "left_semi")
-    first = first.groupBy("h").agg(F.min("chunk").alias("kept"))
-    marks = (
-        rows.join(repeated, "h")
-        .where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-        .join(first, "h")
-        .where(F.col("chunk") == F.col("kept"))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("pos", "h")).alias("__marks"))
-    )
-    out = with_chunks(base, p).join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    marked = lambda c: F.exists("__marks", lambda m: (m["pos"] == c["pos"]) & (m["h"] == F.xxhash64(c["text"], F.length(c["text"]))))
-    kept = F.when(F.col("__marks").isNull(), F.col("__chunks")).otherwise(F.filter("__chunks", lambda c: ~marked(c)))
+    known, unknown = base.where(F.col("doc_id").isNotNull()), base.where(F.col("doc_id").isNull())
+    rows = with_chunks(known.select("doc_id", "text"), p).select("doc_id", F.explode(F.filter("__chunks", lambda c: candidate(c, p))).alias("c"))
+    rows = materialize(rows.select("doc_id", F.col("c.pos").alias("pos"), _key(F.col("c.text")).alias("h")).distinct(), "line-chunks")
+    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).where("n > 1")
+    first = materialize(first.select("h", F.col("f.doc_id").alias("first_id"), F.col("f.pos").alias("first_pos")), "repeated-chunks")
+    # the bytes of each first occurrence, then those to each later one
+    own = first.groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first_pos").alias("pos"), "h")).alias("__own"))
+    kept = with_chunks(known.select("doc_id", "text").join(own, "doc_id"), p)
+    kept = kept.select(F.explode(F.filter("__chunks", lambda c: F.exists("__own", lambda m: (m["pos"] == c["pos"]) & (m["h"] == _key(c["text"]))))).alias("c"))
+    kept = kept.groupBy(_key(F.col("c.text")).alias("h")).agg(F.min("c.text").alias("kept"))
+    later = rows.join(first, "h").where(~((F.col("doc_id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))).select("h", "doc_id", "pos")
+    marks = later.join(kept, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kept")).alias("__marks"))
+    out = with_chunks(known.join(marks, "doc_id", "left"), p, F.col("__marks").isNotNull())
+    same = lambda c: F.exists("__marks", lambda m: (m["pos"] == c["pos"]) & (m["kept"] == c["text"]))
+    out = out.withColumn("__kept", F.filter("__chunks", lambda c: ~same(c)))
     lines = lambda x: F.aggregate(x, F.lit(0), lambda s, c: s + c["n_lines"])
-    out = out.withColumn("__kept", kept)
     text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
-    return out.withColumns({"text": text, "n_lines": lines(F.col("__chunks")), "n_removed": lines(F.col("__chunks")) - lines(F.col("__kept"))}).select(
-        *base.columns, "n_lines", "n_removed"
-    )
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    out = out.withColumns({"text": text, "n_lines": n_lines, "n_removed": F.coalesce(n_lines - lines(F.col("__kept")), F.lit(0))}).select(*base.columns, "n_lines", "n_removed")
+    return out.unionByName(unknown.withColumns({"n_lines": n_lines, "n_removed": F.lit(0)}))
+
+
+def _key(chunk: Column) -> Column:
+    return F.xxhash64(chunk, F.length(chunk))
 
 
 def oracle(p: Params | None = None, docs: str = "documents") -> str:
