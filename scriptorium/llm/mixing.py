@@ -30,6 +30,7 @@ class Params:
     block_words: int = 256
     least_blocks: int = 256
     shard_slots: int = 4096
+    task_slots: int = 1 << 18
     bucket_rows: int = 2000
     seed: int = 17
 
@@ -118,7 +119,9 @@ def _slots(sources: DataFrame, rows: list, p: Params) -> DataFrame:
                 yield pd.DataFrame({"sid": sid, "shard": shard, "slot": np.arange(n), "block": block})
 
     counts = sources.select("sid", "blocks", "slots").repartition("sid").mapInPandas(deal, "sid int, blocks long, shard long, n long, from long").where("n > 0")
-    return counts.repartition("sid", "shard").mapInPandas(take, "sid int, shard long, slot long, block long")
+    # a fixed number of tasks: the few rows that deal the slots would else meet in one
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(r[-1] for r in rows) // p.task_slots))
+    return counts.repartition(tasks, "sid", "shard").mapInPandas(take, "sid int, shard long, slot long, block long")
 
 
 def _pieces(placed: DataFrame) -> DataFrame:
