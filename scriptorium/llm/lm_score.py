@@ -282,7 +282,7 @@ def score_lm(docs: DataFrame, p: Params | None = None) -> DataFrame:
                 part = ws[k : k + 50_000]
                 yield pa.record_batch([pa.array([block] * len(part), type=pa.int64()), pa.array(part, type=pa.binary())], names=["block", "word"])
 
-    needed = own.select("block", "text").mapInArrow(distinct, "block long, word binary").join(known, "word").select("block", "word", "c", "lp")
+    needed = own.select("block", "text").mapInArrow(distinct, "block long, word binary").join(known.hint("merge"), "word").select("block", "word", "c", "lp")
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         place = {w: i for i, w in enumerate(right.column("word").to_pylist())}

@@ -145,7 +145,7 @@ def mix_sources(docs: DataFrame, p: Params | None = None) -> DataFrame:
     takes = _slots(sources, rows, p).groupBy("sid", "block").agg(F.count("*").alias("times"))
     taken = (
         _pieces(placed)
-        .join(takes, ["sid", "block"], "left")
+        .join(takes.hint("merge"), ["sid", "block"], "left")  # their number isn't known to the optimizer, so never broadcast
         .groupBy(*keys, "start")
         .agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
         .drop("start")
@@ -163,4 +163,4 @@ def mixed_blocks(docs: DataFrame, p: Params | None = None) -> DataFrame:
     cut = pieces.join(texts, (pieces["doc_id"].eqNullSafe(texts["doc_id"])) & pieces["source"].eqNullSafe(F.col("__s")) & (pieces["size"] == F.size("words")))
     cut = cut.select("sid", "block", "source", "start", F.array_join(F.slice("words", (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ").alias("part"))
     blocks = cut.groupBy("sid", "source", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "part"))), lambda x: x["part"]), " ").alias("text"))
-    return _slots(sources, rows, p).join(blocks, ["sid", "block"]).select("shard", F.col("slot"), "source", "block", "text")
+    return _slots(sources, rows, p).hint("merge").join(blocks, ["sid", "block"]).select("shard", F.col("slot"), "source", "block", "text")

@@ -207,7 +207,7 @@ def candidate_pairs(nodes: DataFrame, p: Params, limit: int) -> tuple[DataFrame,
     any_hot = not hot.isEmpty()
     cold = index.join(hot, "key", "left_anti") if any_hot else index
     other = cold.select("key", F.col("id").alias("other"), *[F.col(n).alias(n.replace("f", "g")) for n in names])
-    met = probes.join(other, "key").where((F.col("id") != F.col("other")) & (_apart(p.words) <= limit))
+    met = probes.join(other.hint("merge"), "key").where((F.col("id") != F.col("other")) & (_apart(p.words) <= limit))
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     if not any_hot:
         return pairs, None
