@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import let
+
 #: SI prefixes.
 PREFIXES = ("Y", "Z", "E", "P", "T", "G", "M", "k", "h", "da", "d", "c", "m", "u", "μ", "µ", "n", "p", "f", "a", "z", "y")
 #: Dimension: symbols that take a prefix; symbols that don't. Symbols of several words have no spaces.
@@ -102,8 +104,12 @@ def dimension(unit: Column, compat: bool = False) -> Column:
     Parts of a compound keep their case (compat: they are lower-cased first, so that upper-case prefixes fail).
     """
     table = symbols(compat)
-    u = cleaned(unit)
-    parts = F.transform(F.split(u, r"[/*]"), lambda p: F.regexp_replace(F.lower(p) if compat else p, r"^[()]+|[()]+$", ""))
-    compound = u.rlike(r"[/*]") & F.forall(parts, lambda p: (p == "") | _simple(p, table).isNotNull())
-    whole = F.element_at(F.create_map(*[F.lit(x) for s, (d, _) in table.items() for x in (s, d)]), F.lower(u))
-    return F.when(u == "", F.lit(None).cast("string")).otherwise(F.coalesce(whole, F.when(compound, F.lit("CompoundDimension")), F.when(~u.rlike(r"[/*]"), _simple(u, table))))
+    known = F.create_map(*[F.lit(x) for s, (d, _) in table.items() for x in (s, d)])
+
+    def of(u: Column) -> Column:
+        parts = F.transform(F.split(u, r"[/*]"), lambda p: F.regexp_replace(F.lower(p) if compat else p, r"^[()]+|[()]+$", ""))
+        compound = F.when(F.forall(parts, lambda p: (p == "") | _simple(p, table).isNotNull()), "CompoundDimension")
+        whole = F.element_at(known, F.lower(u))
+        return F.when(u != "", F.coalesce(whole, F.when(u.rlike(r"[/*]"), compound).otherwise(_simple(u, table))))
+
+    return let(cleaned(unit), of)

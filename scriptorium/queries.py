@@ -34,6 +34,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small file has come as fewer partitions; for operators whose cost is in the expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _LANG_SQL = "\n".join(
     f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in words.split())}))) AS n_{lang}," for lang, words in metadata.LANGUAGE_WORDS.items()
 )
@@ -246,7 +252,8 @@ def metric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MATH-01, MATH-04, STR-07: `Net weight = value unit [3].` with a citation."""
     unit = F.when(F.col("l_linenumber") % 3 == 0, "kg").when(F.col("l_linenumber") % 3 == 1, "mg/dL").otherwise("GWh")
     line = F.concat(F.lit("The net weight = "), F.round("l_quantity", 2).cast("string"), F.lit(" "), unit, F.lit(" [3]."))
-    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(metrics.extract_metrics(line, F.lit(1))).alias("m"))
+    rows = spread(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
+    rows = rows.select("l_orderkey", "l_linenumber", F.explode(metrics.extract_metrics(line, F.lit(1))).alias("m"))
     return rows.select("l_orderkey", "l_linenumber", "m.name", "m.value", "m.unit", "m.dimension")
 
 
