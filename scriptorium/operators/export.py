@@ -150,6 +150,19 @@ def json_ld() -> Column:
     )
 
 
+def json_graph(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, json: one `@graph` a document, of the document, its people, its nodes and its edges as statements."""
+    paper = F.to_json(F.struct(col("id").alias("@id"), col("type").alias("@type"), col("name"), col("description"), F.transform("authors", lambda a: F.struct(F.concat(lit("kg:person_"), identifier(F.lower(a["name"]))).alias("@id"))).alias("author")))
+    person = F.transform("authors", lambda a: F.to_json(F.struct(F.concat(lit("kg:person_"), identifier(F.lower(a["name"]))).alias("@id"), lit("Person").alias("@type"), a["name"].alias("name"))))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("j")))), lambda x: x["j"])
+    n = nodes.groupBy("doc_id").agg(ordered(F.to_json(F.struct(col("node_id").alias("@id"), col("type").alias("@type"), col("label").alias("name")))).alias("n"))
+    e = edges.groupBy("doc_id").agg(ordered(F.to_json(F.struct(col("src").alias("@id"), F.create_map(F.concat(lit("kg:"), col("type")), F.create_map(lit("@id"), col("dst"))).alias("statement")))).alias("e"))
+    none_yet = F.array().cast("array<string>")
+    out = docs.join(n, "doc_id", "left").join(e, "doc_id", "left")
+    parts = F.array_join(F.concat(F.array(paper), person, F.coalesce("n", none_yet), F.coalesce("e", none_yet)), ",")
+    return out.select("doc_id", F.concat(lit('{"@context":"https://schema.org","@graph":['), parts, lit("]}")).alias("json"))
+
+
 def html_head(tags: Column, json: Column, title: Column) -> Column:
     return F.concat(lit('<head>\n  <meta charset="UTF-8">\n  <title>'), escape_html(title), lit("</title>\n"), tags, lit('\n<script type="application/ld+json">\n'), json, lit("\n</script>\n</head>"))
 
@@ -224,7 +237,7 @@ def turtle_lines(docs: DataFrame, nodes: DataFrame | None = None, edges: DataFra
     return reduce(DataFrame.unionByName, out)
 
 
-PREAMBLE = "@prefix schema: <https://schema.org/> .\n@prefix kg: <https://knowledge-graph.dev/schema/> .\n@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n"
+PREAMBLE = "@prefix schema: <https://schema.org/> .\n@prefix kg: <urn:kg:> .\n@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n"
 
 
 def turtle(statements: DataFrame) -> DataFrame:
