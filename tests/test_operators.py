@@ -201,3 +201,20 @@ def test_partition_counts_do_not_matter(spark):
         results.append(chunks.stitch(chunks.page_blocks(chunks.lines_of(p))).orderBy("chunk_seq").collect())
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_reparsed_tables_find_their_pages(spark):
+    again = spark.createDataFrame([("d", 1, 4, None), ("d", 2, None, 7), ("d", 3, None, None)], "doc_id string, seq int, table_no int, page_idx int")
+    problems = spark.createDataFrame([("d", 5, 4), ("d", 7, 9), ("d", 8, 2)], "doc_id string, page_idx int, table_no int")
+    got = [(r["seq"], r["page_idx"]) for r in chunks.match_reparsed(again, problems).orderBy("seq").collect()]
+    assert got == [(1, 5), (2, 7), (3, 8)]
+
+
+def test_graph_json(spark):
+    import json
+
+    d = spark.createDataFrame([("d", "doc:1", ["Article"], "On Things", "An abstract", [("Ann Bee",)])], "doc_id string, id string, type array<string>, name string, description string, authors array<struct<name:string>>")
+    n = spark.createDataFrame([("d", 1, "kg:a", "kg:Concept", "a")], "doc_id string, seq int, node_id string, type string, label string")
+    e = spark.createDataFrame([("d", 1, "kg:a", "kg:b", "causes")], "doc_id string, seq int, src string, dst string, type string")
+    g = json.loads(export.json_graph(d, n, e).first()["json"])["@graph"]
+    assert [x["@id"] for x in g] == ["doc:1", "kg:person_ann_bee", "kg:a", "kg:a"] and g[3]["statement"] == {"kg:causes": {"@id": "kg:b"}}
