@@ -93,7 +93,10 @@ def dedup_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     lines = lambda x: F.aggregate(x, F.lit(0), lambda s, c: s + c["n_lines"])
     text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    out = out.withColumns({"text": text, "n_lines": n_lines, "n_removed": F.coalesce(n_lines - lines(F.col("__kept")), F.lit(0))}).select(*base.columns, "n_lines", "n_removed")
+    removed = F.coalesce(n_lines - lines(F.col("__kept")), F.lit(0))
+    # generated columns: a later filter on them would else be pushed below, and the chunks built again for each use
+    made = F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), removed.alias("n_removed"))))
+    out = out.select(*[c for c in base.columns if c != "text"], made).select(*base.columns, "n_lines", "n_removed")
     return out.unionByName(unknown.withColumns({"n_lines": n_lines, "n_removed": F.lit(0)}))
 
 
