@@ -20,7 +20,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; n_chars follows. Documents of nothing else go, unless they were empty before."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_runs(docs)
     out = out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

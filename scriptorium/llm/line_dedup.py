@@ -5,6 +5,9 @@ boundaries near it; a line of `long_words` or more words is a chunk of its own w
 and long lines are counted over all documents. The first occurrence (least doc_id, then position) stays; another is removed
 if its bytes equal the first's. Only built-in functions are used: the chunks of a text are built in its row, and what is
 shuffled are hashes, then the texts of repeated chunks alone, and each text once to be rebuilt (one exchange serves both uses).
+
+dedup_runs removes whole repeated passages besides: every run of lines that reaches `long_words` words, seen from either of its
+ends, is keyed by its content wherever it stands. All such runs within a repeated passage repeat as well and cover it.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ def words_in(text: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame, p: Params, where: Column | None = None) -> DataFrame:
-    """docs with __chunks: array of struct(pos, n_lines, n_words, text), in order; their texts joined by line feeds are the text. Null where `where` doesn't hold."""
+    """docs with __chunks: array of struct(pos, a (its first line), n_lines, n_words, text), in order; their texts joined by line feeds are the text. Null where `where` doesn't hold."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     lines = lines if where is None else F.when(where, lines)
     out = docs.withColumn("__lines", F.transform(lines, lambda s: F.struct(s.alias("s"), words_in(s).alias("w"), F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long").alias("h"))))
@@ -54,6 +57,7 @@ def with_chunks(docs: DataFrame, p: Params, where: Column | None = None) -> Data
         part = F.slice("__lines", start + 1, e - start + 1)
         return F.struct(
             k.alias("pos"),
+            start.alias("a"),
             F.size(part).alias("n_lines"),
             F.aggregate(part, F.lit(0), lambda s, x: s + x["w"]).alias("n_words"),
             F.array_join(F.transform(part, lambda x: x["s"]), "\n").alias("text"),
@@ -104,6 +108,65 @@ def _key(chunk: Column) -> Column:
     return F.xxhash64(chunk, F.length(chunk))
 
 
+def with_runs(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, a, b, k of the runs of lines [a, b) that are compared, and the key of their bytes.
+
+    From each line with words on the shortest run of `long_words` or more words, to each such line the shortest one that
+    ends with it, and the chunks of dedup_lines. Of each word the place of its line is held, so that both ends are look-ups.
+    """
+    reach = F.lit(p.long_words - 1)
+    out = with_chunks(docs.select("doc_id", "text"), p)
+    chunks = F.transform(F.filter("__chunks", lambda c: candidate(c, p)), lambda c: F.struct(c["a"].alias("a"), (c["a"] + c["n_lines"]).alias("b")))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    out = out.select("doc_id", chunks.alias("__chunks"), _digests(lines).alias("__d"), F.flatten(F.transform(lines, lambda s, i: F.array_repeat(i, words_in(s)))).alias("__at"))
+    at = lambda i: F.get("__at", i)
+    run = lambda first, last: F.struct(first.alias("a"), (last + 1).alias("b"))
+    onward = F.transform("__at", lambda x, i: F.when(((i == 0) | (at(i - 1) != x)) & (i + reach < F.size("__at")), run(x, at(i + reach))))
+    back = F.transform("__at", lambda x, i: F.when((i >= reach) & F.coalesce(at(i + 1) != x, F.lit(True)), run(at(i - reach), x)))
+    runs = F.array_distinct(F.concat(F.filter(onward, lambda r: r.isNotNull()), F.filter(back, lambda r: r.isNotNull()), "__chunks"))
+    out = out.select("doc_id", "__d", runs.alias("__runs"))
+    keyed = F.transform("__runs", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), _run_key(F.col("__d"), r["a"], r["b"]).alias("k")))
+    return out.select("doc_id", F.inline(keyed))
+
+
+def dedup_runs(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """As dedup_lines, but repeated passages go whole: each run of lines of `long_words` or more words that stands before, however it is laid out in lines.
+
+    What dedup_lines removes goes as well. The first occurrence stays: a run that overlaps its own first occurrence loses only
+    the lines behind it. Lines without words at either end of a passage, or between two lines of `long_words` words, stay.
+    """
+    p = p or Params()
+    base = docs.drop("n_lines", "n_removed")
+    known, unknown = base.where(F.col("doc_id").isNotNull()), base.where(F.col("doc_id").isNull())
+    rows = materialize(with_runs(known, p), "line-runs")
+    first = rows.groupBy("k").agg(F.min(F.struct("doc_id", "a", "b")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).where("f.doc_id <> l.doc_id or f.a <> l.a")
+    first = materialize(first.select("k", F.col("f.doc_id").alias("first_id"), F.col("f.a").alias("first_a"), F.col("f.b").alias("first_b")), "repeated-runs")
+    later = rows.join(first, "k").where("doc_id <> first_id or a <> first_a")
+    begin = F.when(F.col("doc_id") == F.col("first_id"), F.greatest("a", "first_b")).otherwise(F.col("a"))
+    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("k", "a", "b", begin.alias("c"))).alias("__marks"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    out = known.join(marks, "doc_id", "left").withColumn("__d", F.when(F.col("__marks").isNotNull(), _digests(lines)))
+    # rows that share a doc_id may differ in text
+    own = F.filter("__marks", lambda m: (m["c"] < m["b"]) & (_run_key(F.col("__d"), m["a"], m["b"]) == m["k"]))
+    gone = F.flatten(F.transform(own, lambda m: F.sequence(m["c"], m["b"] - 1)))
+    out = out.withColumn("__kept", F.when(F.col("__marks").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
+    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
+    n_lines = F.size(lines)
+    removed = F.when(F.col("__marks").isNull(), F.lit(0)).otherwise(n_lines - F.size("__kept"))
+    made = F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), removed.alias("n_removed"))))
+    out = out.withColumn("__lines", lines).select(*[c for c in base.columns if c != "text"], made).select(*base.columns, "n_lines", "n_removed")
+    return out.unionByName(unknown.withColumns({"n_lines": n_lines, "n_removed": F.lit(0)}))
+
+
+def _digests(lines: Column) -> Column:
+    return F.transform(lines, lambda s: F.sha2(s, 256))
+
+
+def _run_key(digests: Column, a: Column, b: Column) -> Column:
+    """128 bits of SHA-256 over the digests of lines [a, b): equal keys are equal bytes."""
+    return F.unhex(F.substring(F.sha2(F.array_join(F.slice(digests, a + 1, b - a), ""), 256), 1, 32))
+
+
 def oracle(p: Params | None = None, docs: str = "documents") -> str:
     """DuckDB SQL for doc_id, text, n_lines, n_removed."""
     p = p or Params()

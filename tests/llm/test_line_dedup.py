@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scriptorium.llm import line_dedup
 
 LONG = " ".join(f"w{i}" for i in range(60))
@@ -28,3 +29,28 @@ def test_repeats_within_a_document_null_ids_and_empty_tables(spark, docs):
     out = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(d).collect()]
     assert sorted(out, key=str) == sorted([(1, f"{LONG}\nmiddle"), (1, f"{LONG}\nmiddle"), (None, LONG)], key=str)
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+
+
+def test_passages_of_short_lines_go_whole(spark, docs):
+    rows = []
+    for t, (n, words) in enumerate([(2, 30), (2, 49), (3, 20), (4, 15), (6, 10), (10, 6), (24, 10)] * 20):
+        passage = [" ".join(f"t{t}l{i}w{k}" for k in range(words)) for i in range(n)]
+        rows += [(2 * t, "\n".join([f"head of {t}", *passage, f"tail of {t}"])), (2 * t + 1, "\n".join([f"other {t}", f"b{t}", *passage, f"end {t}"]))]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs(rows), "").collect()}
+    for t in range(len(rows) // 2):
+        assert out[2 * t] == rows[2 * t][1] and out[2 * t + 1] == f"other {t}\nb{t}\nend {t}"
+
+
+def test_runs_keep_first_occurrences_and_what_chunks_remove(spark, docs):
+    short = "ten words stand in this line and then no more"
+    rows = [(1, f"own\n{LONG}\n{LONG}"), (2, "\n".join([short] * 9)), (3, f"{LONG}\n\n{OTHER}"), (4, f"x\n{LONG}\n\n{OTHER}\n"), (5, None), (None, LONG), (6, ""), (6, f"new\n{LONG}")]
+    d = docs(rows).withColumn("n_lines", F.lit("clash"))
+    out = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_runs(d).collect()), key=str)
+    want = [(1, f"own\n{LONG}", 1), (2, "\n".join([short] * 5), 4), (3, f"\n{OTHER}", 1), (4, "x\n\n", 2), (5, None, 0), (None, LONG, 0), (6, "", 0), (6, "new", 1)]
+    assert out == sorted(want, key=str)
+    lines = [f"line {i} of them" for i in range(40)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["a", *lines[:12]])), (3, "\n".join([*lines[5:17], "b"]))]
+    chunks = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    runs = {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(docs(rows)).collect()}
+    assert all(set(runs[i].split("\n")) <= set(chunks[i].split("\n")) for i in runs)
+    assert line_dedup.dedup_runs(d.limit(0)).count() == 0
