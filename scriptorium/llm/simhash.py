@@ -80,15 +80,16 @@ def exact_hashes(text: str | None, k: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, p: Params) -> DataFrame:
-    """docs without text, with f0, f1 ... (long), the words of each text's fingerprint; a text without words has zeros."""
+def fingerprints(docs: DataFrame, p: Params, distinct: bool = False) -> DataFrame:
+    """docs without text, with f0, f1 ... (long), the words of each text's fingerprint; a text without words has zeros. distinct: each shingle counts once."""
+    hashes = (lambda t: np.unique(exact_hashes(t, p.shingle, p.seed))) if distinct else (lambda t: exact_hashes(t, p.shingle, p.seed))
     rest = docs.drop("text")
     names = [f"f{w}" for w in range(p.words)]
     schema = with_fields(rest, ", ".join(f"{n} long" for n in names))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint_words(exact_hashes(t.as_py(), p.shingle, p.seed), p.words) for t in batch.column("text")]
+            found = [fingerprint_words(hashes(t.as_py()), p.words) for t in batch.column("text")]
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
             yield pa.record_batch([*kept, *(pa.array([f[w] for f in found], type=pa.int64()) for w in range(p.words))], names=schema.names)
 
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, p: Params | None =
     first = classes.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
     copies = materialize(classes.join(first, ["h", "h2"]).select("doc_id", "first"), "copies")
     kept = copies.where("doc_id = first").select("doc_id").distinct()
-    nodes = materialize(fingerprints(base.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), p).dropDuplicates(["id"]), "nodes")
+    nodes = materialize(fingerprints(base.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), p, distinct=True).dropDuplicates(["id"]), "nodes")
     pairs, hot = candidate_pairs(nodes, p, int(NEAR_SHARE * 64 * p.words))
     zones = components(pairs if hot is None else pairs.unionByName(hot)).select(F.col("id").alias("doc_id"), F.col("component").alias("zone"))
     texts = base.join(zones, "doc_id").dropDuplicates(["doc_id"]).select("zone", F.col("doc_id").alias("id"), "text", F.length("text").alias("chars"))

@@ -93,3 +93,13 @@ def test_near_duplicates_against_brute_force(spark, docs):
         assert got == dict(enumerate(want))
     kept = [x["doc_id"] for x in simhash.drop_near_duplicates(docs(rows)).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(set(want)) and None in kept
+
+
+def test_repeated_phrases_do_not_rule_fingerprints(spark, docs):
+    r = random.Random(5)
+    rows = []
+    for g in range(20):
+        body, phrase = (" ".join(f"g{g}w{r.randrange(10**6)}" for _ in range(n)) for n in (300, 10))
+        rows += [(2 * g, f"{body} {phrase}"), (2 * g + 1, " ".join([body] + [phrase] * 60))]
+    got = {x["id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
