@@ -6,6 +6,10 @@ other are within t_i in at least one partition i, for any thresholds t_i >= -1 t
 number) choose the number of partitions and, by dynamic programming, the thresholds. Fingerprints are stored under their
 value in each partition; probes are all values within t_i; what meets is verified.
 
+Near copies differ in a binomial number of bits instead, so where a recall is stated, the programme chooses the cheapest
+thresholds by which a pair at the least similarity agrees within t_i in some partition with that probability. Recall is
+the same at every size; more fingerprints make partitions wider, and it is paid by more words and probes.
+
 A value that more than `hot` fingerprints share isn't joined pair by pair. All fingerprints that are stored under or probe
 such values form zones (connected through the shared values), and a zone is compared in blocks, each pair of blocks in one
 task that returns a spanning forest of its links instead of all pairs. No link is lost, and no task returns more rows
@@ -15,7 +19,7 @@ than it holds fingerprints.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +36,7 @@ from scriptorium.llm.decontaminate import shingle_hashes
 
 @dataclass(frozen=True)
 class Params:
-    """words: 64-bit words of a fingerprint. sample bounds the fingerprints from which counts are estimated; block_rows and block_chars what one task of a zone holds from either side."""
+    """words: 64-bit words of a fingerprint. sample bounds the fingerprints from which counts are estimated; block_rows and block_chars what one task of a zone holds from either side. recall: share of pairs at the similarity that is to be found, instead of max_bits."""
 
     shingle: int = 3
     words: int = 1
@@ -42,12 +46,16 @@ class Params:
     block_rows: int = 1024
     block_chars: int = 4 << 20
     seed: int = 42
+    recall: float | None = None
+    similarity: float = 0.8
 
 
-#: Five words and a Jaccard similarity of 0.8: fingerprints of 128 bits propose, shingle sets decide.
+#: Five words and a Jaccard similarity of 0.8: fingerprints propose, shingle sets decide. near_params adds the words that a recall takes.
 NEAR = Params(shingle=5, words=2, max_bits=15, hot=32)
 #: Pairs that share a partition go on to the comparison of shingle sets within this share of differing bits; at a similarity of 0.8 about 0.15 differ.
 NEAR_SHARE = 0.27
+#: Words that candidates are compared by, and the recall of near copies at the least similarity.
+NEAR_WORDS, NEAR_RECALL = 2, 0.99
 
 
 # ---- fingerprints
@@ -143,15 +151,89 @@ def thresholds(costs: list[list[float]], total: int) -> tuple[float, list[int]]
     return best.get(total)
 
 
+def narrowest(count: int) -> int:
+    """A partition has about as many values as there are fingerprints, or else most values would be hot."""
+    return min(32, max(8, math.ceil(math.log2(max(2, count))) - 2))
+
+
+def bit_rate(similarity: float) -> float:
+    """Share of bits in which texts of that Jaccard similarity differ, if they are equally long; less if not."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def agreeing(width: int, radius: int, rate: float) -> float:
+    """Probability that `radius` or fewer of so many bits differ."""
+    return sum(math.comb(width, r) * rate**r * (1 - rate) ** (width - r) for r in range(radius + 1))
+
+
+def recall_of(parts: list[tuple[list[int], int]], rate: float) -> float:
+    return 1 - math.prod(1 - agreeing(len(bits), t, rate) for bits, t in parts)
+
+
+def recalling(costs: list[list[float]], widths: list[int], p: Params, steps: int = 1000) -> tuple[float, list[int]] | None:
+    """costs[i][t + 1] is the cost of threshold t for partition i; the cheapest choice that reaches the recall."""
+    rate, need = bit_rate(p.similarity), -math.log(1 - p.recall)
+    gain = [[0, *(int(-math.log(1 - agreeing(w, t, rate)) / need * steps) for t in range(len(row) - 1))] for w, row in zip(widths, costs, strict=True)]
+    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    for row, gains in zip(costs, gain, strict=True):
+        new: dict[int, tuple[float, tuple]] = {}
+        for s, (cost, chosen) in best.items():
+            for k, c in enumerate(row):
+                to = min(steps, s + gains[k])
+                if to not in new or cost + c < new[to][0]:
+                    new[to] = (cost + c, (chosen, k - 1))
+        best = new
+    if steps not in best:
+        return None
+    cost, chosen = best[steps]
+    out = []
+    while chosen:
+        chosen, t = chosen
+        out.append(t)
+    return cost, out[::-1]
+
+
+def near_params(count: int, similarity: float, recall: float = NEAR_RECALL) -> Params:
+    """NEAR with as many words as reach the recall at the least cost: rows of the index and of probes, and the words themselves."""
+    best = None
+    for words in (2, 3, 4, 6, 8, 12, 16, 24, 32):
+        p = replace(NEAR, words=words, recall=recall, similarity=similarity)
+        width = narrowest(count)
+        row = [0.0, *(1 + ball(width, t) for t in range(4) if ball(width, t) <= 6000)]
+        parts = 64 * words // width
+        got = recalling([row] * parts, [width] * parts, p)
+        if got and (best is None or got[0] + 10 * words < best[0]):
+            best = (got[0] + 10 * words, p)
+    if best is None:
+        raise ValueError("no number of words reaches this recall")
+    return best[1]
+
+
+def recall_plan(bits: np.ndarray, count: int, p: Params) -> list[tuple[list[int], int]]:
+    """Partitions of neighbouring bits, which are independent for a pair, and their thresholds."""
+    some, width = bits[: min(len(bits), 256)], narrowest(count)
+    cuts = np.linspace(0, bits.shape[1], bits.shape[1] // width + 1).astype(int).tolist()
+    groups = [list(range(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    costs = []
+    for g in groups:
+        apart = (some[:, None, g] != bits[None, :, g]).sum(axis=2)
+        others = [((apart <= t).sum() - len(some)) / apart.size for t in range(4)]  # without each one's meeting itself
+        costs.append([0.0, *(1 + ball(len(g), t) + 0.05 * share * count for t, share in enumerate(others) if ball(len(g), t) <= 6000)])
+    got = recalling(costs, [len(g) for g in groups], p)
+    if got is None:
+        raise ValueError("no thresholds for this recall")
+    return [(g, t) for g, t in zip(groups, got[1], strict=True) if t >= 0]
+
+
 def plan(sample: np.ndarray, count: int, p: Params) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed. count: all fingerprints."""
     bits = bit_matrix(sample) if len(sample) else np.zeros((1, 64 * p.words), dtype=np.uint8)
+    if p.recall is not None:
+        return recall_plan(bits, count, p)
     width = 64 * p.words
     some = bits[: min(len(bits), 256)]
     best = None
-    # a partition has about as many values as there are fingerprints, or else most values would be hot
-    narrowest = min(32, max(8, math.ceil(math.log2(max(2, count))) - 2))
-    for parts in range(max(1, -(-width // 32)), max(-(-width // 32), min(width // narrowest, p.max_bits + 2)) + 1):
+    for parts in range(max(1, -(-width // 32)), max(-(-width // 32), min(width // narrowest(count), p.max_bits + 2)) + 1):
         groups = grouped_bits(bits, parts)
         costs = []
         for g in groups:
@@ -170,7 +252,13 @@ def plan(sample: np.ndarray, count: int, p: Params) -> list[tuple[list[int], int
 
 
 def _value(bits: list[int]) -> Column:
-    parts = [F.shiftleft(F.shiftrightunsigned(F.col(f"f{b // 64}"), b % 64).bitwiseAND(F.lit(1)), j) for j, b in enumerate(bits)]
+    runs: list[list[int]] = []  # place in the value, first bit, number of neighbouring bits of one word
+    for j, b in enumerate(bits):
+        if runs and b == runs[-1][1] + runs[-1][2] and b % 64:
+            runs[-1][2] += 1
+        else:
+            runs.append([j, b, 1])
+    parts = [F.shiftleft(F.shiftrightunsigned(F.col(f"f{b // 64}"), b % 64).bitwiseAND(F.lit((1 << n) - 1).cast("long")), j) for j, b, n in runs]
     out = parts[0]
     for x in parts[1:]:
         out = out.bitwiseOR(x)
@@ -191,7 +279,7 @@ def _probes(value: Column, masks: list[int], even: int) -> Column:
 
 
 def candidate_pairs(nodes: DataFrame, p: Params, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """nodes: id and distinct fingerprints. Pairs a, b within the limit that share a cold value; and, if any value is hot, edges a, b of the zones."""
+    """nodes: id and distinct fingerprints. Pairs a, b within the limit (by the first NEAR_WORDS words) that share a cold value; and, if any value is hot, edges a, b of the zones."""
     count = nodes.count()
     names = [f"f{w}" for w in range(p.words)]
     rows = nodes.select(*names).orderBy(F.xxhash64(*names), *names).limit(p.sample).toPandas()
@@ -202,13 +290,14 @@ def candidate_pairs(nodes: DataFrame, p: Params, limit: int) -> tuple[DataFrame,
         masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(len(bits)), r)]
         stored.append(value)
         probed.append(_probes(value, masks, i.bit_count() % 2))
+    names = names[:NEAR_WORDS]
     index = nodes.select("id", *names, F.explode(F.array(*stored)).alias("key"))
     probes = nodes.select("id", *names, F.explode(F.flatten(F.array(*probed))).alias("key"))
     hot = materialize(index.groupBy("key").count().where(F.col("count") > p.hot).select("key"), "hot-values")
     any_hot = not hot.isEmpty()
     cold = index.join(hot, "key", "left_anti") if any_hot else index
     other = cold.select("key", F.col("id").alias("other"), *[F.col(n).alias(n.replace("f", "g")) for n in names])
-    met = probes.join(other.hint("merge"), "key").where((F.col("id") != F.col("other")) & (_apart(p.words) <= limit))
+    met = probes.join(other.hint("merge"), "key").where((F.col("id") != F.col("other")) & (_apart(len(names)) <= limit))
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     if not any_hot:
         return pairs, None
@@ -342,7 +431,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, p: Params | None =
     Texts are compared by their distinct five-word shingles with A-Z lower-cased; texts without words are copies of each
     other. Documents of equal word sequence are one class before anything else. Rows whose doc_id is null take no part.
     """
-    p = p or NEAR
     small_batches(docs.sparkSession)
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.array_join(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x20\x09-\x0D]+)"), 1), " ")
@@ -351,8 +439,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, p: Params | None =
     first = classes.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
     copies = materialize(classes.join(first, ["h", "h2"]).select("doc_id", "first"), "copies")
     kept = copies.where("doc_id = first").select("doc_id").distinct()
+    p = p or near_params(kept.count(), similarity)
     nodes = materialize(fingerprints(base.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), p, distinct=True).dropDuplicates(["id"]), "nodes")
-    pairs, hot = candidate_pairs(nodes, p, int(NEAR_SHARE * 64 * p.words))
+    pairs, hot = candidate_pairs(nodes, p, int(NEAR_SHARE * 64 * min(p.words, NEAR_WORDS)))
     zones = components(pairs if hot is None else pairs.unionByName(hot)).select(F.col("id").alias("doc_id"), F.col("component").alias("zone"))
     texts = base.join(zones, "doc_id").dropDuplicates(["doc_id"]).select("zone", F.col("doc_id").alias("id"), "text", F.length("text").alias("chars"))
     found = components(linked_by_sets(texts, p, similarity))

@@ -103,3 +103,16 @@ def test_repeated_phrases_do_not_rule_fingerprints(spark, docs):
         rows += [(2 * g, f"{body} {phrase}"), (2 * g + 1, " ".join([body] + [phrase] * 60))]
     got = {x["id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows)).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
+
+
+def test_recall_does_not_depend_on_the_count():
+    rate, r = simhash.bit_rate(0.8), np.random.default_rng(2)
+    assert abs(rate - 0.1515) < 0.001
+    for count in (10, 10**3, 10**5, 10**6, 10**7, 10**8):
+        p = simhash.near_params(count, 0.8)
+        parts = simhash.plan(r.integers(-(2**62), 2**62, (300, p.words)), count, p)
+        assert all(len(bits) >= simhash.narrowest(count) for bits, _ in parts)
+        assert simhash.recall_of(parts, rate) >= 0.99
+        apart = r.random((4000, 64 * p.words)) < rate
+        found = np.any([apart[:, bits].sum(axis=1) <= t for bits, t in parts], axis=0)
+        assert found.mean() >= 0.983
