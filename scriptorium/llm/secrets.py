@@ -26,11 +26,11 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more; as runs are taken
 
 #: Weak candidates: of these one alone says nothing.
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})|\bAKIA[A-Z0-9]{8,13}\b""", re.IGNORECASE | re.ASCII)
-SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])|\b(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,64}={0,2}(?![A-Za-z0-9+/=])""", re.ASCII | re.IGNORECASE)
+SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])|\b(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=])""", re.ASCII | re.IGNORECASE)
 ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s"'<>]+|\b(?:endpoint|host|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", re.IGNORECASE | re.ASCII)
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: A text without any of these has no weak candidate that a complement could confirm.
-HINT = re.compile(r"[:=]")
+HINT = re.compile(r"[:=]|AKIA", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
