@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,13 +15,20 @@ from pyspark.sql.types import StructType
 BATCH_ROWS, BATCH_BYTES, PASS_CHARS = 2000, 8 << 20, 1 << 20
 
 
+_own: dict[str, str] = {}
+_written: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of our own only where none is named."""
+    """The folder that driver and executors share, as the cluster names it. Where none is named: a temporary one in local mode, else one in the warehouse, which is shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='scratch-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{app}"
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,9 +36,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """Number of scratch tables so far; a mark for clear_scratch."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables that this driver wrote after the mark, but the last `keep`; nothing lazy may still read them."""
+    gone, _written[since:] = _written[since : len(_written) - keep], _written[len(_written) - keep :]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows that share a doc_id apart by their text; null is as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once; long texts would else make batches of gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -134,17 +160,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, most: int) -> DataFrame:
-    """At most `most` labelled texts outside the held-out fold, those with the least hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, most: int, chars: int) -> DataFrame:
+    """At most `most` labelled documents outside the held-out fold, those with the least hash of doc_id, as long as their texts have `chars` characters or fewer in all.
 
-    Of several labels for one document the largest counts; null labels and ids are dropped. Columns: text, y.
+    A label above 0 counts as 1, any other as 0; of several labels for one document the largest counts; null labels and ids
+    are dropped. Columns: k (a hash that orders the rows), text, y.
     """
     ids = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+        labels.select(F.col("doc_id").alias("id"), (F.col(label) > 0).cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("id"), folds) != held_out))
         .groupBy("id")
         .agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = materialize(own.join(F.broadcast(ids), "id"), "labelled-sample")
+    # the window runs over `most` ids at most
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = sample.groupBy("id").agg(F.sum(F.length("text")).alias("n")).withColumn("upto", upto).where(F.col("upto") <= chars).select("id")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else the few rows would be one task's
+    return sample.join(F.broadcast(within), "id").select(F.xxhash64("id", "text").alias("k"), "text", "y").repartition(tasks, "k")

@@ -10,10 +10,9 @@ Near copies differ in a binomial number of bits instead, so where a recall is st
 thresholds by which a pair at the least similarity agrees within t_i in some partition with that probability. Recall is
 the same at every size; more fingerprints make partitions wider, and it is paid by more words and probes.
 
-A value that more than `hot` fingerprints share isn't joined pair by pair. All fingerprints that are stored under or probe
-such values form zones (connected through the shared values), and a zone is compared in blocks, each pair of blocks in one
-task that returns a spanning forest of its links instead of all pairs. No link is lost, and no task returns more rows
-than it holds fingerprints.
+A value that more than `hot` fingerprints share isn't joined pair by pair. All fingerprints that are stored under such a
+value or probe it are compared in blocks, each pair of blocks in one task, which returns a spanning forest of its links
+instead of all pairs. No link is lost, and no task returns more rows than it holds fingerprints.
 """
 
 from __future__ import annotations
@@ -26,25 +25,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import byte_texts, lowered, materialize, mixed, passes, small_batches, with_fields, word_hashes
+from scriptorium.llm._common import byte_texts, materialize, mixed, passes, small_batches, text_key, with_fields, word_hashes
 from scriptorium.llm._components import components
 from scriptorium.llm.decontaminate import shingle_hashes
 
 
 @dataclass(frozen=True)
 class Params:
-    """words: 64-bit words of a fingerprint. sample bounds the fingerprints from which counts are estimated; block_rows and block_chars what one task of a zone holds from either side. recall: share of pairs at the similarity that is to be found, instead of max_bits."""
+    """words: 64-bit words of a fingerprint. sample bounds the fingerprints from which counts are estimated; block_rows and block_chars what one task holds from either side. recall: share of pairs at the similarity that is to be found, instead of max_bits."""
 
     shingle: int = 3
     words: int = 1
     max_bits: int = 2
     hot: int = 64
     sample: int = 2048
-    block_rows: int = 1024
-    block_chars: int = 4 << 20
+    block_rows: int = 4096
+    block_chars: int = 8 << 20
     seed: int = 42
     recall: float | None = None
     similarity: float = 0.8
@@ -63,19 +62,20 @@ NEAR_WORDS, NEAR_RECALL = 2, 0.99
 
 def fingerprint_words(hashes: np.ndarray, words: int) -> list[int]:
     """Bit j is 1 if it is 1 in over half the hashes. The second and further words come from remixed hashes."""
-    out = []
-    for w in range(words):
-        h = hashes if w == 0 else mixed(hashes + np.uint64(w))
-        total = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(h), 1 << 16):
-            total += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0)
-    return out
-
-
-def exact_hashes(text: str | None, k: int, seed: int) -> np.ndarray:
+    if not len(hashes):
+        return [0] * words
+    total = np.zeros(64 * words, dtype=np.int64)
+    step = max(1, (1 << 16) // words)
+    for k in range(0, len(hashes), step):
+        h = hashes[k : k + step, None]
+        if words > 1:
+            h = np.concatenate((h, mixed(h + np.arange(1, words, dtype=np.uint64))), axis=1)
+        total += np.unpackbits(np.ascontiguousarray(h, dtype="<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def exact_hashes(words: list[bytes], k: int, seed: int) -> np.ndarray:
     """XXH64 of each k-word shingle, repeats included; of the whole sequence if it is shorter."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
@@ -88,22 +88,60 @@ def exact_hashes(text: str | None, k: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, p: Params, distinct: bool = False) -> DataFrame:
-    """docs without text, with f0, f1 ... (long), the words of each text's fingerprint; a text without words has zeros. distinct: each shingle counts once."""
-    hashes = (lambda t: np.unique(exact_hashes(t, p.shingle, p.seed))) if distinct else (lambda t: exact_hashes(t, p.shingle, p.seed))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprints(docs: DataFrame, p: Params) -> DataFrame:
+    """docs without text, with f0, f1 ... (long), the words of each text's fingerprint; a text without words has zeros."""
     rest = docs.drop("text")
     names = [f"f{w}" for w in range(p.words)]
     schema = with_fields(rest, ", ".join(f"{n} long" for n in names))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint_words(hashes(t.as_py()), p.words) for t in batch.column("text")]
+            found = [fingerprint_words(exact_hashes(words_of(t.as_py()), p.shingle, p.seed), p.words) for t in batch.column("text")]
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
             yield pa.record_batch([*kept, *(pa.array([f[w] for f in found], type=pa.int64()) for w in range(p.words))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def text_classes(docs: DataFrame, p: Params) -> DataFrame:
+    """docs without text, with chars, h and h2 (128 bits that stand for the word sequence), and the fingerprint over distinct shingles.
+
+    All of it comes from one pass over the texts. In a run of equal texts the fingerprint is made once.
+    """
+    rest = docs.drop("text")
+    names = [f"f{w}" for w in range(p.words)]
+    schema = with_fields(rest, "chars long, h long, h2 long, " + ", ".join(f"{n} long" for n in names))
+
+    def run(batches):
+        for batch in batches:
+            chars, keys, prints, made = [], ([], []), [], {}
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                words = words_of(text)
+                both = xxhash.xxh3_128_intdigest(b" ".join(words))
+                if both not in made:
+                    data, _ = byte_texts([text])
+                    h = word_hashes(data)[2]
+                    made[both] = fingerprint_words(np.unique(shingle_hashes(h, min(p.shingle, len(h)))), p.words) if len(h) else [0] * p.words
+                chars.append(len(text))
+                keys[0].append(signed(both >> 64))
+                keys[1].append(signed(both & (2**64 - 1)))
+                prints.append(made[both])
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
+            columns = [chars, *keys, *([f[w] for f in prints] for w in range(p.words))]
+            yield pa.record_batch([*kept, *(pa.array(c, type=pa.int64()) for c in columns)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 # ---- partitions and thresholds
 
 
@@ -278,8 +316,8 @@ def _probes(value: Column, masks: list[int], even: int) -> Column:
     return F.transform(F.when(F.bit_count(value) % 2 == even, every).otherwise(some), lambda m: value.bitwiseXOR(m))
 
 
-def candidate_pairs(nodes: DataFrame, p: Params, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """nodes: id and distinct fingerprints. Pairs a, b within the limit (by the first NEAR_WORDS words) that share a cold value; and, if any value is hot, edges a, b of the zones."""
+def links(nodes: DataFrame, p: Params, limit: int) -> DataFrame:
+    """nodes: id and distinct fingerprints. Edges a, b within the limit (by the first NEAR_WORDS words): of all nodes that share a value, pairs where it is cold and a spanning forest of each two blocks where it is hot."""
     count = nodes.count()
     names = [f"f{w}" for w in range(p.words)]
     rows = nodes.select(*names).orderBy(F.xxhash64(*names), *names).limit(p.sample).toPandas()
@@ -300,56 +338,55 @@ def candidate_pairs(nodes: DataFrame, p: Params, limit: int) -> tuple[DataFrame,
     met = probes.join(other.hint("merge"), "key").where((F.col("id") != F.col("other")) & (_apart(len(names)) <= limit))
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     if not any_hot:
-        return pairs, None
-    members = index.join(hot, "key", "left_semi").select("key", "id").unionByName(probes.join(hot, "key", "left_semi").select("key", "id"))
-    members = materialize(members.distinct(), "hot-members")
-    least = members.groupBy("key").agg(F.min("id").alias("a"))
-    return pairs, members.join(least, "key").select("a", F.col("id").alias("b"))
+        return pairs
+    members = index.join(hot, "key", "left_semi").unionByName(probes.join(hot, "key", "left_semi")).distinct()
+    members = materialize(members.withColumnRenamed("key", "zone"), "hot-members")
+    return pairs.unionByName(linked_by_bits(members, len(names), limit, p))
 
 
-# ---- zones
+# ---- blocks
 
 
-def forest(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    up = list(range(n))
+class Forest:
+    """Labels of nodes 0 to n - 1 and the edges that joined two labels."""
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
 
-    out = []
-    for a, b in links:
-        x, y = root(a), root(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Edges from i to others; only those that join two trees are kept."""
+        other, at = np.unique(self.label[others], return_index=True)
+        for x, j in zip(other.tolist(), others[at].tolist(), strict=True):
+            if x != self.label[i]:
+                self.edges.append((i, j))
+                self.label[self.label == x] = self.label[i]
+
+    def frame(self, ids: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": ids[[a for a, _ in self.edges]], "b": ids[[b for _, b in self.edges]]}, dtype="int64")
 
 
 def in_blocks(zones: DataFrame, p: Params, chars: str | None) -> DataFrame:
-    """zones: zone, id and more. Each row for every pair of blocks (x <= y) that its own block is part of; columns x, y, own."""
+    """zones: zone, id and more. Each row for every pair of blocks (x <= y) that its own block is part of; columns x, y."""
     size = zones.groupBy("zone").agg(F.count("*").alias("n"), (F.sum(chars) if chars else F.lit(0)).alias("c")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / p.block_rows), F.ceil(F.col("c") / p.block_chars)).cast("int")
     out = zones.join(size.select("zone", blocks.alias("blocks")), "zone")
     out = out.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("own", "o"), "y": F.greatest("own", "o")}).drop("o", "blocks")
+    return out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("own", "o"), "y": F.greatest("own", "o")}).drop("o", "own", "blocks")
 
 
-def linked_by_bits(zones: DataFrame, p: Params) -> DataFrame:
-    """A spanning forest of each pair of blocks, over links of max_bits or fewer differing bits."""
-    names = [f"f{w}" for w in range(p.words)]
+def linked_by_bits(zones: DataFrame, words: int, limit: int, p: Params) -> DataFrame:
+    """A spanning forest of each pair of blocks of a zone, over links of `limit` or fewer differing bits."""
+    names = [f"f{w}" for w in range(words)]
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
-        ids, data = f["id"].to_numpy(), f[names].to_numpy(dtype=np.int64).view(np.uint64)
-        links = []
+        data = f[names].to_numpy(dtype=np.int64).view(np.uint64)
+        got = Forest(len(f))
         for i in range(len(f) - 1):
-            near = np.bitwise_count(data[i + 1 :] ^ data[i]).sum(axis=1, dtype=np.int64) <= p.max_bits
-            links += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-        got = forest(len(f), links)
-        return pd.DataFrame({"a": ids[[a for a, _ in got]], "b": ids[[b for _, b in got]]}, dtype="int64")
+            near = np.flatnonzero(np.bitwise_count(data[i + 1 :] ^ data[i]).sum(axis=1, dtype=np.int64) <= limit)
+            if len(near):
+                got.join(i, near + i + 1)
+        return got.frame(f["id"].to_numpy())
 
     return in_blocks(zones, p, None).groupBy("zone", "x", "y").applyInPandas(compare, "a long, b long")
 
@@ -367,12 +404,12 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def linked_by_sets(zones: DataFrame, p: Params, similarity: float) -> DataFrame:
-    """A spanning forest of each pair of blocks, over links of that Jaccard similarity or more; counted by postings."""
+def linked_by_sets(blocks: DataFrame, p: Params, similarity: float) -> DataFrame:
+    """blocks: zone, x, y, id, text. A spanning forest of each pair of blocks, over links of that Jaccard similarity or more; counted by postings."""
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        ids, sets = f["id"].to_numpy(), shingle_sets(f["text"].tolist(), p.shingle)
+        f = f.drop_duplicates("id").sort_values("id")
+        sets = shingle_sets(f["text"].tolist(), p.shingle)
         sizes = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), sizes)
         values, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -382,19 +419,23 @@ def linked_by_sets(zones: DataFrame, p: Params, similarity: float) -> DataFrame:
         posting = owner[order]
         begin = np.searchsorted(place[order], np.arange(len(values) + 1))
         cut = np.searchsorted(owner, np.arange(len(sets) + 1))
-        links = []
+        got = Forest(len(sets))
         for i in range(len(sets)):
             own = place[cut[i] : cut[i + 1]]
             if len(own) >= similarity * sizes[i]:
-                lengths = begin[own + 1] - begin[own]
-                at = np.repeat(begin[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                common = np.bincount(posting[at], minlength=len(sets))
-                same = common >= similarity * (sizes + sizes[i] - common) - 1e-9
-                links += [(i, j) for j in np.flatnonzero(same & (common > 0)).tolist() if j > i]
-        got = forest(len(sets), links)
-        return pd.DataFrame({"a": ids[[a for a, _ in got]], "b": ids[[b for _, b in got]]}, dtype="int64")
+                common = np.zeros(len(sets), dtype=np.int64)
+                for k in range(0, len(own), 4096):
+                    part = own[k : k + 4096]
+                    lengths = begin[part + 1] - begin[part]
+                    at = np.repeat(begin[part] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                    common += np.bincount(posting[at], minlength=len(sets))
+                same = (common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (common > 0)
+                same[: i + 1] = False
+                if same.any():
+                    got.join(i, np.flatnonzero(same))
+        return got.frame(f["id"].to_numpy())
 
-    return in_blocks(zones, p, "chars").groupBy("zone", "x", "y").applyInPandas(compare, "a long, b long")
+    return blocks.groupBy("zone", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 # ---- operators
@@ -413,12 +454,7 @@ def simhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     own = materialize(fingerprints(docs.select("doc_id", "text"), p), "fingerprints")
     nodes = materialize(own.groupBy(F.col("f0").alias("id")).agg(F.min("doc_id").alias("least")).withColumn("f0", F.col("id")), "nodes")
-    pairs, hot = candidate_pairs(nodes.select("id", "f0"), p, p.max_bits)
-    links = pairs
-    if hot is not None:
-        zones = components(hot).select("id", F.col("component").alias("zone"), F.col("id").alias("f0"))
-        links = pairs.unionByName(linked_by_bits(zones, p))
-    found = components(links)
+    found = components(links(nodes.select("id", "f0"), p, p.max_bits))
     named = nodes.join(found, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select(F.col("id").alias("f0"), "component_id")
@@ -426,33 +462,41 @@ def simhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, p: Params | None = None) -> DataFrame:
-    """id (doc_id), class_id for each document that is a copy or near copy of another: class_id is the least doc_id of its group.
+    """doc_id, text_key, class_id, class_key for each document: the class is named by the first of its group (least doc_id, then text_key).
 
-    Texts are compared by their distinct five-word shingles with A-Z lower-cased; texts without words are copies of each
-    other. Documents of equal word sequence are one class before anything else. Rows whose doc_id is null take no part.
+    A document is a doc_id with a text: rows that share a doc_id and differ in text are two, told apart by text_key; equal
+    rows are one. Texts are compared by their distinct five-word shingles with A-Z lower-cased; texts without words are
+    copies of each other. Documents of equal word sequence are one node before anything else. Rows whose doc_id is null
+    take no part. doc_id may be of any type that has an order.
     """
     small_batches(docs.sparkSession)
-    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    same = F.array_join(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x20\x09-\x0D]+)"), 1), " ")
-    keyed = base.select("doc_id", "text", same.alias("s")).select("doc_id", "text", F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s"), F.length("s")).alias("h2"))
-    classes = materialize(keyed.select("doc_id", "h", "h2"), "text-hashes")
-    first = classes.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
-    copies = materialize(classes.join(first, ["h", "h2"]).select("doc_id", "first"), "copies")
-    kept = copies.where("doc_id = first").select("doc_id").distinct()
-    p = p or near_params(kept.count(), similarity)
-    nodes = materialize(fingerprints(base.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), p, distinct=True).dropDuplicates(["id"]), "nodes")
-    pairs, hot = candidate_pairs(nodes, p, int(NEAR_SHARE * 64 * min(p.words, NEAR_WORDS)))
-    zones = components(pairs if hot is None else pairs.unionByName(hot)).select(F.col("id").alias("doc_id"), F.col("component").alias("zone"))
-    texts = base.join(zones, "doc_id").dropDuplicates(["doc_id"]).select("zone", F.col("doc_id").alias("id"), "text", F.length("text").alias("chars"))
-    found = components(linked_by_sets(texts, p, similarity))
-    named = copies.join(found.withColumnRenamed("id", "first"), "first", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "first").alias("class_id"))
-    return named.distinct()
+    base = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    p = p or near_params(base.count(), similarity)
+    prints = [f"f{w}" for w in range(p.words)]
+    rows = materialize(text_classes(base, p), "text-classes")
+    nodes = rows.groupBy("h", "h2", *prints).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.max("chars").alias("chars"))
+    # h names a node; should two share it, h2 tells them apart
+    again = F.row_number().over(Window.partitionBy("h").orderBy("h2")) > 1
+    nodes = materialize(nodes.select(F.when(again, F.xxhash64("h2", "h")).otherwise(F.col("h")).alias("id"), "h", "h2", *prints, "first", "chars"), "nodes")
+    limit = int(NEAR_SHARE * 64 * min(p.words, NEAR_WORDS))
+    zones = components(links(nodes.select("id", *prints), p, limit)).withColumnRenamed("component", "zone")
+    zones = zones.join(nodes.select("id", "chars", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")), "id")
+    # texts are joined last, and by a merge at every size
+    blocks = in_blocks(materialize(zones, "zones"), p, "chars").select("zone", "x", "y", "id", "doc_id", "text_key")
+    found = components(linked_by_sets(base.join(blocks.hint("merge"), ["doc_id", "text_key"]).select("zone", "x", "y", "id", F.coalesce("text", F.lit("")).alias("text")), p, similarity))
+    named = nodes.join(found, "id", "left").select("h", "h2", "first", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("class"))
+    named = named.join(least, "component").select("h", "h2", "class")
+    return rows.join(named, ["h", "h2"]).select("doc_id", "text_key", F.col("class.doc_id").alias("class_id"), F.col("class.text_key").alias("class_key")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, p: Params | None = None) -> DataFrame:
-    """docs with one row of each group of copies and near copies, the one of least doc_id; of rows that share it, those of the group's class stay once if equal.
+    """docs with one row of each group of copies and near copies, that of the least doc_id (of the least text_key, if ids are shared).
 
-    Rows whose doc_id is null stay.
+    Of rows equal in doc_id and text one stays. Rows whose doc_id is null stay. An empty table gives an empty result; other
+    columns are carried along, whatever their names.
     """
-    gone = near_duplicates(docs, similarity, p).where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, similarity, p).where("doc_id <> class_id or text_key <> class_key").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn("__of", text_key(F.col("text")))
+    kept = known.join(gone.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__key")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "__of"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from scriptorium.llm import simhash
@@ -51,15 +52,27 @@ def test_pairs_are_complete_with_and_without_hot_values(spark):
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     want = union(len(signed), [(i, j) for i in range(len(signed)) for j in range(i) if ((signed[i] ^ signed[j]) & (2**64 - 1)).bit_count() <= 2])
     for hot in (1000, 3):
-        p = simhash.Params(hot=hot)
+        p = simhash.Params(hot=hot, block_rows=16)
         nodes = spark.createDataFrame([(x, x) for x in signed], "id long, f0 long")
-        pairs, zones = simhash.candidate_pairs(nodes, p, 2)
-        if zones is not None:
-            z = components(zones).select("id", F.col("component").alias("zone"), F.col("id").alias("f0"))
-            pairs = pairs.unionByName(simhash.linked_by_bits(z, p))
-        assert (zones is not None) == (hot == 3)
         place = {x: i for i, x in enumerate(signed)}
-        assert union(len(signed), [(place[x["a"]], place[x["b"]]) for x in pairs.collect()]) == want
+        found = [(place[x["a"]], place[x["b"]]) for x in simhash.links(nodes, p, 2).collect()]
+        assert union(len(signed), found) == want
+        assert all(((signed[a] ^ signed[b]) & (2**64 - 1)).bit_count() <= 2 for a, b in found)
+
+
+def naive_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return format(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)), "016x")
+
+
+def test_fingerprints_against_a_plain_count(spark, docs):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice("ab Cd é x\t y\n Z9").strip() or "w" for _ in range(r.randrange(0, 40)))) for i in range(120)]
+    rows += [(500, None), (501, " \x0b\x0c\r"), (502, "A\x85b\u2003c d"), (503, "tie tie tie tie")]
+    got = {x["doc_id"]: x["fingerprint"] for x in simhash.simhash_components(docs(rows)).collect()}
+    assert got == {i: naive_fingerprint(t) for i, t in rows}
 
 
 def test_simhash_rows(spark, docs):
@@ -89,7 +102,7 @@ def test_near_duplicates_against_brute_force(spark, docs):
     want = union(len(sets), links)
     for hot in (32, 2):
         p = simhash.Params(shingle=5, words=2, max_bits=15, hot=hot, block_rows=8)
-        got = {x["id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows), 0.8, p).collect()}
+        got = {x["doc_id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows), 0.8, p).collect()}
         assert got == dict(enumerate(want))
     kept = [x["doc_id"] for x in simhash.drop_near_duplicates(docs(rows)).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(set(want)) and None in kept
@@ -101,7 +114,7 @@ def test_repeated_phrases_do_not_rule_fingerprints(spark, docs):
     for g in range(20):
         body, phrase = (" ".join(f"g{g}w{r.randrange(10**6)}" for _ in range(n)) for n in (300, 10))
         rows += [(2 * g, f"{body} {phrase}"), (2 * g + 1, " ".join([body] + [phrase] * 60))]
-    got = {x["id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows)).collect()}
+    got = {x["doc_id"]: x["class_id"] for x in simhash.near_duplicates(docs(rows)).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
 
 
@@ -116,3 +129,14 @@ def test_recall_does_not_depend_on_the_count():
         apart = r.random((4000, 64 * p.words)) < rate
         found = np.any([apart[:, bits].sum(axis=1) <= t for bits, t in parts], axis=0)
         assert found.mean() >= 0.983
+
+
+def test_shared_ids_texts_and_other_columns(spark, docs):
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (2, "quite another text stands here"), (3, "quite another text stands here"), (2, "quite another text stands here"), (None, "alpha beta gamma delta epsilon"), (None, None), (7, None), (8, " ")]
+    out = simhash.drop_near_duplicates(docs(rows).selectExpr("*", "'x' AS text_key", "1 AS h"))
+    assert out.columns[-2:] == ["text_key", "h"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (2, rows[2][1]), (None, rows[0][1]), (None, None), (7, None)], key=str)
+    named = docs(rows).selectExpr("'k' || doc_id AS doc_id", "text")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(named).collect() if r["doc_id"]) == ["k1", "k2", "k7"]
+    assert simhash.drop_near_duplicates(docs(rows).limit(0)).count() == 0
