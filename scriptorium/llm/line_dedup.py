@@ -1,194 +1,196 @@
 """Line dedup: content-defined chunks of lines, removed where they repeat.
 
-A rolling hash over the hashes of the last `window` lines chooses where a chunk ends, so that an insertion moves only the
-boundaries near it; a line of `long_words` or more words is a chunk of its own wherever it stands. Chunks of several lines
-and long lines are counted over all documents. The first occurrence (least doc_id, then position) stays; another is removed
-if its bytes equal the first's. Only built-in functions are used: the chunks of a text are built in its row, and what is
-shuffled are hashes, then the texts of repeated chunks alone, and each text once to be rebuilt (one exchange serves both uses).
-
-dedup_runs removes whole repeated passages besides: every run of lines that reaches `long_words` words, seen from either of its
-ends, is keyed by its content wherever it stands. All such runs within a repeated passage repeat as well and cover it.
+Lines are hashed, and chunks are laid over the hashes of the lines that have words. A rolling hash over the last `window`
+of them chooses where a chunk ends, so that an insertion moves only the boundaries near it. A passage that repeats between
+other lines shares no boundary with them at its two ends; so that it goes whole, each line also begins the shortest chunk
+of `run_words` words from it on, and ends the shortest one up to it. All such chunks within a repeated passage repeat as
+well, cover it, and don't depend on what stands around it or on how it is laid out in lines.
+
+Chunks are counted over all documents by the hashes of their lines. The first occurrence (least doc_id, then position)
+stays; the lines of others go. Bytes are compared before that: a line hash that stands for two different lines of repeated
+chunks is replaced by one that tells them apart.
+
+Only built-in functions are used. What is shuffled for counting are hashes of lines; each text is shuffled once, to meet the
+intervals that go.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import materialize
+from scriptorium.llm._common import materialize, text_key
 
 
 @dataclass(frozen=True)
 class Params:
-    """A chunk ends at one of `every` boundary values of the rolling hash; least_words: what a repeated chunk has at least."""
+    """A chunk ends at one of `every` boundary values of the rolling hash and counts if it has more than one line and `least_words` words; run_words: words that a repeated passage has at least; hash_bits: of a line's hash (tests take fewer)."""
 
     window: int = 2
     every: int = 3
-    long_words: int = 50
     least_words: int = 8
+    run_words: int = 50
+    hash_bits: int = 64
 
 
 def words_in(text: Column) -> Column:
-    """Number of words parted by \\x20 and \\x09-\\x0D."""
+    """Number of words parted by \x20 and \x09-\x0D."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def with_chunks(docs: DataFrame, p: Params, where: Column | None = None) -> DataFrame:
-    """docs with __chunks: array of struct(pos, a (its first line), n_lines, n_words, text), in order; their texts joined by line feeds are the text. Null where `where` doesn't hold."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    lines = lines if where is None else F.when(where, lines)
-    out = docs.withColumn("__lines", F.transform(lines, lambda s: F.struct(s.alias("s"), words_in(s).alias("w"), F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long").alias("h"))))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def ends(x: Column, i: Column) -> Column:
-        rolling = x["h"]
-        for k in range(1, p.window):
-            before = F.when(i >= k, F.get("__lines", i - k)["h"]).otherwise(F.lit(0))
-            rolling = rolling * 31 % 1000003 + before
-        after = F.get("__lines", i + 1)["w"]
-        return (F.pmod(rolling % 1000003, F.lit(p.every)) == 0) | (x["w"] >= p.long_words) | (F.coalesce(after, F.lit(0)) >= p.long_words)
 
-    out = out.withColumn("__ends", F.transform("__lines", lambda x, i: F.when(ends(x, i) | (i == F.size("__lines") - 1), i)))
-    out = out.withColumn("__ends", F.filter("__ends", lambda e: e.isNotNull()))
+def worded_lines(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, key, i, s, w, h: a row for each line that has words; docs: doc_id, key, text."""
+    out = docs.select("doc_id", "key", F.posexplode(lines_of(F.col("text"))).alias("i", "s")).withColumn("w", words_in(F.col("s"))).where("w > 0")
+    return out.withColumn("h", _hash(F.col("s"), p))
 
-    def chunk(e: Column, k: Column) -> Column:
-        start = F.when(k > 0, F.get("__ends", k - 1) + 1).otherwise(F.lit(0))
-        part = F.slice("__lines", start + 1, e - start + 1)
-        return F.struct(
-            k.alias("pos"),
-            start.alias("a"),
-            F.size(part).alias("n_lines"),
-            F.aggregate(part, F.lit(0), lambda s, x: s + x["w"]).alias("n_words"),
-            F.array_join(F.transform(part, lambda x: x["s"]), "\n").alias("text"),
-        )
 
-    return out.withColumn("__chunks", F.transform("__ends", chunk)).drop("__lines", "__ends")
-
-
-def candidate(c: Column, p: Params) -> Column:
-    return ((c["n_lines"] > 1) & (c["n_words"] >= p.least_words)) | (c["n_words"] >= p.long_words)
+def chunks(lines: DataFrame, p: Params) -> DataFrame:
+    """doc_id, key, a, b, k1, k2: each chunk as lines [a, b) and 128 bits of the hashes of its lines. lines: doc_id, key, i, w, h, e (boundary hash)."""
+    doc = Window.partitionBy("doc_id", "key")
+    at = doc.orderBy("i")
+    rolling = F.col("e")
+    for k in range(1, p.window):
+        rolling = rolling * 31 % 1000003 + F.coalesce(F.lag("e", k).over(at), F.lit(0))
+    out = lines.withColumn("last", (F.pmod(rolling % 1000003, F.lit(p.every)) == 0).cast("int"))
+    upto = F.sum("w").over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.withColumns({"to": upto, "c": F.sum("last").over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("last")})
+    out = out.withColumn("from", F.col("to") - F.col("w"))
+    one = F.struct("i", "h", "w")
+    # places in words, not in rows, so that a frame ends with the line that fills it
+    onward = F.collect_list(one).over(doc.orderBy("from").rangeBetween(Window.currentRow, p.run_words - 1))
+    back = F.collect_list(one).over(doc.orderBy("to").rangeBetween(-(p.run_words - 1), Window.currentRow))
+    runs = out.select("doc_id", "key", "i", onward.alias("x"), back.alias("y"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, l: s + l["w"])  # noqa: E731, E741
+    ends = lambda x: F.struct(x[0]["i"].alias("a"), (F.element_at(x, -1)["i"] + 1).alias("b"), *_keys(F.transform(x, lambda l: l["h"])))  # noqa: E731, E741
+    found = F.array(*[F.when(total(F.col(x)) >= p.run_words, ends(F.col(x))) for x in ("x", "y")])
+    runs = runs.select("doc_id", "key", F.explode(F.array_compact(F.array_distinct(found))).alias("r"))
+    own = out.groupBy("doc_id", "key", "c").agg(F.array_sort(F.collect_list(one)).alias("x")).where((F.size("x") > 1) & (total(F.col("x")) >= p.least_words))
+    return runs.unionByName(own.select("doc_id", "key", ends(F.col("x")).alias("r"))).select("doc_id", "key", "r.*")
+
+
+def _keys(hashes: Column) -> list[Column]:
+    return [F.xxhash64(hashes).alias("k1"), F.xxhash64(F.lit(1), hashes).alias("k2")]
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """doc_id, key, a, b, c of every chunk that stands more than once: c is the line from which on it goes, null for the first one."""
+    place = F.struct("doc_id", "key", "a", "b")
+    first = rows.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("k1", "k2", "f")
+    first = materialize(first, "repeated-chunks")
+    same = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("key") == F.col("f.key"))
+    # a chunk that overlaps its own first occurrence loses only the lines behind that
+    c = F.when(same & (F.col("a") == F.col("f.a")), F.lit(None)).when(same, F.greatest("a", "f.b")).otherwise(F.col("a"))
+    return rows.join(first, ["k1", "k2"]).select("doc_id", "key", "a", "b", c.alias("c")).distinct()
+
+
+def merged(spans: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
+    """doc_id, key and an array of the disjoint intervals [lo, hi) that the spans of a document cover."""
+    doc = Window.partitionBy("doc_id", "key").orderBy(lo, hi)
+    reached = F.max(hi).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    out = spans.where(F.col(lo) < F.col(hi)).select("doc_id", "key", lo, hi, (F.coalesce(reached, F.lit(-1)) < F.col(lo)).cast("int").alias("new"))
+    out = out.withColumn("island", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.groupBy("doc_id", "key", "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    return out.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
+
+
+def _inside(i: Column, spans: str) -> Column:
+    return F.exists(spans, lambda r: (i >= r["lo"]) & (i < r["hi"]))
 
 
 def dedup_lines(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """docs with repeated chunks cut out of text, and the added columns n_lines and n_removed (lines; those of these names are replaced).
 
     No row goes: a text of nothing but repeats becomes empty. A text without repeats keeps its bytes. A null text stays null.
-    Rows whose doc_id is null are neither counted nor changed; rows that share a doc_id hold one position in the order, and a
-    chunk that only they share stays. An empty table gives an empty result.
-    """
-    p = p or Params()
-    base = docs.drop("n_lines", "n_removed")
-    known, unknown = base.where(F.col("doc_id").isNotNull()), base.where(F.col("doc_id").isNull())
-    rows = with_chunks(known.select("doc_id", "text"), p).select("doc_id", F.explode(F.filter("__chunks", lambda c: candidate(c, p))).alias("c"))
-    rows = materialize(rows.select("doc_id", F.col("c.pos").alias("pos"), _key(F.col("c.text")).alias("h")).distinct(), "line-chunks")
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).where("n > 1")
-    first = materialize(first.select("h", F.col("f.doc_id").alias("first_id"), F.col("f.pos").alias("first_pos")), "repeated-chunks")
-    # the bytes of each first occurrence, then those to each later one
-    own = first.groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first_pos").alias("pos"), "h")).alias("__own"))
-    kept = with_chunks(known.select("doc_id", "text").join(own, "doc_id"), p)
-    kept = kept.select(F.explode(F.filter("__chunks", lambda c: F.exists("__own", lambda m: (m["pos"] == c["pos"]) & (m["h"] == _key(c["text"]))))).alias("c"))
-    kept = kept.groupBy(_key(F.col("c.text")).alias("h")).agg(F.min("c.text").alias("kept"))
-    later = rows.join(first, "h").where(~((F.col("doc_id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))).select("h", "doc_id", "pos")
-    marks = later.join(kept, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kept")).alias("__marks"))
-    out = with_chunks(known.join(marks, "doc_id", "left"), p, F.col("__marks").isNotNull())
-    same = lambda c: F.exists("__marks", lambda m: (m["pos"] == c["pos"]) & (m["kept"] == c["text"]))
-    out = out.withColumn("__kept", F.filter("__chunks", lambda c: ~same(c)))
-    lines = lambda x: F.aggregate(x, F.lit(0), lambda s, c: s + c["n_lines"])
-    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    removed = F.coalesce(n_lines - lines(F.col("__kept")), F.lit(0))
-    # generated columns: a later filter on them would else be pushed below, and the chunks built again for each use
-    made = F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), removed.alias("n_removed"))))
-    out = out.select(*[c for c in base.columns if c != "text"], made).select(*base.columns, "n_lines", "n_removed")
-    return out.unionByName(unknown.withColumns({"n_lines": n_lines, "n_removed": F.lit(0)}))
-
-
-def _key(chunk: Column) -> Column:
-    return F.xxhash64(chunk, F.length(chunk))
-
-
-def with_runs(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, a, b, k of the runs of lines [a, b) that are compared, and the key of their bytes.
-
-    From each line with words on the shortest run of `long_words` or more words, to each such line the shortest one that
-    ends with it, and the chunks of dedup_lines. Of each word the place of its line is held, so that both ends are look-ups.
-    """
-    reach = F.lit(p.long_words - 1)
-    out = with_chunks(docs.select("doc_id", "text"), p)
-    chunks = F.transform(F.filter("__chunks", lambda c: candidate(c, p)), lambda c: F.struct(c["a"].alias("a"), (c["a"] + c["n_lines"]).alias("b")))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    out = out.select("doc_id", chunks.alias("__chunks"), _digests(lines).alias("__d"), F.flatten(F.transform(lines, lambda s, i: F.array_repeat(i, words_in(s)))).alias("__at"))
-    at = lambda i: F.get("__at", i)
-    run = lambda first, last: F.struct(first.alias("a"), (last + 1).alias("b"))
-    onward = F.transform("__at", lambda x, i: F.when(((i == 0) | (at(i - 1) != x)) & (i + reach < F.size("__at")), run(x, at(i + reach))))
-    back = F.transform("__at", lambda x, i: F.when((i >= reach) & F.coalesce(at(i + 1) != x, F.lit(True)), run(at(i - reach), x)))
-    runs = F.array_distinct(F.concat(F.filter(onward, lambda r: r.isNotNull()), F.filter(back, lambda r: r.isNotNull()), "__chunks"))
-    out = out.select("doc_id", "__d", runs.alias("__runs"))
-    keyed = F.transform("__runs", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), _run_key(F.col("__d"), r["a"], r["b"]).alias("k")))
-    return out.select("doc_id", F.inline(keyed))
-
-
-def dedup_runs(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """As dedup_lines, but repeated passages go whole: each run of lines of `long_words` or more words that stands before, however it is laid out in lines.
-
-    What dedup_lines removes goes as well. The first occurrence stays: a run that overlaps its own first occurrence loses only
-    the lines behind it. Lines without words at either end of a passage, or between two lines of `long_words` words, stay.
+    A document is a doc_id with a text: rows that share a doc_id and differ in text are ordered by a hash of it; equal rows
+    are one document and are cut alike. Rows whose doc_id is null are neither counted nor changed. Lines without words
+    don't count; within a chunk they go with it, at its ends they stay. An empty table gives an empty result.
     """
     p = p or Params()
     base = docs.drop("n_lines", "n_removed")
     known, unknown = base.where(F.col("doc_id").isNotNull()), base.where(F.col("doc_id").isNull())
-    rows = materialize(with_runs(known, p), "line-runs")
-    first = rows.groupBy("k").agg(F.min(F.struct("doc_id", "a", "b")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).where("f.doc_id <> l.doc_id or f.a <> l.a")
-    first = materialize(first.select("k", F.col("f.doc_id").alias("first_id"), F.col("f.a").alias("first_a"), F.col("f.b").alias("first_b")), "repeated-runs")
-    later = rows.join(first, "k").where("doc_id <> first_id or a <> first_a")
-    begin = F.when(F.col("doc_id") == F.col("first_id"), F.greatest("a", "first_b")).otherwise(F.col("a"))
-    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("k", "a", "b", begin.alias("c"))).alias("__marks"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    out = known.join(marks, "doc_id", "left").withColumn("__d", F.when(F.col("__marks").isNotNull(), _digests(lines)))
-    # rows that share a doc_id may differ in text
-    own = F.filter("__marks", lambda m: (m["c"] < m["b"]) & (_run_key(F.col("__d"), m["a"], m["b"]) == m["k"]))
-    gone = F.flatten(F.transform(own, lambda m: F.sequence(m["c"], m["b"] - 1)))
-    out = out.withColumn("__kept", F.when(F.col("__marks").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
-    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.size(lines)
-    removed = F.when(F.col("__marks").isNull(), F.lit(0)).otherwise(n_lines - F.size("__kept"))
-    made = F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), removed.alias("n_removed"))))
-    out = out.withColumn("__lines", lines).select(*[c for c in base.columns if c != "text"], made).select(*base.columns, "n_lines", "n_removed")
+    keyed = known.withColumn("__key", text_key(F.col("text")))
+    lines = worded_lines(keyed.select("doc_id", F.col("__key").alias("key"), "text"), p)
+    again: DataFrame | None = None
+    turn = 0
+    while True:
+        own = lines.withColumn("e", F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long"))
+        rows = materialize(chunks(_told_apart(own, again).select("doc_id", "key", "i", "w", "h", "e"), p), "line-chunks")
+        found = occurrences(rows)
+        marks = merged(found, "a", "b", "__seen").join(merged(found.where("c is not null"), "c", "b", "__gone"), ["doc_id", "key"], "left")
+        marks = materialize(marks.withColumnsRenamed({"doc_id": "__id", "key": "__of"}), "repeated-intervals")
+        # a merge at every size: texts are shuffled once, and marked documents serve both the comparison and the result
+        marked = keyed.join(marks.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__of")), "left").drop("__id", "__of")
+        marked = materialize(marked, "marked-documents")
+        told = marked.where(F.col("__seen").isNotNull()).select(F.posexplode(lines_of(F.col("text"))).alias("i", "s"), "__seen")
+        told = told.where(_inside(F.col("i"), "__seen")).withColumn("w", words_in(F.col("s"))).where("w > 0").select(_hash(F.col("s"), p).alias("h"), "s")
+        # equal lines meet within each task first
+        clash = _told_apart(told, again).select("h", "s").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        clash = materialize(clash, "line-hashes-of-several")
+        if clash.isEmpty():
+            break
+        turn += 1
+        clash = clash.withColumn("turn", F.lit(turn))
+        again = clash if again is None else again.unionByName(clash)
+    n_lines = F.size(lines_of(F.col("text")))
+    gone = F.coalesce(F.aggregate("__gone", F.lit(0), lambda s, r: s + r["hi"] - r["lo"]), F.lit(0))
+    left = F.filter(lines_of(F.col("text")), lambda s, i: ~_inside(i, "__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    # generated columns: a later filter on them would else be pushed below, and the texts cut again for each use
+    made = F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), gone.alias("n_removed"))))
+    out = marked.select(*[c for c in base.columns if c != "text"], made).select(*base.columns, "n_lines", "n_removed")
     return out.unionByName(unknown.withColumns({"n_lines": n_lines, "n_removed": F.lit(0)}))
 
 
-def _digests(lines: Column) -> Column:
-    return F.transform(lines, lambda s: F.sha2(s, 256))
+def _hash(line: Column, p: Params) -> Column:
+    return F.shiftright(F.xxhash64(line), 64 - p.hash_bits) if p.hash_bits < 64 else F.xxhash64(line)
 
 
-def _run_key(digests: Column, a: Column, b: Column) -> Column:
-    """128 bits of SHA-256 over the digests of lines [a, b): equal keys are equal bytes."""
-    return F.unhex(F.substring(F.sha2(F.array_join(F.slice(digests, a + 1, b - a), ""), 256), 1, 32))
+def _told_apart(lines: DataFrame, again: DataFrame | None) -> DataFrame:
+    """lines with another hash where theirs, in any turn, stood for several lines."""
+    if again is None:
+        return lines
+    last = again.groupBy("h").agg(F.max("turn").alias("turn"))
+    return lines.join(last, "h", "left").withColumn("h", F.when(F.col("turn").isNull(), F.col("h")).otherwise(F.xxhash64("turn", "s"))).drop("turn")
 
 
 def oracle(p: Params | None = None, docs: str = "documents") -> str:
-    """DuckDB SQL for doc_id, text, n_lines, n_removed."""
+    """DuckDB SQL for doc_id, text, n_lines, n_removed; doc_ids are unique."""
     p = p or Params()
-    rolling = "h"
+    rolling = "e"
     for k in range(1, p.window):
-        rolling = f"(({rolling}) * 31 % 1000003 + coalesce(lag(h, {k}) OVER o, 0))"
+        rolling = f"(({rolling}) * 31 % 1000003 + coalesce(lag(e, {k}) OVER o, 0))"
     word = r"'[^\x20\x09-\x0D]+'"
+    n = p.run_words - 1
     return f"""
-WITH l AS (
-  SELECT doc_id, i, s, length(regexp_extract_all(s, {word}))::BIGINT AS w, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE text IS NOT NULL)
-), b AS (
-  SELECT *, ({rolling}) % 1000003 % {p.every} = 0 OR w >= {p.long_words} OR coalesce(lead(w) OVER o, 0) >= {p.long_words} AS e FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+WITH a AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, i, s, w, ('0x' || substr(md5(s), 1, 8))::BIGINT AS e FROM (SELECT *, length(regexp_extract_all(s, {word}))::BIGINT AS w FROM a) WHERE w > 0
+), t AS (
+  SELECT *, (({rolling}) % 1000003 % {p.every} = 0)::INT AS last, (sum(w) OVER o)::BIGINT AS upto FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (
-  SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b
+  SELECT *, upto - w AS start, sum(last) OVER (PARTITION BY doc_id ORDER BY i) - last AS c FROM t
+), r AS (
+  SELECT doc_id, list(i) OVER x AS xi, list(s) OVER x AS xs, sum(w) OVER x AS xw, list(i) OVER y AS yi, list(s) OVER y AS ys, sum(w) OVER y AS yw FROM c
+  WINDOW x AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {n} FOLLOWING), y AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)
 ), k AS (
-  SELECT doc_id, pos, count(*) AS n_lines, sum(w) AS n_words, string_agg(s, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, pos
+  SELECT doc_id, list_min(xi) AS a, list_max(xi) AS b, xs AS k FROM r WHERE xw >= {p.run_words}
+  UNION SELECT doc_id, list_min(yi), list_max(yi), ys FROM r WHERE yw >= {p.run_words}
+  UNION SELECT doc_id, min(i), max(i), list(s ORDER BY i) FROM c GROUP BY doc_id, c HAVING count(*) > 1 AND sum(w) >= {p.least_words}
 ), m AS (
-  SELECT *, ((n_lines > 1 AND n_words >= {p.least_words}) OR n_words >= {p.long_words}) AND row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AS gone FROM k
+  SELECT doc_id, a, b, first_value(doc_id) OVER f AS fd, first_value(a) OVER f AS fa, first_value(b) OVER f AS fb FROM k WINDOW f AS (PARTITION BY k ORDER BY doc_id, a)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greatest(a, fb + 1) ELSE a END, b + 1)) AS i FROM m WHERE doc_id <> fd OR a <> fa
+), x AS (
+  SELECT a.doc_id, string_agg(s, chr(10) ORDER BY a.i) FILTER (WHERE g.i IS NULL) AS text, count(*)::INT AS n_lines, count(g.i)::INT AS n_removed
+  FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.i = g.i GROUP BY a.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN x.doc_id IS NULL THEN d.text ELSE x.text END AS text,
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR coalesce(x.n_removed, 0) = 0 THEN d.text ELSE coalesce(x.text, '') END AS text,
   coalesce(x.n_lines, 1)::INT AS n_lines, coalesce(x.n_removed, 0)::INT AS n_removed
-FROM {docs} d LEFT JOIN (
-  SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, sum(n_lines) AS n_lines, coalesce(sum(n_lines) FILTER (WHERE gone), 0) AS n_removed
-  FROM m GROUP BY doc_id) x ON d.doc_id = x.doc_id"""
+FROM {docs} d LEFT JOIN x ON d.doc_id = x.doc_id"""
