@@ -7,7 +7,8 @@ is at the threshold collides with a probability of `recall` or more given the pa
 reaches that (very small items against documents that hold many), shared shingles are counted instead, which misses none.
 Every candidate is verified on the shingles themselves.
 
-Items are taken in blocks of at most `block_chars` characters, each sent to the tasks as an index; documents aren't shuffled.
+Items are taken in blocks of at most `block_chars` characters, each sent to the tasks as an index. Documents are never
+shuffled: the pairs of a block are one pass over them, and where only the hits are to go, every block is a step of the same pass.
 """
 
 from __future__ import annotations
@@ -127,6 +128,21 @@ class Index:
         return [x for x in shared if x[1] >= self.p.threshold * x[2] - 1e-9]
 
 
+def indexes_of(items: DataFrame, p: Params):
+    """The indexes of each block of items in turn, one for each shingle length."""
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-int(chars) // p.block_chars) if chars else 0
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).where("text is not null").select("item_id", "text").toArrow().to_pylist()
+        by_k: dict[int, list] = {}
+        for r in rows:
+            w = words_of(r["text"])
+            if w:
+                by_k.setdefault(min(p.shingle, len(w)), []).append((r["item_id"], w))
+        if by_k:
+            yield [Index(v, k, p) for k, v in sorted(by_k.items())]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: every pair whose containment (share of the item's distinct shingles) is at the threshold or above.
 
@@ -135,27 +151,37 @@ def contained_items(docs: DataFrame, items: DataFrame, p: Params | None = None)
     an empty result. Other columns are not read.
     """
     p = p or Params()
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_item long"
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-int(chars) // p.block_chars) if chars else 0
-    out = spark.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], schema)
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).where("text is not null").select("item_id", "text").toArrow().to_pylist()
-        words = [(r["item_id"], words_of(r["text"])) for r in rows]
-        by_k: dict[int, list] = {}
-        for i, w in words:
-            if w:
-                by_k.setdefault(min(p.shingle, len(w)), []).append((i, w))
-        if by_k:
-            found = own.mapInArrow(searching([Index(v, k, p) for k, v in sorted(by_k.items())], schema), schema)
-            out = found if block == 0 else out.unionByName(found)
+    for indexes in indexes_of(items, p):
+        out = out.unionByName(own.mapInArrow(searching(indexes, schema), schema))
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def hits(texts: list[str | None], indexes: list[Index]):
+    """(place in texts, item id, shared, size) of every item that a text contains."""
+    for a, b in passes(np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts))):
+        data, offsets = byte_texts(texts[a:b])
+        starts, _, h = word_hashes(data)
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        for index in indexes:
+            s = shingle_hashes(h, index.k)
+            at = np.flatnonzero(index.filter[s >> np.uint64(42)])
+            at = at[owner[at] == owner[at + index.k - 1]]
+            place = np.minimum(np.searchsorted(index.universe, s[at]), len(index.universe) - 1)
+            same = index.universe[place] == s[at]
+            pair = np.unique(owner[at[same]].astype(np.int64) * len(index.universe) + place[same])
+            if not len(pair):
+                continue
+            docs_hit, cut = np.unique(pair // len(index.universe), return_index=True)
+            for d, found in zip(docs_hit.tolist(), np.split(pair % len(index.universe), cut[1:]), strict=True):
+                if len(found) >= index.least:
+                    yield from ((a + d, *x) for x in index.search(texts[a + d], found))
+
+
 def searching(indexes: list[Index], schema: str):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -164,36 +190,35 @@ def searching(indexes: list[Index], schema: str):
 
     def search(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             ids = batch.column("doc_id").to_pylist()
-            rows = []
-            for a, b in passes(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))):
-                data, offsets = byte_texts(texts[a:b])
-                starts, _, h = word_hashes(data)
-                owner = np.searchsorted(offsets, starts, side="right") - 1
-                for index in indexes:
-                    s = shingle_hashes(h, index.k)
-                    at = np.flatnonzero(index.filter[s >> np.uint64(42)])
-                    at = at[owner[at] == owner[at + index.k - 1]]
-                    place = np.minimum(np.searchsorted(index.universe, s[at]), len(index.universe) - 1)
-                    same = index.universe[place] == s[at]
-                    pair = np.unique(owner[at[same]].astype(np.int64) * len(index.universe) + place[same])
-                    if not len(pair):
-                        continue
-                    docs_hit, cut = np.unique(pair // len(index.universe), return_index=True)
-                    for d, found in zip(docs_hit.tolist(), np.split(pair % len(index.universe), cut[1:]), strict=True):
-                        if len(found) >= index.least:
-                            rows += [(ids[a + d], *x) for x in index.search(texts[a + d], found)]
+            rows = [(ids[d], *x) for d, *x in hits(batch.column("text").to_pylist(), indexes)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], names=kinds.names)
 
     return search
 
 
+def clearing(indexes: list[Index]):
+    def clear(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[sorted({d for d, *_ in hits(batch.column("text").to_pylist(), indexes)})] = False
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return clear
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, p: Params | None = None) -> DataFrame:
-    """docs without the documents that hold an item. Rows whose doc_id is null are searched as others are, but stay."""
-    hit = contained_items(docs, items, p).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds an item; each row is judged by its own text, whatever ids it shares or lacks.
+
+    Columns and their names are carried along. Null and empty texts stay, and so does everything if no item has words.
+    """
+    p = p or Params()
+    small_batches(docs.sparkSession)
+    out = docs
+    for indexes in indexes_of(items, p):
+        out = out.mapInArrow(clearing(indexes), docs.schema)
+    return out
 
 
 def oracle(p: Params | None = None, docs: str = "documents", items: str = "benchmark") -> str:

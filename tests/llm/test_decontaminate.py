@@ -33,8 +33,13 @@ def test_items_in_long_documents(spark, docs):
     for p in (decontaminate.Params(), decontaminate.Params(hashes=4), decontaminate.Params(block_chars=500)):
         got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contained_items(docs(rows).selectExpr("*", "1 AS item_id"), it, p).collect()}
         assert got == brute(rows, items)
-    left = {x["doc_id"] for x in decontaminate.drop_contaminated(docs(rows), it).collect()}
-    hit = {d for d, _ in brute(rows, items) if d is not None}
-    assert left == {d for d, _ in rows} - hit
+    hit = brute([(i, t) for i, (_, t) in enumerate(rows)], items)
+    want = sorted((r for i, r in enumerate(rows) if i not in {d for d, _ in hit}), key=str)
+    for p in (decontaminate.Params(), decontaminate.Params(block_chars=500)):
+        left = decontaminate.drop_contaminated(docs(rows).selectExpr("*", "1 AS item_id"), it, p)
+        assert sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=str) == want and left.columns[-1] == "item_id"
+    twice = docs([(1, items[0][1]), (1, "clean words of another row")])
+    assert [x["text"] for x in decontaminate.drop_contaminated(twice, it).collect()] == ["clean words of another row"]
+    assert decontaminate.drop_contaminated(docs(rows), it.limit(0)).count() == len(rows)
     assert decontaminate.contained_items(docs(rows), it.limit(0)).count() == 0
     assert decontaminate.contained_items(docs(rows).limit(0), it).count() == 0
