@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from scriptorium.llm import mixing
 
@@ -44,3 +45,37 @@ def test_blocks_hold_what_the_mix_takes(spark, docs):
         for w in b["text"].split():
             count[w.split("w")[0]] = count.get(w.split("w")[0], 0) + 1
     assert count == {f"d{r['doc_id']}": r["taken"] for r in mixing.mix_sources(d).collect() if r["taken"]}
+
+
+def test_taken_against_plain_python(spark, docs):
+    """The draws again, one shard after the other, and every slot's block by a permutation over the words themselves."""
+    p = mixing.Params(block_words=5, shard_slots=16)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + i * 7 % 23)), f"s{min(i % 7, 3)}") for i in range(90)] + [(900, None, None), (901, "tail", None)]
+    out = {r["doc_id"]: r for r in mixing.mix_sources(docs(rows), p).collect()}
+    plan = mixing._plan(docs(rows), p)
+    draws = [(r["sid"], r["shard"], r["at"], r["n"]) for r in mixing._draws(spark, plan, p).collect()]
+    per_shard, per_source = {}, {}
+    for sid, shard, at, n in draws:
+        per_shard[shard] = per_shard.get(shard, 0) + n
+        per_source.setdefault(sid, []).extend(range(at, at + n))
+    total = round(sum(plan.slots))
+    assert per_shard == {s: min(16, total - 16 * s) for s in range(-(-total // 16))}
+    assert all(sorted(j) == list(range(len(j))) and len(j) <= 2 * plan.blocks[sid] for sid, j in per_source.items())
+    taken = {}
+    placed = sorted(((r["sid"], r["start"], r["doc_id"], r["size"]) for r in plan.placed.collect()), key=lambda r: r[:2])
+    for sid, j in per_source.items():
+        words = [d for s, start, d, size in placed if s == sid for _ in range(size)]
+        n = int(plan.blocks[sid])
+        for turn in range(2):
+            key = int(mixing.mixed(np.array([p.seed * 1_000_003 + sid * 8_191 + turn], dtype=np.uint64))[0])
+            order = mixing.permuted(np.arange(n), n, key)
+            for x in j:
+                if x // n == turn:
+                    for d in words[5 * order[x % n] : 5 * order[x % n] + 5]:
+                        taken[d] = taken.get(d, 0) + 1
+    assert {d: r["taken"] for d, r in out.items()} == {d: taken.get(d, 0) for d in out}
+
+
+def test_too_many_sources_are_an_error(spark, docs):
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs([(i, "a b", f"s{i}") for i in range(5)]), mixing.Params(max_sources=4))
