@@ -1,5 +1,5 @@
-"""Quality: supervised subword embeddings. Hashed words, their character n-grams and a bucket for a word that follows itself have learned vectors;
-a text is their mean, and a softmax layer stands on it.
+"""Quality: supervised subword embeddings. Hashed words and their character n-grams have learned vectors; a text is their
+mean, and a softmax layer stands on it.
 
 Training is plain stochastic gradient descent in numpy on a bounded labelled sample. As mean and output layer are
 linear, scoring needs one number a bucket: the vector's product with the difference of the two output rows.
@@ -19,7 +19,7 @@ from scriptorium.llm._common import code_points, fold, gram_hashes, labelled_sam
 
 @dataclass(frozen=True)
 class Params:
-    """max_train_rows bounds the labelled sample."""
+    """max_train_rows and max_train_chars bound the labelled sample. doubled: a vector of its own for words that follow themselves, beside those of the method."""
 
     label: str = "quality"
     held_out: int = 2
@@ -29,6 +29,8 @@ class Params:
     bits: int = 16
     dims: int = 10
     max_train_rows: int = 4000
+    max_train_chars: int = 16_000_000
+    doubled: bool = True
     epochs: int = 6
     rate: float = 1.0
     least_steps: int = 4000
@@ -62,16 +64,17 @@ def text_features(texts: list[str], p: Params):
         owner = np.searchsorted(starts, begin, side="right") - 1
         owners.append(owner)
         found.append((h & np.uint64(mask)).astype(np.uint32))
-        twice = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1  # pairs of one word twice share a bucket
-        owners.append(owner[twice])
-        found.append(np.zeros(len(twice), dtype=np.uint32))
+        if p.doubled:
+            twice = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1
+            owners.append(owner[twice])
+            found.append(np.full(len(twice), 1 << p.bits, dtype=np.uint32))
         yield a, b, np.concatenate(owners), np.concatenate(found)
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """A number for each bucket whose mean, with the bias, is the log-odds of label 1. features: buckets and their shares."""
     random = np.random.default_rng(p.seed)
-    vectors = random.uniform(-1 / p.dims, 1 / p.dims, (1 << p.bits, p.dims)).astype(np.float32)
+    vectors = random.uniform(-1 / p.dims, 1 / p.dims, ((1 << p.bits) + 1, p.dims)).astype(np.float32)
     out, bias = np.zeros((2, p.dims), dtype=np.float32), np.zeros(2, dtype=np.float32)
     if len(y):
         rate = (np.bincount(y, minlength=2)[:2] + 0.5) / (len(y) + 1)
@@ -98,7 +101,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Params)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, float]:
-    sample = labelled_sample(docs, labels, p.label, p.held_out, p.folds, p.max_train_rows)
+    sample = labelled_sample(docs, labels, p.label, p.held_out, p.folds, p.max_train_rows, p.max_train_chars)
 
     def features(batches):
         for batch in batches:
@@ -110,17 +113,17 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, fl
                     own = n[edges[i] : edges[i + 1]].astype(np.float32)
                     buckets.append((pair[edges[i] : edges[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.int32))
                     shares.append(own / max(1.0, float(own.sum())))
-            yield pa.record_batch([pa.array(buckets, type=pa.list_(pa.int32())), pa.array(shares, type=pa.list_(pa.float32())), batch.column("y")], names=["b", "s", "y"])
+            yield pa.record_batch([batch.column("k"), pa.array(buckets, type=pa.list_(pa.int32())), pa.array(shares, type=pa.list_(pa.float32())), batch.column("y")], names=["k", "b", "s", "y"])
 
-    rows = sample.mapInArrow(features, "b array<int>, s array<float>, y int").toArrow()  # bounded by max_train_rows and 2 ** bits
+    # bounded by max_train_chars, as a word or n-gram starts at a character
+    rows = sample.mapInArrow(features, "k long, b array<int>, s array<float>, y int").toArrow()
     if not rows.num_rows:
         return fit([], np.zeros(0, np.int64), p)
     y = rows.column("y").to_numpy()
+    order = np.lexsort((y, rows.column("k").to_numpy()))  # rows come in any order
     b, s = rows.column("b").combine_chunks(), rows.column("s").combine_chunks()
-    cuts = np.cumsum(np.diff(b.offsets.to_numpy()))[:-1]
-    parts = list(zip(np.split(b.flatten().to_numpy(), cuts), np.split(s.flatten().to_numpy(), cuts), strict=True))
-    order = sorted(range(len(parts)), key=lambda i: (len(parts[i][0]), int(y[i]), parts[i][0].tobytes(), parts[i][1].tobytes()))
-    return fit([parts[i] for i in order], np.clip(y[order], 0, 1), p)
+    cuts, flat, shares = b.offsets.to_numpy(), b.values.to_numpy(), s.values.to_numpy()
+    return fit([(flat[cuts[i] : cuts[i + 1]], shares[cuts[i] : cuts[i + 1]]) for i in order], y[order], p)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFrame:

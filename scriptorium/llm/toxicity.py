@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Each text is the set of its hashed character 3- to 5-grams (lower case). On a bounded sample of labelled texts
-the log-count ratio r = log((p+a)/|p|) - log((q+a)/|q|) of every bucket is taken; the buckets that tell most
-become features with value r, and a logistic regression is fitted on them. Scoring gathers one weight a bucket.
+Each text is the set of its hashed character 3- to 5-grams (lower case). On a bounded sample of labelled texts executors
+count every bucket by label, which gives its log-count ratio r = log((p+a)/|p|) - log((q+a)/|q|). The buckets that tell most
+become features with value r, and a logistic regression is fitted on them: the driver fetches those features alone.
+Scoring gathers one weight a bucket.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import code_points, fold, gram_hashes, labelled_sample, passes, sigmoid, small_batches, with_fields
+from scriptorium.llm._common import code_points, fold, gram_hashes, labelled_sample, materialize, passes, sigmoid, small_batches, with_fields
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_train_rows bounds the labelled sample; max_features the buckets that carry a weight."""
+    """max_train_rows and max_train_chars bound the labelled sample; max_features are the buckets that carry a weight, None: all that the sample has (then the driver holds every distinct bucket of every sampled text)."""
 
     label: str = "toxic"
     held_out: int = 2
@@ -28,7 +29,8 @@ class Params:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     max_train_rows: int = 4000
-    max_features: int = 1000
+    max_train_chars: int = 16_000_000
+    max_features: int | None = 1000
     smoothing: float = 1.0
     penalty: float = 5e-4
     rounds: int = 300
@@ -64,70 +66,80 @@ def text_buckets(texts: list[str], sizes: tuple[int, ...], bits: int, wanted: np
     return out
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
-    """A weight for each bucket, and the bias."""
-    size = 1 << p.bits
-    weights = np.zeros(size, dtype=np.float32)
-    positive = int((y == 1).sum())
-    if not len(y) or positive in (0, len(y)):  # one class only: its rate, smoothed
-        rate = (positive + 0.5) / (len(y) + 1)
-        return weights, float(np.log(rate / (1 - rate)))
-    counts = [np.zeros(size), np.zeros(size)]
-    for f, label in zip(features, y, strict=True):
-        counts[int(label)][f] += 1
-    pos, neg = counts[1] + p.smoothing, counts[0] + p.smoothing
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    # signed likelihood gain of each bucket: how much knowing it tells of the label
-    n1, n0 = positive, len(y) - positive
-    a, b = (counts[1] + 0.5) / (n1 + 1), (counts[0] + 0.5) / (n0 + 1)
-    gain = n1 * (a * np.log(a / ((a * n1 + b * n0) / len(y)))) + n0 * (b * np.log(b / ((a * n1 + b * n0) / len(y))))
-    gain[counts[1] + counts[0] < 3] = 0
-    chosen = np.argsort(-gain, kind="stable")[: p.max_features]
-    chosen = np.sort(chosen[gain[chosen] > 0])
-    place = np.full(size, -1, dtype=np.int32)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
-    for i, f in enumerate(features):
-        at = place[f]
-        at = at[at >= 0]
-        x[i, at] = ratio[chosen[at]]
-    w, bias = np.zeros(len(chosen), dtype=np.float32), float(np.log(n1 / n0))
+def ratios(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's log-count ratio, and its likelihood gain: how much knowing it tells of the label. pos, neg: texts of either label that have the bucket, of n1 and n0."""
+    a, b = pos + p.smoothing, neg + p.smoothing
+    ratio = np.log(a / a.sum()) - np.log(b / b.sum())
+    a, b = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
+    either = (a * n1 + b * n0) / (n1 + n0)
+    return ratio, np.where(pos + neg > 0, n1 * a * np.log(a / either) + n0 * b * np.log(b / either), 0.0)
+
+
+def fit(owner: np.ndarray, feature: np.ndarray, values: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """Weights of the features, and the bias, by accelerated gradient steps over sparse rows: text owner[i] has feature[i]. values: of the features."""
+    n = len(y)
+    x = values[feature]
+    positive = int(y.sum())
+    w, bias = np.zeros(len(values)), float(np.log(positive / (n - positive)))
     step_w, step_b = np.zeros_like(w), 0.0
-    scale = 0.25 * float((x * x).sum(axis=1).mean()) + p.penalty + 0.25
-    target = y.astype(np.float32)
-    for k in range(p.rounds):  # accelerated gradient steps
+    scale = 0.25 * float((x * x).sum()) / n + p.penalty + 0.25
+    for k in range(p.rounds):
         momentum = k / (k + 3)
         at_w, at_b = w + momentum * step_w, bias + momentum * step_b
-        error = sigmoid(x @ at_w + at_b).astype(np.float32) - target
-        new_w = at_w - (x.T @ error / len(y) + p.penalty * at_w) / scale * 2
+        error = sigmoid(np.bincount(owner, weights=x * at_w[feature], minlength=n) + at_b) - y
+        new_w = at_w - (np.bincount(feature, weights=x * error[owner], minlength=len(w)) / n + p.penalty * at_w) / scale * 2
         new_b = at_b - float(error.mean()) / scale * 2
         step_w, step_b, w, bias = new_w - w, new_b - bias, new_w, new_b
-    weights[chosen] = w * ratio[chosen]
-    return weights, bias
+    return w, bias
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, float]:
-    sample = labelled_sample(docs, labels, p.label, p.held_out, p.folds, p.max_train_rows)
+    """A weight for each bucket, and the bias."""
+    sample = labelled_sample(docs, labels, p.label, p.held_out, p.folds, p.max_train_rows, p.max_train_chars)
 
     def features(batches):
         for batch in batches:
-            found = text_buckets(batch.column("text").to_pylist(), p.sizes, p.bits)
-            yield pa.record_batch([pa.array(found, type=pa.list_(pa.int32())), batch.column("y")], names=["f", "y"])
+            found = text_buckets(batch.column("text").to_pylist(), p.sizes, p.bits) if batch.num_rows else []
+            yield pa.record_batch([batch.column("k"), batch.column("y"), pa.array(found, type=pa.list_(pa.int32()))], names=["k", "y", "f"])
+
+    rows = materialize(sample.mapInArrow(features, "k long, y int, f array<int>"), "toxic-features")
+    size = 1 << p.bits
+    weights = np.zeros(size)
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive")).first()
+    n, positive = seen["n"], seen["positive"]
+    if positive in (0, n):  # one class only: its rate, smoothed
+        rate = (positive + 0.5) / (n + 1)
+        return weights, float(np.log(rate / (1 - rate)))
+    counts = rows.select("y", F.explode("f").alias("b")).groupBy("b").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).toArrow()  # 2 ** bits rows at most
+    pos, both = np.zeros(size), np.zeros(size)
+    pos[counts.column("b").to_numpy()] = counts.column("pos").to_numpy()
+    both[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
+    ratio, gain = ratios(pos, both - pos, positive, n - positive, p)
+    chosen = np.argsort(-gain, kind="stable")[: p.max_features]
+    chosen = np.sort(chosen[gain[chosen] > 0])
+    place = np.full(size, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
-    rows = sample.mapInArrow(features, "f array<int>, y int").toArrow()  # bounded by max_train_rows and 2 ** bits
-    y = rows.column("y").to_numpy()
-    f = rows.column("f").combine_chunks() if rows.num_rows else pa.array([], type=pa.list_(pa.int32()))
-    flat, cuts = f.flatten().to_numpy(), np.diff(f.offsets.to_numpy()) if rows.num_rows else np.zeros(0, np.int64)
-    parts = np.split(flat, np.cumsum(cuts)[:-1]) if rows.num_rows else []
-    order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), int(y[i]), parts[i].tobytes()))  # rows come in any order
-    return fit([parts[i] for i in order], y[order], p)
+    def wanted(batches):
+        for batch in batches:
+            found = [place[f] for f in (np.asarray(x.values) for x in batch.column("f"))]
+            yield pa.record_batch([batch.column("k"), batch.column("y"), pa.array([f[f >= 0] for f in found], type=pa.list_(pa.int32()))], names=["k", "y", "f"])
+
+    table = rows.mapInArrow(wanted, "k long, y int, f array<int>").toArrow()  # max_train_rows x max_features numbers at most
+    table = table.take(np.lexsort((table.column("y").to_numpy(), table.column("k").to_numpy())))  # rows come in any order
+    f = table.column("f").combine_chunks()
+    owner = np.repeat(np.arange(n), np.diff(f.offsets.to_numpy()))
+    w, bias = fit(owner, f.flatten().to_numpy(), ratio[chosen], table.column("y").to_numpy().astype(np.float64), p)
+    weights[chosen] = w * ratio[chosen]
+    return weights, bias
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFrame:
     """docs with the added columns held_out, score and predicted (those of these names are replaced).
 
     Null and empty texts have no grams but those of their edges and get a score near the base rate. Repeated rows get the
-    same score. An empty docs table gives an empty result; without labels every score is 0.5.
+    same score. An empty docs table gives an empty result; without labels every score is 0.5. Labels other than 0 and 1 are
+    read as labelled_sample says.
     """
     p = p or Params()
     spark = docs.sparkSession
