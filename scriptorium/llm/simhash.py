@@ -336,33 +336,42 @@ def links(nodes: DataFrame, p: Params, limit: int) -> DataFrame:
     cold = index.join(hot, "key", "left_anti") if any_hot else index
     other = cold.select("key", F.col("id").alias("other"), *[F.col(n).alias(n.replace("f", "g")) for n in names])
     met = probes.join(other.hint("merge"), "key").where((F.col("id") != F.col("other")) & (_apart(len(names)) <= limit))
-    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    # within a group most pairs say the same: each node keeps its least partner, and that takes over the others
+    pairs = hubs(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     if not any_hot:
         return pairs
     members = index.join(hot, "key", "left_semi").unionByName(probes.join(hot, "key", "left_semi")).distinct()
-    members = materialize(members.withColumnRenamed("key", "zone"), "hot-members")
-    return pairs.unionByName(linked_by_bits(members, len(names), limit, p))
+    # a group of near copies is hot in many partitions; those of its nodes that most hot values hold are the hubs of all its stars
+    members = members.withColumn("rank", F.count("*").over(Window.partitionBy("id"))).withColumnRenamed("key", "zone")
+    return pairs.unionByName(hubs(linked_by_bits(materialize(members, "hot-members"), len(names), limit, p)))
+
+
+def hubs(stars: DataFrame) -> DataFrame:
+    """Edges a, b that join what the edges a (hub), b do: each b stays linked to its least hub, and that to b's other hubs. What b has is bounded by the values that it is stored under or probes, and by `hot` in each."""
+    least = F.array_min("hubs")
+    own = F.concat(F.array(F.struct(least.alias("a"), F.col("b"))), F.transform(F.filter("hubs", lambda x: x != least), lambda x: F.struct(least.alias("a"), x.alias("b"))))
+    return stars.groupBy("b").agg(F.collect_set("a").alias("hubs")).select(F.inline(own)).distinct()
 
 
 # ---- blocks
 
 
-class Forest:
-    """Labels of nodes 0 to n - 1 and the edges that joined two labels."""
+class Trees:
+    """Nodes 0 to n - 1, joined by links; of each tree the star of its first node is kept."""
 
     def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
+        self.label = np.arange(n)
 
     def join(self, i: int, others: np.ndarray) -> None:
-        """Edges from i to others; only those that join two trees are kept."""
-        other, at = np.unique(self.label[others], return_index=True)
-        for x, j in zip(other.tolist(), others[at].tolist(), strict=True):
+        for x in np.unique(self.label[others]).tolist():
             if x != self.label[i]:
-                self.edges.append((i, j))
                 self.label[self.label == x] = self.label[i]
 
-    def frame(self, ids: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": ids[[a for a, _ in self.edges]], "b": ids[[b for _, b in self.edges]]}, dtype="int64")
+    def stars(self, ids: np.ndarray) -> pd.DataFrame:
+        _, first, tree = np.unique(self.label, return_index=True, return_inverse=True)
+        root = first[tree]
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[root[other]], "b": ids[other]}, dtype="int64")
 
 
 def in_blocks(zones: DataFrame, p: Params, chars: str | None) -> DataFrame:
@@ -375,18 +384,18 @@ def in_blocks(zones: DataFrame, p: Params, chars: str | None) -> DataFrame:
 
 
 def linked_by_bits(zones: DataFrame, words: int, limit: int, p: Params) -> DataFrame:
-    """A spanning forest of each pair of blocks of a zone, over links of `limit` or fewer differing bits."""
+    """A spanning forest of each pair of blocks of a zone, over links of `limit` or fewer differing bits: stars of the nodes of the highest rank."""
     names = [f"f{w}" for w in range(words)]
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
+        f = f.sort_values(["rank", "id"], ascending=[False, True])
         data = f[names].to_numpy(dtype=np.int64).view(np.uint64)
-        got = Forest(len(f))
+        got = Trees(len(f))
         for i in range(len(f) - 1):
             near = np.flatnonzero(np.bitwise_count(data[i + 1 :] ^ data[i]).sum(axis=1, dtype=np.int64) <= limit)
             if len(near):
                 got.join(i, near + i + 1)
-        return got.frame(f["id"].to_numpy())
+        return got.stars(f["id"].to_numpy())
 
     return in_blocks(zones, p, None).groupBy("zone", "x", "y").applyInPandas(compare, "a long, b long")
 
@@ -419,7 +428,7 @@ def linked_by_sets(blocks: DataFrame, p: Params, similarity: float) -> DataFrame
         posting = owner[order]
         begin = np.searchsorted(place[order], np.arange(len(values) + 1))
         cut = np.searchsorted(owner, np.arange(len(sets) + 1))
-        got = Forest(len(sets))
+        got = Trees(len(sets))
         for i in range(len(sets)):
             own = place[cut[i] : cut[i + 1]]
             if len(own) >= similarity * sizes[i]:
@@ -433,7 +442,7 @@ def linked_by_sets(blocks: DataFrame, p: Params, similarity: float) -> DataFrame
                 same[: i + 1] = False
                 if same.any():
                     got.join(i, np.flatnonzero(same))
-        return got.frame(f["id"].to_numpy())
+        return got.stars(f["id"].to_numpy())
 
     return blocks.groupBy("zone", "x", "y").applyInPandas(compare, "a long, b long")
 
