@@ -33,7 +33,7 @@ class Params:
     block_words: int = 16
     shard_slots: int = 4096
     task_slots: int = 1 << 18
-    bucket_rows: int = 2000
+    bucket_rows: int = 500
     max_sources: int = 100_000
     seed: int = 17
 
