@@ -1,11 +1,15 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard, searched by beams.
 
-Vectors are dealt to shards by hash. In a shard each vector, in batches, is searched for greedily in the graph so far; the
-vectors that the search visited are its candidates, and relaxed pruning keeps those edges that no shorter kept edge
-makes needless: candidate c goes if alpha * d(kept, c) <= d(vector, c). Reverse edges are added and pruned alike, and a
-second pass runs over all vectors. Inner products become distances by one more component, sqrt(M^2 - |x|^2), M the
-largest norm of all. Queries go through every shard's graph by beam search from its entry points, and the nearest of all
-shards are kept. Scores are inner products of the original vectors in double precision.
+Vectors are dealt to cells by their nearest centroid (fitted on a bounded sample), and a cell is split by hash into shards
+of about `shard_rows`. In a shard each vector, in batches, is searched for greedily in the graph so far; the vectors that
+the search visited are its candidates, and relaxed pruning keeps those edges that no shorter kept edge makes needless:
+candidate c goes if alpha * d(kept, c) <= d(vector, c). Reverse edges are added and pruned alike. Graphs are built once
+and written as a table. Inner products become distances by one more component, sqrt(M^2 - |x|^2), M the largest norm of all.
+
+Beam search takes a query through the graph of each shard from its entry points; `probes` sends it to the shards of so many
+nearest cells only, which pays where vectors form clusters (on vectors without any, 4 of 13 cells left a recall of 0.59). A
+task holds one shard and at most about `query_rows` queries. The nearest of all shards are kept. Scores are inner
+products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -22,16 +26,20 @@ from scriptorium.llm._common import materialize
 
 @dataclass(frozen=True)
 class Params:
-    """degree, beam, alpha: of the graph; search_beam: of the queries, k at least; entries: where searches begin; shard_rows: vectors of a shard, about; query_rows: queries that one task takes along."""
+    """degree, beam, alpha, passes: of the graph; search_beam: of the queries, k at least; entries: where searches begin; shard_rows: vectors of a shard, about; query_rows: queries that one task takes along; probes: cells that a query is searched in, None: all; max_cells and sample_rows bound the centroids and the sample that they are fitted on."""
 
     k: int = 20
     degree: int = 32
     beam: int = 48
     alpha: float = 1.2
-    search_beam: int = 96
+    passes: int = 1
+    search_beam: int = 112
     entries: int = 32
     shard_rows: int = 8192
-    query_rows: int = 4096
+    query_rows: int = 1024
+    probes: int | None = None
+    max_cells: int = 4096
+    sample_rows: int = 65_536
     batch: int = 256
     seed: int = 3
 
@@ -129,7 +137,7 @@ def built(vectors: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
         far = np.minimum(far, np.einsum("nd,nd->n", diff, diff))
         entries.append(int(far.argmax()))
     entry = np.unique(entries)
-    for _ in range(2):
+    for _ in range(p.passes):
         order = random.permutation(n)
         for k in range(0, n, p.batch):
             batch = order[k : k + p.batch]
@@ -155,50 +163,95 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """k-means over the sample from evenly spaced rows of it; an empty cell keeps its place."""
+    centre = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.concatenate([to_cells(sample[k : k + 4096], centre, 1)[:, 0] for k in range(0, len(sample), 4096)])
+        total, n = np.zeros_like(centre), np.bincount(own, minlength=cells)
+        np.add.at(total, own, sample)
+        centre[n > 0] = total[n > 0] / n[n > 0, None]
+    return centre
+
+
+def to_cells(x: np.ndarray, centre: np.ndarray, most: int) -> np.ndarray:
+    """The nearest cells of each row, nearest first."""
+    far = (centre * centre).sum(axis=1) - 2 * (x @ centre.T)
+    return np.argsort(far, axis=1, kind="stable")[:, :most]
+
+
+def matrix(col: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(col), width))
+    for i, x in enumerate(col):
+        out[i, : len(x)] = x
+    return out
+
+
+def lifted(x: np.ndarray, norm: float) -> np.ndarray:
+    """Vectors with the component that makes the largest inner product the least distance."""
+    return np.concatenate((x, np.sqrt(np.maximum(0, norm - np.einsum("nd,nd->n", x, x)))[:, None]), axis=1).astype(np.float32)
+
+
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", p: Params | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which `queries` holds, its own row left out.
 
     Nearness is the largest inner product; equal ones are ordered by the smaller vec_id. Vectors that are null, zero or hold
     null or non-finite components take no part on either side; of unequal lengths the shorter is filled with zeros. Rows
     with a null vec_id take no part. Equal vectors share one node of the graph, which keeps the k + 1 least ids, as no
-    query can need more; rows of one vec_id and one vector count once. An empty table gives an empty result.
+    query can need more; rows of one vec_id and one vector count once. An empty table gives an empty result. With `probes`,
+    a query whose cells hold fewer than k candidates gets those.
     """
     p = p or Params()
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.transform(embedding, lambda x: x.cast("double")).alias("v"), queries.alias("q"))
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     ranked = F.row_number().over(Window.partitionBy("v").orderBy("id"))  # trimmed before the shuffle
     least = rows.select("id", "v").distinct().withColumn("r", ranked).where(F.col("r") <= p.k + 1)
-    nodes = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    nodes = materialize(nodes, "ann-nodes")
-    asked = materialize(rows.where("q").select("id", "v").distinct(), "ann-queries")
+    nodes = materialize(least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-nodes")
     facts = nodes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), F.max(F.size("v")).alias("d")).first()
-    n_queries = asked.count()
-    shards = max(1, round(facts["n"] / p.shard_rows))
-    parts = max(1, -(-n_queries // p.query_rows))
     norm, width, k = float(facts["norm"] or 0), int(facts["d"] or 1), p.k
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    shard = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
-    data = nodes.select(shard.alias("shard"), "ids", "v")
-    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
+    cells = min(p.max_cells, max(1, round(facts["n"] / p.shard_rows)))
+    sample = nodes.orderBy(F.xxhash64("v"), "v").limit(max(cells, min(p.sample_rows, 64 * cells))).select("v").toPandas()
+    centre = centroids(lifted(matrix(sample["v"], width), norm), cells) if len(sample) else np.zeros((1, width + 1), np.float32)
+
+    def celled(most: int, query: bool, keep: list[str]):
+        def run(frames):
+            for f in frames:
+                x = matrix(f["v"], width)
+                x = np.concatenate((x, np.zeros((len(x), 1))), axis=1).astype(np.float32) if query else lifted(x, norm)
+                own = to_cells(x, centre, most)
+                yield f[keep].assign(cell=[c.astype(np.int32) for c in own])
+
+        return run
 
-    def matrix(col: pd.Series) -> np.ndarray:
-        out = np.zeros((len(col), width))
-        for i, x in enumerate(col):
-            out[i, : len(x)] = x
-        return out
+    held = nodes.mapInPandas(celled(1, False, ["ids", "v"]), "ids array<long>, v array<double>, cell array<int>").withColumn("cell", F.col("cell")[0])
+    sizes = F.broadcast(nodes.mapInPandas(celled(1, False, []), "cell array<int>").groupBy(F.col("cell")[0].alias("cell")).agg(F.ceil(F.count("*") / (2 * p.shard_rows)).cast("int").alias("subs")))  # max_cells rows
+    held = held.join(sizes, "cell").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("subs")).cast("int"))
+
+    def build(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(o=f["ids"].map(lambda x: x[0])).sort_values("o")
+        flat = lifted(matrix(f["v"], width), norm)
+        graph, entry = built(flat, p) if len(flat) > 1 else (np.full((1, p.degree), -1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+        first = np.zeros(len(f), dtype=bool)
+        first[entry] = True
+        return pd.DataFrame({"cell": f["cell"], "shard": f["shard"], "place": np.arange(len(f)), "ids": f["ids"], "v": f["v"], "edges": list(graph.astype(np.int32)), "entry": first})
+
+    made = "cell int, shard int, place int, ids array<long>, v array<double>, edges array<int>, entry boolean"
+    graphs = materialize(held.select("cell", "shard", "ids", "v").groupBy("cell", "shard").applyInPandas(build, made), "ann-graphs")
+    asked = rows.where("q").select("id", "v").distinct()
+    probes = cells if p.probes is None else min(cells, p.probes)
+    asked = asked.mapInPandas(celled(probes, True, ["id", "v"]), "id long, v array<double>, cell array<int>")
+    asked = materialize(asked.select("id", "v", F.explode("cell").alias("cell")).join(sizes, "cell"), "ann-queries")
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / p.query_rows).cast("int").alias("parts"))  # max_cells rows
+    ask = asked.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("shard"))
+    data = graphs.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
-            return empty
-        left = left.assign(o=left["ids"].map(lambda x: x[0])).sort_values("o")
-        x, owners = matrix(left["v"]), left["ids"].tolist()
-        inner = np.sqrt(np.maximum(0, norm - np.einsum("nd,nd->n", x, x)))
-        flat = np.concatenate((x, inner[:, None]), axis=1).astype(np.float32)
-        graph, entry = built(flat, p) if len(flat) > 1 else (np.full((1, p.degree), -1, dtype=np.int64), np.zeros(1, dtype=np.int64))
-        right = right.sort_values("id")
-        qid, q = right["id"].to_numpy(), matrix(right["v"])
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        left, right = left.sort_values("place"), right.sort_values("id")
+        x, owners = matrix(left["v"], width), left["ids"].tolist()
+        flat, graph, entry = lifted(x, norm), np.stack(left["edges"].tolist()).astype(np.int64), np.flatnonzero(left["entry"])
+        qid, q = right["id"].to_numpy(), matrix(right["v"], width)
         out = []
         for s in range(0, len(q), p.batch):
             part = np.concatenate((q[s : s + p.batch], np.zeros((len(q[s : s + p.batch]), 1))), axis=1).astype(np.float32)
@@ -206,17 +259,15 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
             for i, ids in enumerate(found):
                 ids = ids[ids >= 0]
                 score = (x[ids] * q[s + i]).sum(axis=1)
-                best = np.argsort(-score, kind="stable")
-                rows, distinct = [], 0
-                for j in best.tolist():  # whole nodes, until k rows are there and no tie is open
+                rows = []
+                for j in np.argsort(-score, kind="stable").tolist():  # whole nodes, until k rows are there and no tie is open
                     if len(rows) >= k + 1 and score[j] < rows[-1][2]:
                         break
                     rows += [(qid[s + i], v, score[j]) for v in owners[ids[j]] if v != qid[s + i]]
-                    distinct += 1
                 rows.sort(key=lambda r: (-r[2], r[1]))
                 out += rows[:k]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = data.groupBy("shard").cogroup(ask.groupBy("shard")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = data.groupBy("cell", "shard", "part").cogroup(ask.groupBy("cell", "shard", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
