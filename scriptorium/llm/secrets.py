@@ -26,7 +26,10 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more; as runs are taken
 
 #: Weak candidates: of these one alone says nothing.
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})|\bAKIA[A-Z0-9]{8,13}\b""", re.IGNORECASE | re.ASCII)
-SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])|\b(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=])""", re.ASCII | re.IGNORECASE)
+SHORT_SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])""", re.ASCII | re.IGNORECASE)
+#: A whole run of secret characters, entered once at its beginning; what it holds is tested in code, so that time grows with its length.
+RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+={0,2}+(?![A-Za-z0-9+/=])")
+DIGIT = re.compile(r"[0-9]")
 ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s"'<>]+|\b(?:endpoint|host|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", re.IGNORECASE | re.ASCII)
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: A text without any of these has no weak candidate that a complement could confirm.
@@ -49,19 +52,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def weak_secrets(text: str) -> list[tuple[int, int, int]]:
+    """Short assigned secrets, and runs of 20 or more characters with digits and both cases; of two that overlap the one that begins first."""
+    runs = [(m.start(), 4, m.end()) for m in RUN.finditer(text) if DIGIT.search(m[0]) and m[0] != m[0].lower() and m[0] != m[0].upper()]
+    out: list[tuple[int, int, int]] = []
+    for x in sorted([(m.start(), 4, m.end()) for m in SHORT_SECRET.finditer(text)] + runs):
+        if not out or x[0] >= out[-1][2]:
+            out.append(x)
+    return out
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
     """Weak candidates that a complement within the scope confirms. Base findings serve as complements as well."""
     if not HINT.search(text):
         return []
     identifiers = [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
     endpoints = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    secrets = [(m.start(), 4, m.end()) for m in SECRET.finditer(text)]
+    secrets = weak_secrets(text)
     strong_id = [b for b in base if b[1] == 1]
     assigned, runs = [b for b in base if b[1] == 0], [b for b in base if b[1] == 2]
 
     def near(*lists):
         """Whether a span of the lists lies within the scope of a span, other than on top of it. The spans of a list don't overlap, so starts and ends are sorted alike."""
-        sides = [([x[0] for x in spans], [x[2] for x in spans]) for spans in map(sorted, lists) if spans]
+        sides = [([x[0] for x in spans], [x[2] for x in spans]) for spans in lists if spans]
 
         def test(s: int, e: int) -> bool:
             for starts, ends in sides:
