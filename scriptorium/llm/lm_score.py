@@ -1,16 +1,17 @@
 """LM scoring: likelihood under a subword lattice.
 
 The pieces of an existing vocabulary are the arcs of a lattice over the bytes of a text; a text's probability is the sum
-over all ways to cut it into pieces, by a forward recursion in log space. No piece holds white space but at its start, so
-the lattice of a text falls apart into those of its words (each with the space before it), and a text's log10 probability
-is the sum of its words' and of one end. Each distinct word is scored once, wherever it occurs.
+over all ways to cut it into pieces, by a forward recursion in log space. A text is its words, each with one space before
+it (what white space stood there isn't scored), and one end. No piece that occurs in it holds a space but at its start, so
+the lattice of a text falls apart into those of its words, and its log10 probability is the sum of theirs and of the end.
+Each distinct word is scored once, wherever it occurs.
 
-A word of the training texts is an arc of its own besides, weighted by its count: `share` of all words are drawn whole, the
-others cut, and the share is fitted with each occurrence left out of its own word's count.
+The vocabulary is never changed. All its pieces are kept, and their scores weight the arcs as they stand: the file's scores
+are ranks, read as weights 1 / (rank + 2.7) and normalised. Every single byte is a piece, so every text has a probability.
 
-The vocabulary is never changed. The weights of its pieces start from its own scores (a rank of merges: weight
-1 / (rank + 2.7)); expected counts over the lattices of all training words, `rounds` times, then fit them to the corpus.
-Every single byte is a piece, so every text has a probability.
+Two variants are off by default. `rounds` fits the weights by expected counts over the lattices of all training words.
+`whole_words` makes each word of the training texts an arc of its own, weighted by its count: a share of all words is drawn
+whole, the others cut, and the share is fitted with each occurrence left out of its own word's count.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ class Params:
     vocabulary: str | None = None
     held_out: int = 2
     folds: int = 7
-    rounds: int = 1
-    longest_piece: int = 12
+    rounds: int = 0
+    whole_words: bool = False
     prior: float = 0.001
     block_bytes: int = 16 << 20
 
 
-def vocabulary(path: str | None, longest: int) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes (a leading space where a word begins), all 256 bytes among them, and their first log weights (natural)."""
+def vocabulary(path: str | None) -> tuple[list[bytes], np.ndarray]:
+    """Pieces as bytes (spaces where the file marks them), all 256 bytes among them, and their log weights (natural)."""
     import sentencepiece
 
     if path is None:
@@ -59,7 +60,7 @@ def vocabulary(path: str | None, longest: int) -> tuple[list[bytes], np.ndarray]
         piece = model.id_to_piece(i)
         raw = bytes([int(piece[3:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
         rank += 1
-        if 0 < len(raw) <= longest and b" " not in raw[1:] and raw == raw.lower():
+        if raw:
             found[raw] = max(found.get(raw, -np.inf), -np.log((20_000 if model.is_byte(i) else rank) + 2.7))
     for b in range(256):
         found.setdefault(bytes([b]), -np.log(40_000.0))
@@ -215,8 +216,8 @@ def word_counts(docs: DataFrame, p: Params) -> DataFrame:
 
 def fit_weights(words: DataFrame, pieces: list[bytes], weights: np.ndarray, n_all: int, p: Params) -> tuple[np.ndarray, float]:
     """Weights of the pieces and the share of words drawn whole; what comes to the driver is one number a piece."""
-    prior, share = np.exp(weights), 0.5
-    for _ in range(p.rounds if n_all else 0):
+    prior, share = np.exp(weights), 0.5 if p.whole_words else 0.0
+    for _ in range(max(p.rounds, p.whole_words) if n_all else 0):
 
         def expect(batches, weights=weights, share=share):
             lattice, total = Lattice(pieces), np.zeros(len(pieces) + 1)
@@ -228,7 +229,9 @@ def fit_weights(words: DataFrame, pieces: list[bytes], weights: np.ndarray, n_al
         rows = words.where("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(pieces) + 1)
         n[rows.column("piece").to_numpy()] = rows.column("n").to_numpy()
-        share = float(np.clip(1 - n[-1] / n_all, 0.01, 0.99))
+        share = float(np.clip(1 - n[-1] / n_all, 0.01, 0.99)) if p.whole_words else 0.0
+        if not p.rounds:
+            break
         n = n[:-1] + prior * max(1.0, p.prior * n[:-1].sum())  # every piece keeps a little of its first weight
         weights = np.log(n) - np.log(n.sum())
     return weights, share if n_all else 0.0
@@ -238,12 +241,12 @@ def score_lm(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     A null or empty text is its end alone. Repeated rows count as often as they occur and each gets its row. Without training
-    rows N and V are 0, and pieces keep their first weights (no word is drawn whole). Other columns of docs are not read.
+    rows N and V are 0, and no weight is fitted. Other columns of docs are not read, whatever their names.
     """
     p = p or Params()
     spark = docs.sparkSession
     small_batches(spark)
-    pieces, weights = vocabulary(p.vocabulary, p.longest_piece)
+    pieces, weights = vocabulary(p.vocabulary)
     words = materialize(word_counts(docs, p), "lm-words")
     out = fold(F.col("doc_id"), p.folds) == p.held_out
     sums = docs.agg(F.count(F.when(~out, 1)).alias("ends"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars")).first()
@@ -268,7 +271,7 @@ def score_lm(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
     known = words.mapInArrow(scored, "word binary, c long, lp double")
     blocks = max(1, -(-int(sums["chars"] or 0) // p.block_bytes))
-    own = docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    own = docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     own = own.repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
 
     def distinct(batches):

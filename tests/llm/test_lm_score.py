@@ -28,8 +28,21 @@ def test_lattice_sums_over_all_cuts():
 
 def test_scores_against_counts(spark, docs):
     rows = [(i, f"The cat sat on the MAT {i % 5}\tand\nÉté {'x' * (i % 3 + 1)}") for i in range(30)]
+    pieces, weights = lm_score.vocabulary(None)
+    logp = dict(zip(pieces, weights, strict=True))
+    longest = max(map(len, pieces))
+
+    def forward(text):
+        """All cuts of the whole text into pieces, by a plain recursion over its bytes."""
+        data = b"".join(b" " + w for w in text.encode().lower().split())
+        alpha = [0.0]
+        for j in range(1, len(data) + 1):
+            terms = [alpha[j - k] + logp[data[j - k : j]] for k in range(1, min(longest, j) + 1) if data[j - k : j] in logp]
+            alpha.append(float(np.logaddexp.reduce(terms)))
+        return alpha[-1]
+
     rows += [(100, None), (101, ""), (102, "word" * 2000), (103, "a " * 5000), (4, rows[4][1])]
-    out = lm_score.score_lm(docs(rows)).collect()
+    out = lm_score.score_lm(docs(rows).selectExpr("*", "1 AS score", "2 AS block", "3 AS word")).collect()
     assert len(out) == len(rows)
     low = lambda t: (t or "").encode().lower().split()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
@@ -47,6 +60,14 @@ def test_scores_against_counts(spark, docs):
         a = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == a[:4] and math.isclose(r["base_score"], a[4], rel_tol=1e-9)
         assert math.isfinite(r["score"]) and r["score"] < 0
+        if r["doc_id"] < 30 or r["doc_id"] in (100, 101):
+            text = dict(rows)[r["doc_id"]] or ""
+            seen = ends + 1.0
+            end = seen / (seen + n - ends)
+            whole = forward(text) / math.log(10) + len(low(text)) * math.log10(1 - end) + math.log10(end)
+            assert math.isclose(r["score"], whole, rel_tol=1e-9)
+    fitted = lm_score.score_lm(docs(rows), lm_score.Params(rounds=1, whole_words=True)).collect()
+    assert sum(x["score"] for x in fitted) > sum(x["score"] for x in out)
 
 
 def test_no_training_rows(spark, docs):
