@@ -65,7 +65,8 @@ def chunks(lines: DataFrame, p: Params) -> DataFrame:
     # places in words, not in rows, so that a frame ends with the line that fills it
     onward = F.collect_list(one).over(doc.orderBy("from").rangeBetween(Window.currentRow, p.run_words - 1))
     back = F.collect_list(one).over(doc.orderBy("to").rangeBetween(-(p.run_words - 1), Window.currentRow))
-    runs = out.select("doc_id", "key", "i", onward.alias("x"), back.alias("y"))
+    # c is asked for, so that both uses of the lines are the same exchange
+    runs = out.where("c >= 0").select("doc_id", "key", "i", onward.alias("x"), back.alias("y"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, l: s + l["w"])  # noqa: E731, E741
     ends = lambda x: F.struct(x[0]["i"].alias("a"), (F.element_at(x, -1)["i"] + 1).alias("b"), *_keys(F.transform(x, lambda l: l["h"])))  # noqa: E731, E741
     found = F.array(*[F.when(total(F.col(x)) >= p.run_words, ends(F.col(x))) for x in ("x", "y")])
