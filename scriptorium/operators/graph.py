@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import tokens
+from scriptorium.functions.text import tokens, worded
 
 #: Relation types; others count as the last.
 RELATIONS = ("causes", "requires", "contradicts", "supports", "contains", "precedes", "similar_to", "derived_from", "instance_of", "influences")
@@ -17,8 +17,10 @@ ANTONYMS = {
     "meningkat": "menurun", "kenaikan": "penurunan", "pertumbuhan": "kontraksi", "mempercepat": "memperlambat", "memperkuat": "memperlemah", "mendukung": "menentang",
     "positif": "negatif", "untung": "rugi", "surplus": "defisit", "ekspansi": "resesi", "menaikkan": "menurunkan", "optimal": "buruk", "berhasil": "gagal",
 }
-NEGATION = r"(?U)\b(?:not|never|no|none|doesn't|cannot|can't|without|fails to|lacks?|absence|tidak|bukan|tanpa|gagal|tak|belum|tiada|kehilangan)\b"
-TRADE_OFF = r"(?U)\b(?:while|whereas|sedangkan|namun|tetapi|trade-?off|balance|membandingkan|compare[ds]?|despite|although|walaupun|meskipun)\b"
+#: Words that deny, and words that weigh one thing against another.
+NEGATIONS = ("not", "never", "no", "none", "doesn't", "cannot", "can't", "without", "fails to", "lack", "lacks", "absence", "tidak", "bukan", "tanpa", "gagal", "tak", "belum", "tiada", "kehilangan")
+TRADE_OFFS = ("while", "whereas", "sedangkan", "namun", "tetapi", "trade-off", "tradeoff", "balance", "membandingkan", "compared", "compares", "compare", "despite", "although", "walaupun", "meskipun")
+NEGATION, TRADE_OFF = worded(*NEGATIONS), worded(*TRADE_OFFS)
 
 
 def relation(kind: Column) -> Column:

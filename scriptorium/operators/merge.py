@@ -42,11 +42,12 @@ def more_rows(old: Column, new: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Callable[[DataFrame], Column], rules: dict[str, Rule], seq: str = "seq", doc: str = "doc_id") -> DataFrame:
-    """old and new full outer on (doc, key); columns without a rule keep the stored value if it is there. Keys are unique first: the first row of each."""
-    sides = []
-    for df in (old, new):
-        k = df.withColumn("__key", key(df)).where(F.col("__key").isNotNull() & (F.col("__key") != ""))
-        sides.append(first_wins(k, [doc, "__key"], seq))
+    """old and new full outer on (doc, key); columns without a rule keep the stored value if it is there. Keys are unique first: the first row of each. Rows without a key stay as they are."""
+    sides, bare = [], []
+    for i, df in enumerate((old, new)):
+        k = df.withColumn("__key", F.coalesce(key(df), F.lit("")))
+        sides.append(first_wins(k.where(F.col("__key") != ""), [doc, "__key"], seq))
+        bare.append(k.where(F.col("__key") == "").select(doc, (F.col(seq) + 1_000_000 * i).cast("long").alias(seq), *[c for c in old.columns if c not in (doc, seq)]))
     a, b = sides[0].alias("a"), sides[1].alias("b")
     met = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.__key") == F.col("b.__key")), "full_outer")
     cols = [F.coalesce(F.col(f"a.{doc}"), F.col(f"b.{doc}")).alias(doc), F.coalesce(F.col(f"a.{seq}"), F.lit(1_000_000) + F.col(f"b.{seq}")).cast("long").alias(seq)]
@@ -55,10 +56,12 @@ def upsert(old: DataFrame, new: DataFrame, key: Callable[[DataFrame], Column], r
             x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
             rule = rules.get(c, lambda p, q: F.coalesce(p, q))
             cols.append(F.when(F.col("a.__key").isNull(), y).when(F.col("b.__key").isNull(), x).otherwise(rule(x, y)).alias(c))
-    return met.select(*cols)
+    return met.select(*cols).unionByName(bare[0]).unionByName(bare[1])
 
 
-alnum = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+def alnum(c: Column) -> Column:
+    """Letters and digits of any script, in lower case; of a text without any, the text."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), F.lit("")), strip(c))
 
 
 def authors(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -98,7 +101,10 @@ def citations(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    return upsert(old, new, lambda d: F.col("node_id"), {c: fill for c in old.columns if c in ("label", "type", "description", "source_page")})
+    rules: dict[str, Rule] = {c: fill for c in old.columns if c in ("label", "type", "description", "source_page")}
+    if "same_as" in old.columns:
+        rules["same_as"] = lambda x, y: F.when(F.coalesce(F.size(x), F.lit(0)) > 0, x).otherwise(y)
+    return upsert(old, new, lambda d: F.col("node_id"), rules)
 
 
 def edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def terms(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def formulas(old: DataFrame, new: DataFrame) -> DataFrame:
-    return upsert(old, new, lambda d: F.lower(strip(F.col("expression"))), {c: (lambda x, y: y) for c in old.columns if c not in ("doc_id", "seq")})
+    return upsert(old, new, lambda d: F.lower(F.coalesce(F.nullif(strip(F.col("expression")), F.lit("")), strip(F.col("name")) if "name" in d.columns else F.lit(""))), {c: (lambda x, y: y) for c in old.columns if c not in ("doc_id", "seq")})
 
 
 def documents(old: DataFrame, new: DataFrame, scalars: tuple[str, ...] = ("name", "headline", "description", "in_language", "genre")) -> DataFrame:
