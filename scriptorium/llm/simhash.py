@@ -50,7 +50,7 @@ class Params:
 
 
 #: Five words and a Jaccard similarity of 0.8: fingerprints propose, shingle sets decide. near_params adds the words that a recall takes.
-NEAR = Params(shingle=5, words=2, max_bits=15, hot=32)
+NEAR = Params(shingle=5, words=2, max_bits=15, hot=12)
 #: Pairs that share a partition go on to the comparison of shingle sets within this share of differing bits; at a similarity of 0.8 about 0.15 differ.
 NEAR_SHARE = 0.27
 #: Words that candidates are compared by, and the recall of near copies at the least similarity.
