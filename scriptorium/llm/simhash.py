@@ -317,7 +317,7 @@ def _probes(value: Column, masks: list[int], even: int) -> Column:
 
 
 def links(nodes: DataFrame, p: Params, limit: int) -> DataFrame:
-    """nodes: id and distinct fingerprints. Edges a, b within the limit (by the first NEAR_WORDS words): of all nodes that share a value, pairs where it is cold and a spanning forest of each two blocks where it is hot."""
+    """nodes: id and distinct fingerprints. Edges a, b whose components are those of the links within the limit (by the first NEAR_WORDS words) between nodes that share a value; an edge itself may join two nodes that have a partner in common."""
     count = nodes.count()
     names = [f"f{w}" for w in range(p.words)]
     rows = nodes.select(*names).orderBy(F.xxhash64(*names), *names).limit(p.sample).toPandas()
