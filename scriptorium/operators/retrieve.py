@@ -27,14 +27,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 6, payload: Column | No
     index in blocks of max_queries, and each partition keeps its own k before rows are shuffled.
     """
     rows = index if payload is None else index.where(payload)
-    rows = rows.select("id", "embedding")
+    rows = rows.select("id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("__n"))
     n = queries.count()
     blocks = max(1, -(-n // max_queries))
-    asked = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = queries.withColumn("__q", F.sqrt(dot(F.col("query"), F.col("query")))).withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = None
     for b in range(blocks):
-        part = F.broadcast(asked.where(F.col("__b") == b).select("query_id", "query"))
-        found = rows.join(part).select("query_id", "id", cosine(F.col("embedding"), F.col("query")).alias("score")).where(F.col("score").isNotNull())
+        part = F.broadcast(asked.where(F.col("__b") == b).select("query_id", "query", "__q"))
+        norm = F.col("__n") * F.col("__q")
+        found = rows.join(part).select("query_id", "id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("score")).where(F.col("score").isNotNull())
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         found = found.withColumn("rank", rank).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)

@@ -112,7 +112,7 @@ def flat_tables(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "chunk_seq", "page_number", "caption", "headers", "rows"])
 
     rows = chunks.where((F.col("chunk_type") == "table") & ~F.col("text").contains("|")).select("doc_id", "chunk_seq", "page_idx", "text")
-    return rows.mapInPandas(parse, "doc_id string, chunk_seq long, page_number int, caption string, headers array<string>, rows array<array<string>>")
+    return rows.mapInPandas(parse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_seq long, page_number int, caption string, headers array<string>, rows array<array<string>>")
 
 
 def merge_key(caption: Column, headers: Column) -> Column:

@@ -14,8 +14,8 @@ from scriptorium.operators import tables as ta
 
 
 def chunks_of_pages(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page_idx, text) to chunks."""
-    blocks = ch.page_blocks(ch.strip_running(ch.lines_of(pages)))
+    """Pages (doc_id, page_idx, text) to chunks. Captioned regions of pages that are one or two blocks become blocks."""
+    blocks = ch.inline_tables(ch.page_blocks(ch.strip_running(ch.lines_of(pages))))
     return ch.stitch(ch.merge_caption_blocks(blocks))
 
 
@@ -79,7 +79,9 @@ def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
     secs = ou.page_ends(ou.filter_sections(secs))
     sec = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "section_name", "summary", "page_start", "page_end"))).alias("sections"))
     parsed = chunks.where("chunk_type = 'table'").select("doc_id", F.col("chunk_seq").alias("seq"), ta.parse_markdown(F.col("text"), F.col("page_idx"), F.lit("en")).alias("t")).where("t IS NOT NULL")
-    tab = ta.consolidate(parsed.select("doc_id", "seq", "t.caption", "t.page_number", "t.headers", "t.rows"))
+    flat = ta.flat_tables(chunks).where(ta.is_valid_table(F.col("headers"), F.col("rows"))).withColumnRenamed("chunk_seq", "seq")
+    columns = ("doc_id", "seq", "caption", "page_number", "headers", "rows")
+    tab = ta.consolidate(parsed.select("doc_id", "seq", "t.caption", "t.page_number", "t.headers", "t.rows").unionByName(flat.select(*columns)))
     tab = tab.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", "caption", "page_number", "headers", "rows", "table_type"))).alias("tables"))
     out = meta
     for branch in (refs, metric, extra, sec, tab):

@@ -112,14 +112,14 @@ def page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d)
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d)
 SELECT query_id, rank::INT AS rank, id, score FROM r WHERE rank <= 6""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-15, SORT-04: five questions against all vectors."""
+    """JOIN-15, SORT-04, MATH-07: every twentieth vector against all."""
     e = t(spark, sf_dir, "embeddings")
     index = e.select(F.col("vec_id").alias("id"), "embedding")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieve.top_k(index, asked, 6).withColumn("score", F.round("score", 6))
 
 
@@ -393,13 +393,19 @@ def turtle_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS doc_id, 3::BIGINT AS n_statements, 'MERGE (p:Paper {id: ''doc_' || s_suppkey || '''}) SET p.title = ''Supply & demand of ' || s_name || ''', p.doi = ''10.1000/' || s_suppkey || '''' AS paper FROM supplier""")
+WITH p AS (SELECT s_suppkey AS doc_id, 'doc_' || s_suppkey AS d, s_name, n_name, lower(replace(n_name, ' ', '_')) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT doc_id, 0 AS block, 0 AS idx, 'MERGE (p:Paper {id: ''' || d || '''}) SET p.title = ''Supply & demand of ' || s_name || ''', p.doi = ''10.1000/' || doc_id || '''' AS statement FROM p
+UNION ALL SELECT doc_id, 1, 0, 'MERGE (a:Person {id: ''ann_' || n || ''', name: ''Ann ' || n_name || '''}) MERGE (p:Paper {id: ''' || d || '''}) MERGE (p)-[:AUTHORED_BY]->(a)' FROM p
+UNION ALL SELECT doc_id, 2, 1, 'MERGE (n:Concept {id: ''kg_supply'', name: ''supply''}) MERGE (p:Paper {id: ''' || d || '''}) MERGE (p)-[:CONTAINS_CONCEPT]->(n)' FROM p
+UNION ALL SELECT doc_id, 2, 2, 'MERGE (n:Place {id: ''kg_place'', name: ''' || n_name || '''}) MERGE (p:Paper {id: ''' || d || '''}) MERGE (p)-[:CONTAINS_CONCEPT]->(n)' FROM p
+UNION ALL SELECT doc_id, 3, 1, 'MATCH (s {id: ''kg_supply''}), (t {id: ''kg_place''}) MERGE (s)-[:LOCATEDIN]->(t)' FROM p""")
 def cypher_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-08, SNK-09."""
+    """SNK-08, SNK-09: every statement of papers, people, nodes and edges."""
     p = _papers(spark, sf_dir)
-    nodes = p.select("doc_id", F.lit(1).alias("seq"), F.lit("kg:supply").alias("node_id"), F.lit("kg:Concept").alias("type"), F.lit("supply").alias("label"))
-    edges = nodes.where("false").select("doc_id", "seq", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), "type")
-    return export.cypher_statements(p, nodes, edges).groupBy("doc_id").agg(F.count("*").alias("n_statements"), F.min_by("statement", "block").alias("paper"))
+    node = lambda seq, at, kind, label: p.select("doc_id", F.lit(seq).alias("seq"), F.lit(at).alias("node_id"), F.lit(kind).alias("type"), label.alias("label"))
+    nodes = node(1, "kg:supply", "kg:Concept", F.lit("supply")).unionByName(node(2, "kg:place", "kg:Place", F.get("keywords", F.lit(0))))
+    edges = p.select("doc_id", F.lit(1).alias("seq"), F.lit("kg:supply").alias("src"), F.lit("kg:place").alias("dst"), F.lit("locatedIn").alias("type"))
+    return export.cypher_statements(p, nodes, edges)
 
 
 @query("""
@@ -557,6 +563,151 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(t(spark, sf_dir, "events"))
 
 
+@query("""
+WITH o AS (SELECT s_nationkey AS doc_id, s_suppkey::BIGINT AS seq, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Institute' ELSE '' END AS affiliation FROM supplier)
+SELECT doc_id, seq, name, CASE WHEN affiliation = '' AND seq % 3 = 0 THEN 'University' ELSE affiliation END AS affiliation, CASE WHEN seq % 3 = 0 THEN 'id' || seq END AS identifier FROM o
+UNION ALL SELECT s_nationkey, 1000000 + 100000 + s_suppkey, 'Экстра ' || s_suppkey, 'University', NULL FROM supplier WHERE s_suppkey % 5 = 0""")
+def merge_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-01: names in other spelling meet, blanks are filled, names of any script stay."""
+    k = F.col("s_suppkey")
+    s = t(spark, sf_dir, "supplier").withColumn("doc_id", F.col("s_nationkey"))
+    none = F.lit(None).cast("string")
+    old = s.select("doc_id", k.alias("seq"), F.col("s_name").alias("name"), F.when(k % 2 == 0, "Institute").otherwise("").alias("affiliation"), none.alias("identifier"))
+    same = s.where(k % 3 == 0).select("doc_id", k.alias("seq"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" - "))).alias("name"), F.lit("University").alias("affiliation"), F.concat(F.lit("id"), k.cast("string")).alias("identifier"))
+    more = s.where(k % 5 == 0).select("doc_id", (k + 100000).alias("seq"), F.concat(F.lit("Экстра "), k.cast("string")).alias("name"), F.lit("University").alias("affiliation"), none.alias("identifier"))
+    return merge.authors(old, same.unionByName(more))
+
+
+_ITEMS = "i AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber::BIGINT AS seq FROM lineitem)"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("seq")).distinct()
+
+
+@query(f"""
+WITH {_ITEMS}, a AS (SELECT *, repeat('a', (seq * 3 % 7 + 1)::INT) AS s, seq AS p FROM i WHERE seq <= 4),
+b AS (SELECT *, repeat('b', (seq * 5 % 8)::INT) AS s, CASE WHEN seq % 2 = 0 THEN seq + 10 END AS p FROM i WHERE seq >= 2)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.seq, 1000000 + b.seq) AS seq, CASE WHEN a.seq IS NULL THEN '## ' || b.seq || '. TOPIC' ELSE a.seq || '. Topic' END AS section_name,
+  CASE WHEN a.seq IS NULL OR length(b.s) > length(a.s) THEN b.s ELSE a.s END AS summary, coalesce(b.p, a.p)::INT AS page_start FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.seq = b.seq""")
+def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-02: the longer summary and the new pages win."""
+    n, none = F.col("seq"), F.lit(None).cast("int")
+    i = _items(spark, sf_dir)
+    section = lambda df, name, summary, page: df.select("doc_id", "seq", name.alias("section_name"), summary.alias("summary"), page.cast("int").alias("page_start"), none.alias("page_end"))
+    old = section(i.where("seq <= 4"), F.concat(n.cast("string"), F.lit(". Topic")), F.repeat(F.lit("a"), (n * 3 % 7 + 1).cast("int")), n)
+    new = section(i.where("seq >= 2"), F.concat(F.lit("## "), n.cast("string"), F.lit(". TOPIC")), F.repeat(F.lit("b"), (n * 5 % 8).cast("int")), F.when(n % 2 == 0, n + 10))
+    return merge.sections(old, new).drop("page_end")
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS seq, o_orderpriority AS category, o_orderstatus AS name, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderkey::VARCHAR END AS value, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 9)::INT END AS page_number, o_orderdate < TIMESTAMP '1995-01-01' AS old FROM orders),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, category, name, old ORDER BY seq) = 1)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.seq, 1000000 + b.seq) AS seq, coalesce(a.category, b.category) AS category, coalesce(a.name, b.name) AS name,
+  CASE WHEN b.seq IS NULL OR a.value <> '' THEN a.value ELSE b.value END AS value, coalesce(b.page_number, a.page_number) AS page_number
+FROM (SELECT * FROM f WHERE old) a FULL JOIN (SELECT * FROM f WHERE NOT old) b ON a.doc_id = b.doc_id AND a.category = b.category AND a.name = b.name""")
+def merge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-03: stored values unless blank, new pages."""
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("seq"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("name"), F.when(k % 4 == 0, "").otherwise(k.cast("string")).alias("value"), F.when(k % 5 > 0, (k % 9).cast("int")).alias("page_number"), (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("old"))
+    return merge.metrics(o.where("old").drop("old"), o.where("not old").drop("old"))
+
+
+@query("""
+SELECT c_nationkey AS doc_id, c_custkey::BIGINT AS seq, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 > c_custkey % 3 + 1 THEN 'Tabel ' || c_custkey || ': Saldo' ELSE 'Table ' || c_custkey || '. Balance' END AS caption,
+  CASE WHEN c_custkey % 2 = 0 THEN greatest(c_custkey % 5, c_custkey % 3 + 1) ELSE c_custkey % 3 + 1 END::INT AS n_rows FROM customer""")
+def merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-04: tables of one number meet, the one with more rows stays."""
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer")
+    table = lambda df, caption, n: df.select(F.col("c_nationkey").alias("doc_id"), k.alias("seq"), caption.alias("caption"), F.array_repeat(F.array(F.lit("1"), F.lit("2")), n.cast("int")).alias("rows"))
+    old = table(c, F.concat(F.lit("Table "), k.cast("string"), F.lit(". Balance")), k % 3 + 1)
+    new = table(c.where(k % 2 == 0), F.concat(F.lit("Tabel "), k.cast("string"), F.lit(": Saldo")), k % 5)
+    return merge.tables(old, new).select("doc_id", "seq", "caption", F.size("rows").alias("n_rows"))
+
+
+@query(f"""
+WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 4 THEN seq ELSE 1000000 + seq END AS seq, 'kg:' || seq AS node_id,
+  CASE WHEN seq = 1 OR (seq <= 4 AND seq % 2 = 0) THEN CASE WHEN seq % 2 = 0 THEN 'old' ELSE '' END ELSE 'new' END AS label, CASE WHEN seq = 1 THEN '' WHEN seq <= 4 AND seq % 3 = 0 THEN 'a' ELSE 'b' END AS same_as FROM i""")
+def merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-06: blank labels and empty lists are filled."""
+    n = F.col("seq")
+    i = _items(spark, sf_dir).withColumn("node_id", F.concat(F.lit("kg:"), n.cast("string")))
+    none = F.array().cast("array<string>")
+    old = i.where("seq <= 4").withColumn("label", F.when(n % 2 == 0, "old").otherwise("")).withColumn("same_as", F.when(n % 3 == 0, F.array(F.lit("a"))).otherwise(none))
+    new = i.where("seq >= 2").withColumn("label", F.lit("new")).withColumn("same_as", F.array(F.lit("b")))
+    return merge.nodes(old, new).withColumn("same_as", F.array_join("same_as", "|"))
+
+
+@query(f"""
+WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 4 THEN seq ELSE 1000000 + seq END AS seq, 'n' || seq AS src, 'n' || seq + 1 AS dst, 'uses' AS type, CASE WHEN seq = 1 THEN 0.25 ELSE 0.75 END::DOUBLE AS weight FROM i""")
+def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-07: the new properties of an edge win."""
+    node = lambda k: F.concat(F.lit("n"), (F.col("seq") + k).cast("string"))
+    i = _items(spark, sf_dir).select("doc_id", "seq", node(0).alias("src"), node(1).alias("dst"), F.lit("uses").alias("type"))
+    return merge.edges(i.where("seq <= 4").withColumn("weight", F.lit(0.25)), i.where("seq >= 2").withColumn("weight", F.lit(0.75)))
+
+
+@query(f"""
+WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 4 THEN seq ELSE 1000000 + seq END AS seq, seq::INT AS step_number, CASE WHEN seq = 1 THEN 'Mix' ELSE 'Mix well' END AS name FROM i""")
+def merge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-09: steps meet by number."""
+    i = _items(spark, sf_dir).withColumn("step_number", F.col("seq").cast("int"))
+    return merge.procedures(i.where("seq <= 4").withColumn("name", F.lit("Mix")), i.where("seq >= 2").withColumn("name", F.lit("Mix well")))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'doc:2024-b' ELSE 'doc:2020-a' END AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Report on ' || c_mktsegment || ' at length' ELSE 'Report on ' || c_mktsegment END AS name,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Old House' ELSE 'New House' END AS publisher, c_mktsegment || '|trade' AS keywords FROM customer""")
+def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-10: the longer name, a dated id, the new publisher unless blank, keywords of both."""
+    k, m = F.col("c_custkey"), F.col("c_mktsegment")
+    c = t(spark, sf_dir, "customer")
+    doc = lambda i, name, publisher, words: c.select(k.alias("doc_id"), i.alias("id"), name.alias("name"), publisher.alias("publisher"), F.lit("2024-01-01").alias("date_published"), words.alias("keywords"))
+    title = F.concat(F.lit("Report on "), m)
+    old = doc(F.when(k % 3 == 0, "doc:undated-a").otherwise("doc:2020-a"), title, F.lit("Old House"), F.array(m))
+    new = doc(F.lit("doc:2024-b"), F.when(k % 2 == 0, F.concat(title, F.lit(" at length"))).otherwise("Report"), F.when(k % 5 == 0, " ").otherwise("New House"), F.array(F.lower(m), F.lit("trade")))
+    return merge.documents(old, new, ("name",)).select("doc_id", "id", "name", "publisher", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("""
+SELECT c_custkey, c_name || ' of 3.5' AS plain, 'THE ' || c_mktsegment AS spaced, 'Report on ' || replace(c_name, '#', ' ') AS title, 'We study ' || c_mktsegment || '.' || chr(10) || 'It grows.' AS abstract FROM customer""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03 to STR-06: cleaned text, title and abstract, whole."""
+    plain = text.sanitize_for_extraction(F.concat(F.lit("## DATA TABEL / METRIK SPESIFIK: **"), F.col("c_name"), F.lit("** of 3 . 5")))
+    title = text.clean_title(F.concat(F.lit('"SMITH et al: Report on '), F.col("c_name"), F.lit(', Ann Lee"')), F.array(F.lit("Ann Lee")))
+    abstract = text.clean_abstract(F.concat(F.lit("Copyright 2024 Wiley\nAbstract: We study "), F.col("c_mktsegment"), F.lit(".\nIt grows.\nKeywords: a, b\n1. Introduction\nMore")))
+    return t(spark, sf_dir, "customer").select("c_custkey", plain.alias("plain"), text.fix_title_spacing(F.concat(F.lit("THE"), F.col("c_mktsegment"))).alias("spaced"), title.alias("title"), abstract.alias("abstract"))
+
+
+@query("""
+SELECT o_orderkey AS doc_id, 'Table 1. Status' AS caption, 'key|status|note' AS headers, o_orderkey || '|' || o_orderstatus || '|late twice;x|' || o_orderpriority || '|' AS cells FROM orders""")
+def flat_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26: columns set apart by tabs or two spaces; long rows are joined at the end, short ones filled."""
+    o = t(spark, sf_dir, "orders")
+    body = F.concat(F.lit("Table 1. Status\nkey\tstatus\tnote\n"), F.col("o_orderkey").cast("string"), F.lit("\t"), F.col("o_orderstatus"), F.lit("\tlate\ttwice\nx  "), F.col("o_orderpriority"))
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("chunk_seq"), F.lit(1).alias("page_idx"), F.lit("table").alias("chunk_type"), body.alias("text"))
+    got = tables.flat_tables(spread(rows))
+    return got.select("doc_id", "caption", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
+@query("""
+SELECT count(*) AS n_docs, round(avg(o_orderkey % 100), 1) AS avg_score, round(avg((o_orderkey % 8) / 4.0), 2) AS avg_seconds, sum(o_orderkey % 7)::BIGINT AS n_citations, sum(o_orderkey % 3)::BIGINT AS n_sections FROM orders""")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: totals over reports."""
+    k = F.col("o_orderkey")
+    return validate.corpus_totals(t(spark, sf_dir, "orders").select((k % 100).alias("score"), ((k % 8) / 4.0).alias("seconds"), (k % 7).alias("n_citations"), (k % 3).alias("n_sections")))
+
+
+@query("""
+SELECT c_custkey, concat_ws('|', CASE WHEN c_custkey % 2 = 0 THEN 'date' END, CASE WHEN c_custkey % 3 = 0 THEN 'author' END, CASE WHEN c_custkey % 5 = 0 THEN 'doi' END) AS missing FROM customer""")
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-05: what a complete record lacks."""
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    got = validate.missing_fields(F.when(k % 2 > 0, "2024"), F.when(k % 3 == 0, none).otherwise(F.array("c_name")), F.when(k % 5 == 0, " ").otherwise("10.1/x"))
+    return t(spark, sf_dir, "customer").select("c_custkey", F.array_join(got, "|").alias("missing"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

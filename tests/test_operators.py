@@ -218,3 +218,14 @@ def test_graph_json(spark):
     e = spark.createDataFrame([("d", 1, "kg:a", "kg:b", "causes")], "doc_id string, seq int, src string, dst string, type string")
     g = json.loads(export.json_graph(d, n, e).first()["json"])["@graph"]
     assert [x["@id"] for x in g] == ["doc:1", "kg:person_ann_bee", "kg:a", "kg:a"] and g[3]["statement"] == {"kg:causes": {"@id": "kg:b"}}
+
+
+def test_flat_tables_reach_documents(spark):
+    """Tables of columns set apart by white space, in a document of their own and beside one with bars. Adjacent tables are one."""
+    page = "Stock of goods in the year 2020\n\nTable 1. Stock by month\nmonth\tstock\tprice\nMay\t12\t3\nJune\t14\t4"
+    bars = "Table 2. Bars\n| x name | y name |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |"
+    p = spark.createDataFrame([("a", 1, page), ("b", 1, page), ("b", 2, "A page of words stands between these two tables."), ("b", 3, bars)], "doc_id string, page_idx int, text string")
+    got = {r["doc_id"]: [(t["caption"], t["rows"]) for t in r["tables"] or []] for r in extract.documents(extract.chunks_of_pages(p)).select("doc_id", "tables").collect()}
+    flat = ("Table 1. Stock by month", [["May", "12", "3"], ["June", "14", "4"]])
+    assert flat in got["a"]
+    assert flat in got["b"] and len(got["b"]) == 2
