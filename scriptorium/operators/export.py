@@ -3,10 +3,13 @@ keywords, authors (array of struct(name, affiliations array of string)), and mor
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scriptorium.functions.bibliography import clean_entry
 from scriptorium.functions.text import escape_html, escape_literal, strip
@@ -172,6 +175,50 @@ def embed_package(tags: Column, json: Column) -> Column:
     return F.concat(lit("<!-- scholarly tags -->\n"), tags, lit('\n<!-- linked data -->\n<script type="application/ld+json">\n'), json, lit("\n</script>"))
 
 
+def packaged(docs: DataFrame) -> DataFrame:
+    """docs with tags, json and package made anew; columns that the exports ask for and docs lack count as empty."""
+    text = ("journal", "volume", "issue", "page_start", "page_end", "issn", "pdf_url", "abstract_url")
+    lists = {"sections": "struct<section_name: string, summary: string>", "tables": "struct<caption: string>", "metrics": "struct<name: string, value: string, unit: string>", "citations": "string"}
+    absent = {c: none() for c in text if c not in docs.columns} | {c: lit(None).cast(f"array<{t}>") for c, t in lists.items() if c not in docs.columns}
+    made = docs.select("*", *[v.alias(c) for c, v in absent.items()]).withColumns({"tags": scholar_tags(), "json": json_ld()})
+    return made.withColumn("package", embed_package(col("tags"), col("json"))).drop(*absent)
+
+
+#: The keys of a Schema.org document that are kept.
+SCHEMA_KEYS = (
+    "@context", "@type", "@id", "name", "headline", "alternateName", "description", "inLanguage", "datePublished", "dateModified", "keywords", "author", "creator", "publisher", "sdPublisher",
+    "about", "hasPart", "additionalProperty", "citation", "action", "potentialAction", "mainEntity", "encodingFormat", "url", "identifier", "sameAs",
+)
+
+
+@F.pandas_udf(StringType())
+def schema_org(raw: pd.Series) -> pd.Series:
+    """A JSON-LD document with the keys of Schema.org alone and nothing empty at any depth, without its wrapper; null for what is no JSON, the bare context for what is no object."""
+
+    def full(v) -> bool:
+        return v is not None and v != "" and v != [] and v != {}
+
+    def trimmed(v):
+        return [x for x in map(trimmed, v) if full(x)] if isinstance(v, list) else v
+
+    def pairs(items):  # the parser calls it from the inside out, so what is within is clean already
+        return {k: v for k, v in ((k, trimmed(v)) for k, v in items) if full(v)}
+
+    def clean(text: str | None) -> str | None:
+        try:
+            doc = json.loads(text, object_pairs_hook=pairs)
+        except (TypeError, ValueError):
+            return None
+        doc = doc if isinstance(doc, dict) else {}
+        inner = doc.get("schema_json_ld", doc)
+        doc = inner if isinstance(inner, dict) else doc
+        kept = {k: v for k, v in doc.items() if k in SCHEMA_KEYS}
+        kept.setdefault("@context", "https://schema.org")
+        return json.dumps(kept, ensure_ascii=False, separators=(",", ":"))
+
+    return raw.map(clean)
+
+
 def dublin_core(today: Column | None = None) -> Column:
     value = lambda e, q, v: F.concat(lit(f'  <dcvalue element="{e}" qualifier="{q}">'), escape_html(v), lit("</dcvalue>"))
     date = F.coalesce(F.nullif(col("date_published"), lit("")), (today if today is not None else F.current_date()).cast("string"))

@@ -125,15 +125,23 @@ def formulas(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, lambda d: F.lower(F.coalesce(F.nullif(strip(F.col("expression")), F.lit("")), strip(F.col("name")) if "name" in d.columns else F.lit(""))), {c: (lambda x, y: y) for c in old.columns if c not in ("doc_id", "seq")})
 
 
-def documents(old: DataFrame, new: DataFrame, scalars: tuple[str, ...] = ("name", "headline", "description", "in_language", "genre")) -> DataFrame:
-    """One row a document: the longer of valid scalars, a dated id stays, the new publisher and date win, keywords are united."""
+#: The fields of a document of which the longer counts.
+SCALARS = ("name", "headline", "alternate_name", "description", "date_published", "doi", "in_language", "genre", "learning_resource_type", "license")
+
+
+def documents(old: DataFrame, new: DataFrame, scalars: tuple[str, ...] = SCALARS) -> DataFrame:
+    """One row a document: the longer of valid scalars, the stored one of equal length; a dated id stays, the new publisher wins, keywords are united. Columns that only `new` has come along.
+
+    export.packaged() makes tags, linked data and package anew.
+    """
     from scriptorium.functions.metadata import keyword_union
 
     def scalar(x: Column, y: Column) -> Column:
-        return F.when(~F.coalesce(is_valid_scalar(x), F.lit(False)), y).when(~F.coalesce(is_valid_scalar(y), F.lit(False)), x).when(F.length(y) > F.length(x), y).otherwise(x)
+        return F.when(~F.coalesce(is_valid_scalar(y), F.lit(False)), fill(x, y)).when(~F.coalesce(is_valid_scalar(x), F.lit(False)), y).when((F.length(y) > F.length(x)) & ~y.contains("undated"), y).otherwise(x)
 
     rules: dict[str, Rule] = {c: scalar for c in scalars}
-    rules |= {"publisher": newer, "date_published": newer, "id": lambda x, y: F.when(x.isNotNull() & ~x.contains("undated"), x).otherwise(F.coalesce(y, x))}
+    rules |= {"publisher": newer, "id": lambda x, y: F.when(x.isNotNull() & ~x.contains("undated"), x).otherwise(F.coalesce(y, x))}
     rules["keywords"] = lambda x, y: keyword_union(F.coalesce(x, F.array().cast("array<string>")), F.coalesce(y, F.array().cast("array<string>")))
     one = lambda d: d.withColumn("seq", F.lit(1)) if "seq" not in d.columns else d
-    return upsert(one(old), one(new), lambda d: F.col("doc_id").cast("string"), rules).drop("seq")
+    both = lambda d, e: d.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema if f.name not in d.columns])
+    return upsert(one(both(old, new)), one(both(new, old)), lambda d: F.col("doc_id").cast("string"), rules).drop("seq")

@@ -125,23 +125,40 @@ def page_ends(sections: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).withColumn("page_end", F.when(F.col("page_end").isNull() | (F.col("page_end") < F.col("page_start")), end).otherwise(F.col("page_end")))
 
 
+def take_summaries(found: DataFrame, given: DataFrame) -> DataFrame:
+    """Sections found by rule with the summary and key points of the first given section of that name, upper and lower case alike; others keep their own.
+
+    Both: doc_id, seq, section_name, summary, key_points.
+    """
+    name = F.lower(F.coalesce("section_name", F.lit("")))
+    first = given.groupBy("doc_id", name.alias("__name")).agg(F.min_by(F.struct("summary", "key_points"), "seq").alias("__given"))
+    rows = found.withColumn("__name", name).join(first, ["doc_id", "__name"], "left")
+    take = lambda c: F.when(F.col("__given").isNull(), F.col(c)).otherwise(F.col(f"__given.{c}"))
+    return rows.select(*[take(c).alias(c) if c in ("summary", "key_points") else F.col(c) for c in found.columns])
+
+
 def resolve_pages(headings: DataFrame, sections: DataFrame) -> DataFrame:
-    """Sections with the pages of their headings: matched by number, else by name, else by a name of which one begins with the other; unmatched headings are added.
+    """Sections with the names and pages of their headings; unmatched headings are added.
 
-    headings: doc_id, seq, page, heading. sections: doc_id, seq, section_name, summary, page_start.
+    A heading meets the last section of its number (digits, Roman, or `bab` and a word), else the last one of its name, else the
+    first one with which it shares its first 20 characters, or all of the shorter name (of six at least). Of headings that meet one
+    section the last counts. headings: doc_id, seq, page, heading. sections: doc_id, seq, section_name, summary, page_start.
     """
-    number = lambda c: F.nullif(F.regexp_extract(c, r"^(\d+(?:\.\d+)*)", 1), F.lit(""))
+    none = lambda c: F.nullif(c, F.lit(""))
+    number = lambda c: F.coalesce(none(F.regexp_extract(c, r"^(\d+(?:\.\d+)*)", 1)), none(F.lower(F.regexp_extract(c, r"(?i)^([ivxlcdm]+)\.", 1))), none(F.lower(F.regexp_extract(c, r"(?i)^(bab\s+\w+)", 1))))
     plain = lambda c: F.lower(strip(F.regexp_replace(c, r"^\d+(?:\.\d+)*\.?\s*", "")))
-    h = headings.select("doc_id", F.col("seq").alias("hseq"), F.col("page").alias("hpage"), "heading", number(F.col("heading")).alias("hno"), plain(F.col("heading")).alias("hname"))
-    s = sections.withColumns({"no": number(F.col("section_name")), "nm": plain(F.col("section_name"))})
-    by_no = h.join(s.where("no IS NOT NULL").select("doc_id", F.col("no").alias("hno"), "seq"), ["doc_id", "hno"]).select("doc_id", "hseq", "seq", F.lit(0).alias("p"))
+    heading = strip(F.col("heading"))
+    h = headings.where(~F.lower(heading).isin(*PLACEHOLDERS)).select("doc_id", F.col("seq").alias("hseq"), F.col("page").alias("hpage"), heading.alias("heading"), number(heading).alias("no"), plain(heading).alias("hname"))
+    s = sections.select("doc_id", "seq", number(F.col("section_name")).alias("no"), plain(F.col("section_name")).alias("nm"))
+    by_no = h.join(s.where("no IS NOT NULL").select("doc_id", "no", "seq"), ["doc_id", "no"]).select("doc_id", "hseq", "seq", F.lit(0).alias("p"))
     by_name = h.join(s.select("doc_id", F.col("nm").alias("hname"), "seq"), ["doc_id", "hname"]).select("doc_id", "hseq", "seq", F.lit(1).alias("p"))
-    either = F.col("hname").startswith(F.col("nm")) | F.col("nm").startswith(F.col("hname"))
-    prefix = h.where(F.length("hname") > 5).join(s.where(F.length("nm") > 5).select("doc_id", "nm", "seq"), "doc_id").where(either).select("doc_id", "hseq", "seq", F.lit(2).alias("p"))
-    w = Window.partitionBy("doc_id", "hseq").orderBy("p", "seq")
+    begin = lambda d, c: d.where(F.length(c) > 5).withColumn("six", F.left(F.col(c), F.lit(6)))
+    either = F.startswith("hname", F.left(F.col("nm"), F.lit(20))) | F.startswith("nm", F.left(F.col("hname"), F.lit(20)))
+    prefix = begin(h, "hname").join(begin(s, "nm").select("doc_id", "six", "nm", "seq"), ["doc_id", "six"]).where(either).select("doc_id", "hseq", "seq", F.lit(2).alias("p"))
+    w = Window.partitionBy("doc_id", "hseq").orderBy("p", F.when(F.col("p") < 2, -F.col("seq")).otherwise(F.col("seq")))
     match = by_no.unionByName(by_name).unionByName(prefix).withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "hseq", "seq")
     found = h.join(match, ["doc_id", "hseq"], "left")
-    updated = s.join(found.where("seq IS NOT NULL").groupBy("doc_id", "seq").agg(F.min_by("hpage", "hseq").alias("hpage")), ["doc_id", "seq"], "left")
-    updated = updated.select("doc_id", "seq", "section_name", "summary", F.coalesce("hpage", "page_start").alias("page_start"))
+    last = found.where("seq IS NOT NULL").groupBy("doc_id", "seq").agg(F.max_by(F.struct("heading", "hpage"), "hseq").alias("h"))
+    updated = sections.join(last, ["doc_id", "seq"], "left").select("doc_id", "seq", F.coalesce("h.heading", "section_name").alias("section_name"), "summary", F.coalesce("h.hpage", "page_start").alias("page_start"))
     new = found.where("seq IS NULL").select("doc_id", (F.col("hseq") + 1_000_000).alias("seq"), F.col("heading").alias("section_name"), F.lit("").alias("summary"), F.col("hpage").alias("page_start"))
     return updated.unionByName(new)

@@ -104,6 +104,27 @@ def corpus_totals(reports: DataFrame) -> DataFrame:
     )
 
 
+def store_counts(files: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row on a store: n_files, n_chunks, n_chunked (files with chunks), n_documents, indexed (whether there is any chunk)."""
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    by_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = n(files, "n_files").unionByName(n(by_doc, "n_chunked")).unionByName(n(documents, "n_documents"))
+    rows = rows.unionByName(by_doc.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("n_chunks").alias("what"), "n"))
+    out = rows.agg(*[F.sum(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in ("n_files", "n_chunks", "n_chunked", "n_documents")])
+    return out.withColumn("indexed", F.col("n_chunks") > 0)
+
+
+def json_checks(files: DataFrame) -> DataFrame:
+    """file_name, score, checks of stored JSON-LD. files: file_name, root (variant), as jsonld_files() gives them."""
+    get = lambda path, kind: F.try_variant_get("root", path, kind)
+    many = lambda path: F.coalesce(get(path, "array<variant>"), F.when(get(path, "variant").isNotNull(), F.array(get(path, "variant"))))
+    types = F.coalesce(get("$['@type']", "array<string>"), F.array(get("$['@type']", "string")))
+    parts = F.coalesce(get("$.hasPart", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda k: F.filter(parts, lambda x: F.try_variant_get(x, "$['@type']", "string") == k)
+    checks = schema_checks(F.coalesce(get("$['@context']", "string"), F.lit("")), types, get("$.name", "string"), get("$.description", "string"), many("$.about"), many("$.keywords"), many("$.additionalProperty"), kind("CreativeWork"), kind("Table"), many("$.citation"))
+    return files.select("file_name", checks.alias("checks")).select("file_name", schema_score(F.col("checks")).alias("score"), "checks")
+
+
 def missing_fields(date: Column, authors: Column, doi: Column) -> Column:
     """Names of what a complete record lacks."""
     return F.array_compact(F.array(F.when(strip(F.coalesce(date, F.lit(""))) == "", "date"), F.when(size(authors) == 0, "author"), F.when(strip(F.coalesce(doi, F.lit(""))) == "", "doi")))

@@ -708,6 +708,88 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").select("c_custkey", F.array_join(got, "|").alias("missing"))
 
 
+@query(f"""
+WITH {_ITEMS} SELECT doc_id, seq, CASE WHEN seq <= 4 THEN 'given ' || seq ELSE 'own' END AS summary, CASE WHEN seq <= 4 THEN 1 ELSE 0 END AS n_points FROM i""")
+def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-01: sections meet the first given one of their name."""
+    n = F.col("seq").cast("string")
+    i = _items(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    found = i.select("doc_id", "seq", F.concat(F.lit("Topic "), n).alias("section_name"), F.lit("own").alias("summary"), none.alias("key_points"))
+    given = i.where("seq <= 4").select("doc_id", "seq", F.concat(F.lit("TOPIC "), n).alias("section_name"), F.concat(F.lit("given "), n).alias("summary"), F.array(n).alias("key_points"))
+    later = given.withColumn("seq", F.col("seq") + 100).withColumn("summary", F.lit("later"))
+    return outline.take_summaries(found, given.unionByName(later)).select("doc_id", "seq", "summary", F.size("key_points").alias("n_points"))
+
+
+@query(f"""
+WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 5 THEN seq ELSE 1000000 + seq END AS seq, CASE WHEN seq % 2 = 0 THEN seq || '. Topic ' || seq ELSE 'Part ' || seq || ' methods and data' END AS section_name,
+  CASE WHEN seq <= 5 THEN 's' ELSE '' END AS summary, (seq + 10)::INT AS page_start FROM i""")
+def heading_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02, STR-24: headings meet sections by number or by the beginning of their names; others are added."""
+    n, even = F.col("seq").cast("string"), F.col("seq") % 2 == 0
+    i = _items(spark, sf_dir)
+    name = F.when(even, F.concat(n, F.lit(". Topic "), n)).otherwise(F.concat(F.lit("Part "), n, F.lit(" methods and data")))
+    headings = i.select("doc_id", "seq", (F.col("seq") + 10).cast("int").alias("page"), name.alias("heading"))
+    old = F.when(even, F.concat(n, F.lit(". Old"))).otherwise(F.concat(F.lit("Part "), n, F.lit(" methods")))
+    return outline.resolve_pages(headings, i.where("seq <= 5").select("doc_id", "seq", old.alias("section_name"), F.lit("s").alias("summary"), F.lit(1).alias("page_start")))
+
+
+@query("""
+SELECT (SELECT count(*) FROM customer) AS n_files, (SELECT count(*) FROM orders) AS n_chunks, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_chunked, (SELECT count(*) FROM supplier) AS n_documents, (SELECT count(*) > 0 FROM orders) AS indexed""")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-15."""
+    return validate.store_counts(t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")), t(spark, sf_dir, "supplier"))
+
+
+@query("""
+SELECT o_custkey AS doc_id, o_orderkey AS chunk_seq, o_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM orders r WHERE r.o_orderstatus = 'F' AND r.o_custkey = o.o_custkey AND r.o_orderpriority = o.o_orderpriority) AS flat_capture FROM orders o""")
+def captured_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-11: tables that hold a region cut out of the same document's pages."""
+    o = t(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "doc_id", "o_orderkey": "chunk_seq"})
+    text = F.concat(F.lit("DATA TABEL 1: "), F.col("chunk_seq").cast("string"), F.lit("\nstatus | "), F.col("o_orderpriority"))
+    rows = o.select("doc_id", "chunk_seq", F.when(F.col("chunk_seq") % 2 == 0, "table").otherwise("paragraph").alias("chunk_type"), text.alias("text"))
+    return chunks.mark_captured(rows, o.where("o_orderstatus = 'F'").select("doc_id", F.col("o_orderpriority").alias("region"))).select("doc_id", "chunk_seq", "flat_capture")
+
+
+@query("""
+SELECT c_custkey, '{"@type":["Article"],"name":"' || c_name || '","author":[{"name":"' || c_mktsegment || '"}],"@context":"https://schema.org"}' AS json FROM customer""")
+def schema_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-06, FIL-07: the keys of Schema.org, and nothing empty at any depth."""
+    raw = F.concat(F.lit('{"schema_json_ld": {"@type": ["Article"], "name": "'), F.col("c_name"), F.lit('", "description": "", "junk": 1, "author": [{"name": "'), F.col("c_mktsegment"), F.lit('", "x": null, "y": [[], [""]]}, {}], "hasPart": [], "about": {"a": {}}}}'))
+    return t(spark, sf_dir, "customer").select("c_custkey", export.schema_org(raw).alias("json"))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'Trade in ' || c_mktsegment || ' by year' ELSE 'Trade in ' || c_mktsegment END AS headline, 'CC BY 4.0' AS license, 'Report' AS genre, '2024-05-01' AS date_published FROM customer""")
+def merge_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-10: of the ten fields the longer value counts, of equal ones the stored one."""
+    c, k, title = t(spark, sf_dir, "customer"), F.col("c_custkey"), F.concat(F.lit("Trade in "), F.col("c_mktsegment"))
+    old = c.select(k.alias("doc_id"), title.alias("headline"), F.lit("").alias("license"), F.lit("Report").alias("genre"), F.lit("2024").alias("date_published"))
+    new = c.select(k.alias("doc_id"), F.when(k % 2 == 0, F.concat(title, F.lit(" by year"))).otherwise("Trade").alias("headline"), F.lit("CC BY 4.0").alias("license"), F.lit("Thesis").alias("genre"), F.lit("2024-05-01").alias("date_published"))
+    return merge.documents(old, new)
+
+
+@query("""
+SELECT c_custkey::VARCHAR AS file_name, 20 + CASE WHEN c_custkey % 3 = 0 THEN 20 ELSE 10 END + CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 10 END + CASE WHEN c_custkey % 5 = 0 THEN 20 ELSE 0 END AS score FROM customer""")
+def stored_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-01 over stored JSON-LD."""
+    k = F.col("c_custkey")
+    body = F.concat(
+        F.lit('{"@context": "https://schema.org", "@type": '), F.when(k % 3 == 0, '"Article"').otherwise('["Thing"]'), F.lit(', "name": "'), F.col("c_name"), F.lit('", "description": "A study of '), F.col("c_mktsegment"),
+        F.when(k % 2 == 0, " and what is near it").otherwise(""), F.lit('", "keywords": "a, b"'), F.when(k % 5 == 0, ', "citation": ["x"]').otherwise(""), F.lit("}"),
+    )
+    files = t(spark, sf_dir, "customer").select(k.cast("string").alias("file_name"), F.parse_json(body).alias("root"))
+    return validate.json_checks(files).select("file_name", "score")
+
+
+@query("""
+SELECT s_suppkey AS doc_id, '{"@context":"https://schema.org","@type":["Article"],"@id":"doc:' || s_suppkey || '","name":"Supply & demand of ' || s_name || '","headline":"Supply & demand of ' || s_name || '","description":"Line one\\nline \\"two\\"","inLanguage":"en","datePublished":"2024-05-01","publisher":{"@type":"Organization","name":"Wiley"},"keywords":["' || n_name || '","supply"],"author":[{"@type":"Person","name":"Ann ' || n_name
+  || '","affiliation":[{"@type":"EducationalOrganization","name":"' || n_name || '"}]}],"identifier":[{"@type":"PropertyValue","propertyID":"DOI","value":"10.1000/' || s_suppkey || '"}],"sameAs":"https://doi.org/10.1000/' || s_suppkey || '"}' AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-04, SNK-01: linked data of documents, made anew."""
+    return export.packaged(_papers(spark, sf_dir)).select("doc_id", "json")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

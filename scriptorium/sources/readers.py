@@ -37,7 +37,7 @@ def upload_reason(name: Column, size: Column, head: Column, max_mb: int = 50) ->
 
 
 def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """doc_id, page_idx, page_label, text of PDF contents by `extract`; the installed reader if there is one."""
+    """doc_id, page_idx, page_label, text, error of PDF contents by `extract`; the installed reader if there is one. A file that can't be read is one row without a page, with the error."""
 
     def default(content: bytes) -> list[str]:
         import io
@@ -51,10 +51,33 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = N
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["file_name"], f["content"], strict=True):
-                pages = reader(bytes(content))
-                yield pd.DataFrame({"doc_id": name, "page_idx": range(1, len(pages) + 1), "page_label": [str(i + 1) for i in range(len(pages))], "text": pages})
-
-    return files.select("file_name", "content").mapInPandas(run, schemas.PAGE)
+                try:
+                    pages = reader(bytes(content))
+                except ImportError:
+                    raise
+                except Exception as e:  # whatever a broken file makes a reader raise
+                    yield pd.DataFrame({"doc_id": [name], "page_idx": [None], "page_label": [None], "text": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
+                yield pd.DataFrame({"doc_id": name, "page_idx": range(1, len(pages) + 1), "page_label": [str(i + 1) for i in range(len(pages))], "text": pages, "error": None})
+
+    return files.select("file_name", "content").mapInPandas(run, schemas.PAGE + ", error string")
+
+
+def cached_chunks(spark: SparkSession, files: DataFrame, parser: str, parse: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Chunks of `files` (doc_id, ...) by a parser, out of the table at path as far as it has them; the others are parsed and added.
+
+    The table is partitioned by parser_used; rows without one serve every parser. Files that give no chunks are parsed again each time.
+    """
+    mine = F.col("parser_used").isNull() | (F.col("parser_used") == parser)
+    read = lambda: spark.read.parquet(path).where(mine).join(files.select("doc_id").distinct(), "doc_id", "left_semi")
+    try:
+        missing = files.join(read().select("doc_id").distinct(), "doc_id", "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        missing = files
+    parse(missing).withColumn("parser_used", F.lit(parser)).write.mode("append").partitionBy("parser_used").parquet(path)
+    return read()
 
 
 def element_chunks(elements: DataFrame) -> DataFrame:

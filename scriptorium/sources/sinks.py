@@ -14,14 +14,22 @@ def replace_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside, then rename: readers see the old table or the new one, and a failed write leaves the old."""
+    """Write beside, set the old table aside, rename the new one, delete the old: a step that fails leaves the old table, or puts it back."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    run = uuid.uuid4().hex
+    beside, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}.{run}.{x}") for x in ("new", "old"))
     df.write.parquet(beside.toString())
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(beside, target)
+    stored = fs.exists(target)
+    if stored and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be set aside; the new table is at {beside}")
+    if not fs.rename(beside, target):
+        if stored:
+            fs.rename(aside, target)
+        raise OSError(f"{beside} can't be renamed; the old table stays")
+    if stored:
+        fs.delete(aside, True)
 
 
 def upsert_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "file_name") -> None:

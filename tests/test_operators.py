@@ -97,6 +97,10 @@ def test_section_pages_from_headings(spark):
     s = spark.createDataFrame([("d", 1, "2. Methods", "s", 1)], "doc_id string, seq int, section_name string, summary string, page_start int")
     got = {(r["section_name"], r["page_start"]) for r in outline.resolve_pages(h, s).collect()}
     assert got == {("2. Methods", 4), ("9. New", 6)}
+    h = spark.createDataFrame([("d", 1, 4, "Methods and data"), ("d", 2, 5, "BAB II"), ("d", 3, 6, "Section"), ("d", 4, 7, "IV. Ends")], h.schema)
+    s = spark.createDataFrame([("d", 1, "Methods", "s", 1), ("d", 2, "bab ii theory", "s", 1), ("d", 3, "iv. end", "s", 1)], s.schema)
+    got = {(r["section_name"], r["page_start"]) for r in outline.resolve_pages(h, s).collect()}
+    assert got == {("Methods and data", 4), ("BAB II", 5), ("IV. Ends", 7)}
 
 
 def test_metrics(spark):
@@ -155,6 +159,23 @@ def test_document_merge_keeps_a_dated_id(spark):
     assert (r["id"], r["name"], r["publisher"], r["keywords"]) == ("doc:2020-01-01/x", "A longer", "Q", ["Solar", "x1", "wind"])
 
 
+def test_stored_documents_are_cleaned(spark):
+    rows = [(None,), ("{broken",), ("[1]",), ('{"name": "x", "about": [[null, ""], 0, {"a": []}], "junk": 1, "@context": "c"}',), ('{"schema_json_ld": {}, "name": "y"}',)]
+    got = [r["j"] for r in spark.createDataFrame(rows, "raw string").coalesce(1).select(export.schema_org(F.col("raw")).alias("j")).collect()]
+    assert got == [None, None, '{"@context":"https://schema.org"}', '{"name":"x","about":[0],"@context":"c"}', '{"name":"y","@context":"https://schema.org"}']
+
+
+def test_captured_regions_are_marked(spark):
+    c = spark.createDataFrame([("d", 1, "table", "DATA TABEL 1: a b\nx y"), ("d", 2, "table", "a b\nz"), ("d", 3, "paragraph", "a b"), ("e", 1, "table", "a b")], "doc_id string, chunk_seq int, chunk_type string, text string")
+    got = {(r["doc_id"], r["chunk_seq"]) for r in chunks.mark_captured(c, spark.createDataFrame([("d", "a b"), ("d", "a"), ("e", "")], "doc_id string, region string")).where("flat_capture").collect()}
+    assert got == {("d", 2)}
+
+
+def test_store_counts_of_an_empty_store(spark):
+    none = spark.createDataFrame([], "doc_id string")
+    assert validate.store_counts(none, none, none).first().asDict() == {"n_files": 0, "n_chunks": 0, "n_chunked": 0, "n_documents": 0, "indexed": False}
+
+
 def test_scores(spark):
     r = spark.range(1).select(validate.integrity(F.lit(0), F.lit(0), F.lit(True)).alias("g"), validate.integrity(F.lit(3), F.lit(2), F.lit(False)).alias("b")).select("g", "b", validate.readiness(F.lit(75), F.col("g")).alias("r")).first()
     assert r["g"]["score"] == 100 and r["b"]["score"] == 30 and r["r"]["score"] == 88 and r["r"]["badge"] == "excellent"

@@ -17,6 +17,50 @@ def test_pdf_folder_filter(spark, tmp_path):
     pages = readers.pdf_pages(ok, lambda b: [b.decode(), "two"]).orderBy("page_idx").collect()
     assert [(r["page_idx"], r["text"]) for r in pages] == [(1, "%PDF-1.4 x"), (2, "two")]
 
+    def broken(content):
+        raise ValueError("no xref")
+
+    r = readers.pdf_pages(ok, broken).collect()
+    assert [(x["doc_id"], x["page_idx"], x["error"]) for x in r] == [("a.pdf", None, "ValueError: no xref")]
+
+
+def test_chunks_are_parsed_once(spark, tmp_path):
+    path, asked = str(tmp_path / "cache"), []
+
+    def parse(files):
+        asked.append(sorted(r["doc_id"] for r in files.collect()))
+        return files.select("doc_id", F.lit(1).alias("chunk_seq"), F.concat("doc_id", F.lit(" text")).alias("text"))
+
+    files = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    assert readers.cached_chunks(spark, files, "plain", parse, path).count() == 2
+    more = files.union(spark.createDataFrame([("c",)], "doc_id string"))
+    assert readers.cached_chunks(spark, more, "plain", parse, path).count() == 3
+    assert readers.cached_chunks(spark, files, "other", parse, path).count() == 2
+    assert asked == [["a", "b"], ["c"], ["a", "b"]]
+
+
+def test_a_failed_swap_puts_the_old_table_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    sinks.swap(spark, spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.4 A careful study of parts\n\nAbstract: We study parts at length and find that they differ a lot.\n\nKeywords: parts, lines")
+    cli.main(["batch", str(tmp_path / "in"), str(tmp_path / "docs"), "--format", "parquet", "--store", str(tmp_path / "chunks")], lambda b: [b.decode()[9:]])
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    marks = {"jsonld": '"@context":"https://schema.org"', "turtle": "@prefix", "graph": '"@graph":[', "html": "application/ld+json", "cypher": "MERGE (p:Paper", "bibtex": "title ="}
+    for kind, mark in marks.items():
+        assert mark in "\n".join(r["text"] for r in cli.texts(docs, kind).collect())
+    sinks.write_texts(cli.texts(docs, "jsonld"), "text", str(tmp_path / "jsonld"))
+    capsys.readouterr()
+    cli.main(["validate", str(tmp_path / "jsonld")])
+    assert "context and type" in capsys.readouterr().out
+
 
 def test_inventory(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"schema_json_ld": {"author": [1, 2], "hasPart": [{"@type": "CreativeWork"}, {"@type": "Table"}], "citation": ["x"]}}))
