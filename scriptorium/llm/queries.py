@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, graph_ann, line_dedup, lm_score, mixing, quality, secrets, simhash, toxicity, url_filter
+from scriptorium.llm import decontaminate, graph_ann, line_dedup, lm_score, mixing, quality, secrets, simhash, substrings, toxicity, url_filter
 from scriptorium.llm._common import table
 
 
@@ -53,9 +53,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing, op11_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op9_decontamination": decontaminate.oracle()}
+    return {"op4_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op9_decontamination": decontaminate.oracle(), "op11_substrings": substrings.oracle()}
