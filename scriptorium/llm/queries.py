@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, graph_ann, line_dedup, lm_score, mixing, quality, secrets, simhash, substrings, toxicity, url_filter
+from scriptorium.llm import decontaminate, graph_ann, line_dedup, lm_score, mixing, quality, ranked_search, secrets, simhash, substrings, toxicity, url_filter, vector_codes
 from scriptorium.llm._common import table
 
 
@@ -58,9 +58,24 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing, op11_substrings)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_lm_score, op4_url_filter, op5_line_dedup, op6_simhash, op7_secrets, op8_quality, op9_decontamination, op10_mixing, op11_substrings, op12_ranked_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op9_decontamination": decontaminate.oracle(), "op11_substrings": substrings.oracle()}
+    return {
+        "op4_url_filter": url_filter.oracle(),
+        "op5_line_dedup": line_dedup.oracle(),
+        "op9_decontamination": decontaminate.oracle(),
+        "op11_substrings": substrings.oracle(),
+        "op12_ranked_search": ranked_search.oracle(),
+        "op13_vector_codes": vector_codes.oracle(),
+    }
