@@ -29,7 +29,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Params:
-    """k: documents for each query; block: postings of a block; shard_chars: characters of a shard's texts; query_chars: of the queries that one pass over the index takes; step: stretches of documents scored between two looks at the threshold."""
+    """k: documents for each query; block: postings of a block; shard_chars: characters of a shard's texts; query_chars: of the queries that one pass over the index takes; step: stretches of documents scored before the first look at the threshold, twice as many before each further one."""
 
     k: int = 20
     block: int = 64
@@ -197,9 +197,10 @@ class Shard:
         np.add.at(change, enter, weight * self.top[blocks])
         np.add.at(change, leave, -weight * self.top[blocks])
         bound = np.cumsum(change)
-        docs, scores, threshold = none, none, 1
+        docs, scores, threshold, step = none, none, 1, p.step
         left = np.flatnonzero(bound >= threshold)
-        turn = left[np.argsort(-bound[left], kind="stable")[: p.step]]
+        first = np.argsort(-bound[left], kind="stable")[:step]
+        turn, left = left[first], np.delete(left, first)
         while len(turn):
             mine = np.zeros(len(edges) + 1, dtype=np.int64)
             mine[turn + 1] = 1
@@ -216,9 +217,8 @@ class Shard:
             keep = np.lexsort((docs, -scores))[: p.k]
             docs, scores = docs[keep], scores[keep]
             threshold = max(1, int(scores[-1])) if len(docs) == p.k else 1
-            left = np.setdiff1d(left, turn, assume_unique=True)
             left = left[bound[left] >= threshold]  # an equal score may still come first by its doc_id
-            turn = left[: p.step]
+            turn, left, step = left[:step], left[step:], 2 * step
         return docs[scores > 0], scores[scores > 0]
 
 
