@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokens, worded
+from scriptorium.operators.overlap import overlapping
 
 #: Relation types; others count as the last.
 RELATIONS = ("causes", "requires", "contradicts", "supports", "contains", "precedes", "similar_to", "derived_from", "instance_of", "influences")
@@ -93,40 +94,78 @@ def claims_with_words(claims: DataFrame) -> DataFrame:
     return claims.withColumn("words", words)
 
 
+def _opposites() -> dict[str, list[str]]:
+    """Each word with its opposites, both ways."""
+    out: dict[str, list[str]] = {}
+    for a, b in ANTONYMS.items():
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, []).append(a)
+    return {w: sorted(set(v)) for w, v in out.items()}
+
+
+#: Words that name parts of a document, and so say nothing of what claims have in common.
+PARTS_OF_DOCUMENTS = ("metric", "section", "table", "document")
+
+
+def opposed_claims(claims: DataFrame) -> DataFrame:
+    """doc_id, seq, own, against, words, nexts, head, last, trade of the claims that have words with opposites, each found once a claim.
+
+    own: such words; against: their opposites; nexts: by word the one of three letters or more behind it, where it stands
+    first before such a word; head and last: the first word and the last; trade: whether the claim weighs things.
+    """
+    pairs = _opposites()
+    table = F.create_map(*[c for w, o in pairs.items() for c in (F.lit(w), F.array(*[F.lit(x) for x in o]))])
+    low = F.lower("text")
+    own = F.array_intersect(F.array_distinct(tokens(F.col("text"))), F.array(*[F.lit(w) for w in pairs]))
+    c = claims.select("doc_id", "seq", low.alias("low"), own.alias("own")).where(F.size("own") > 0)
+    ws = F.filter(F.split("low", r"\s+"), lambda w: w != "")
+    c = c.select("*", ws.alias("ws"), F.array_distinct(F.regexp_extract_all("low", F.lit(r"\b([a-z]{4,})\b"), 1)).alias("words"))
+    bare = F.transform("ws", lambda w: F.regexp_replace(w, r"^[^a-z0-9_]+", ""))
+    heads = F.transform("ws", lambda w: F.regexp_extract(w, "^([a-z]{3,})", 1))
+    steps = F.zip_with(F.slice(bare, 1, F.size("ws") - 1), F.slice(heads, 2, F.size("ws")), lambda w, n: F.struct(w.alias("w"), n.alias("n")))
+    steps = F.when(F.size("ws") > 1, steps)
+    firsts = F.transform("own", lambda w: F.get(F.filter("steps", lambda s: (s["w"] == w) & (s["n"] != "")), F.lit(0))["n"])
+    c = c.select("*", steps.alias("steps"), F.get(heads, F.lit(0)).alias("head"), F.element_at(bare, -1).alias("last"))
+    return c.select(
+        "doc_id", "seq", "own",
+        F.array_distinct(F.flatten(F.transform("own", lambda w: table[w]))).alias("against"),
+        F.array_except("words", F.array(*[F.lit(w) for w in PARTS_OF_DOCUMENTS])).alias("words"),
+        F.map_from_arrays("own", firsts).alias("nexts"), F.coalesce("head", F.lit("")).alias("head"), F.coalesce("last", F.lit("")).alias("last"),
+        F.col("low").rlike(TRADE_OFF).alias("trade"),
+    )
+
+
 def antonym_conflicts(claims: DataFrame, least_shared: int = 4) -> DataFrame:
     """doc_id, seq_a, seq_b, word, antonym, shared: claims of a document (a before b) with opposite words and four other words in common, trade-offs aside.
 
-    claims: doc_id, seq, tag, text. Words are joined by equality with their opposites, so only claims that have them meet.
+    claims: doc_id, seq, tag, text; doc_id and seq tell claims apart. Only claims that have a word with an opposite take part; they meet
+    by their rarest common words, if one has what the other has the opposite of, and pairs that can't reach the number of common
+    words never arise. What follows a word is found once a claim.
     """
-    spark = claims.sparkSession
-    pairs = spark.createDataFrame([*ANTONYMS.items(), *((v, k) for k, v in ANTONYMS.items())], "word string, antonym string")
-    c = claims_with_words(claims)
-    has = c.select("doc_id", "seq", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    left = has.join(F.broadcast(pairs), "word").select("doc_id", F.col("seq").alias("seq_a"), "word", "antonym")
-    right = has.join(F.broadcast(pairs.select(F.col("antonym").alias("word")).distinct()), "word").select("doc_id", F.col("seq").alias("seq_b"), F.col("word").alias("antonym"))
-    met = left.join(right, ["doc_id", "antonym"]).where("seq_a < seq_b")
-    met = met.join(c.select("doc_id", F.col("seq").alias("seq_a"), F.lower("text").alias("ta"), F.col("words").alias("wa")), ["doc_id", "seq_a"])
-    met = met.join(c.select("doc_id", F.col("seq").alias("seq_b"), F.lower("text").alias("tb"), F.col("words").alias("wb")), ["doc_id", "seq_b"])
-    drop = F.array("word", "antonym", F.lit("metric"), F.lit("section"), F.lit("table"), F.lit("document"))
-    shared = F.array_sort(F.array_except(F.array_intersect("wa", "wb"), drop))
-    both = F.concat_ws(" ", "ta", "tb")
-    a, b = _after(both, F.col("word")), _after(both, F.col("antonym"))
+    c = opposed_claims(claims).where("not trade")
+    met = overlapping(c, least_shared, F.arrays_overlap("a.against", "b.own"), ["own", "against"])
+    side = lambda x: c.select("doc_id", F.col("seq").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in ("own", "against", "nexts", "head", "last")])
+    met = met.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
+    opposite = F.create_map(*[x for w, o in _opposites().items() for x in (F.lit(w), F.array(*[F.lit(y) for y in o]))])
+    met = met.withColumn("word", F.explode("a_own")).withColumn("antonym", F.explode(F.array_intersect(opposite[F.col("word")], F.col("b_own"))))
+
+    def behind(w: Column) -> Column:
+        """The word behind w in both claims as one text."""
+        over = F.when((F.col("a_last") == w) & (F.col("b_head") != ""), F.col("b_head"))
+        return F.coalesce(F.try_element_at("a_nexts", w), over, F.try_element_at("b_nexts", w), F.lit(""))
+
+    a, b = behind(F.col("word")), behind(F.col("antonym"))
     other = (a != "") & (b != "") & ~a.contains(b) & ~b.contains(a)
-    return met.withColumn("shared", shared).where((F.size("shared") >= least_shared) & ~both.rlike(TRADE_OFF) & ~other).select("doc_id", "seq_a", "seq_b", "word", "antonym", "shared")
-
-
-def _after(text: Column, word: Column) -> Column:
-    """The first word of three letters or more that follows a word."""
-    ws = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    at = F.filter(F.transform(ws, lambda w, i: F.when((F.regexp_replace(w, r"^[^a-z0-9_]+", "") == word) & F.get(ws, i + 1).rlike("^[a-z]{3,}"), F.regexp_extract(F.get(ws, i + 1), "^([a-z]{3,})", 1))), lambda x: x.isNotNull())
-    return F.coalesce(F.get(at, F.lit(0)), F.lit(""))
+    shared = F.array_except("shared", F.array("word", "antonym"))
+    out = met.withColumn("shared", shared).where((F.size("shared") >= least_shared) & ~other)
+    return out.select("doc_id", F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), "word", "antonym", "shared")
 
 
 def negation_conflicts(sections: DataFrame, least_shared: int = 4) -> DataFrame:
-    """doc_id, seq_a, seq_b, n_shared: sections of a document of which one denies and one affirms, with four words in common; met through shared words."""
-    c = claims_with_words(sections).withColumn("negative", F.lower("text").rlike(NEGATION))
-    w = c.select("doc_id", "seq", "negative", F.explode("words").alias("word"))
-    a = w.select("doc_id", "word", F.col("seq").alias("seq_a"), F.col("negative").alias("na"))
-    b = w.select("doc_id", "word", F.col("seq").alias("seq_b"), F.col("negative").alias("nb"))
-    met = a.join(b, ["doc_id", "word"]).where("seq_a < seq_b AND na <> nb")
-    return met.groupBy("doc_id", "seq_a", "seq_b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least_shared)
+    """doc_id, seq_a, seq_b, n_shared: sections of a document of which one denies and one affirms, with four words in common.
+
+    doc_id and seq tell sections apart. Sections meet by their rarest common words, as claims do.
+    """
+    c = claims_with_words(sections).select("doc_id", "seq", "words", F.lower("text").rlike(NEGATION).alias("negative"))
+    met = overlapping(c, least_shared, F.col("a.negative") != F.col("b.negative"), ["negative"])
+    return met.select("doc_id", F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), F.size("shared").cast("long").alias("n_shared"))

@@ -13,12 +13,19 @@ from scriptorium.operators import outline as ou
 from scriptorium.operators import tables as ta
 
 
-def chunks_of_pages(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page_idx, text) to chunks. Captioned regions of pages that are one or two blocks become blocks."""
-    blocks = ch.inline_tables(ch.page_blocks(ch.strip_running(ch.lines_of(pages))))
+def blocks_of_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_idx, text) to blocks without running lines. Captioned regions of pages that are one or two blocks become blocks."""
+    return ch.inline_tables(ch.page_blocks(ch.strip_running(ch.lines_of(pages))))
+
+
+def chunks_of_blocks(blocks: DataFrame) -> DataFrame:
     return ch.stitch(ch.merge_caption_blocks(blocks))
 
 
+def chunks_of_pages(pages: DataFrame) -> DataFrame:
+    return chunks_of_blocks(blocks_of_pages(pages))
+
+
 def join_text(chunks: DataFrame, name: str) -> DataFrame:
     part = F.array_sort(F.collect_list(F.struct("chunk_seq", "text")))
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(part, lambda x: x["text"]), "\n\n").alias(name))

@@ -790,6 +790,9 @@ def linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.packaged(_papers(spark, sf_dir)).select("doc_id", "json")
 
 
+from scriptorium import stateful_queries  # noqa: E402, F401  they add themselves
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -17,3 +20,20 @@ def session(name: str = "scriptorium", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary folder in local mode, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        found = f"file://{tempfile.mkdtemp(prefix='shared-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what several branches read is computed once, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

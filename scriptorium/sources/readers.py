@@ -129,7 +129,7 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def webhook_events(raw: DataFrame, column: str = "value") -> DataFrame:
+def webhook_events(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """event, journal, title, doi, authors, keywords of webhook JSON; names of fields vary. Broken JSON gives nulls."""
     v = F.try_parse_json(F.col(column).cast("string"))
     get = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths])
@@ -138,6 +138,7 @@ def webhook_events(raw: DataFrame, column: str = "value") -> DataFrame:
     whole = lambda a: strip(F.concat_ws(" ", F.coalesce(F.nullif(part(a, "given_name"), F.lit("")), F.nullif(part(a, "givenName"), F.lit("")), part(a, "first_name")), F.coalesce(F.nullif(part(a, "family_name"), F.lit("")), F.nullif(part(a, "familyName"), F.lit("")), part(a, "last_name"))))
     name = lambda a: F.coalesce(F.nullif(part(a, "name"), F.lit("")), whole(a))
     return raw.select(
+        *keep,
         F.coalesce(get("$.event", "$.event_type"), F.lit("publication.published")).alias("event"),
         get("$.journal_name", "$.journal", "$.context.name").alias("journal"),
         get("$.article.title", "$.submission.title", "$.title").alias("title"),
@@ -147,6 +148,15 @@ def webhook_events(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def webhook_deliveries(raw: DataFrame, column: str = "value") -> DataFrame:
+    """event_id, at and the columns of webhook_events: what a delivery says of itself, so that one sent again can be told. Without an id the body's hash stands for it."""
+    v = F.try_parse_json(F.col(column).cast("string"))
+    get = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths])
+    own = F.coalesce(get("$.event_id", "$.delivery_id", "$.id"), F.sha2(F.col(column).cast("string"), 256))
+    at = F.coalesce(get("$.timestamp", "$.created_at", "$.sent_at").try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    return webhook_events(raw.withColumns({"__id": own, "__at": at}), column, ("__id", "__at")).withColumnsRenamed({"__id": "event_id", "__at": "at"})
+
+
 def find_files(files: DataFrame, name: str) -> DataFrame:
     """Files whose name holds, or begins with the first 15 characters of, a name; upper and lower case alike."""
     low = F.lower("file_name")

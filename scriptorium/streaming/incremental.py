@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from scriptorium.sources.merge_store import Merge, MergeStore, newest
 from scriptorium.sources.readers import webhook_events
-from scriptorium.sources.sinks import latest, swap
 
 
 def webhook_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,24 +18,25 @@ def webhook_stream(spark: SparkSession, folder: str) -> DataFrame:
     return webhook_events(spark.readStream.format("text").option("wholetext", "true").load(folder))
 
 
-def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", version: str = "version", merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Merge each batch into the table at path: the newest version of a key, or what `merge(stored, new)` gives.
+def known_events(events: DataFrame, journals: DataFrame, late: str = "1 hour", time: str = "at", ids: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Events with the journal's record, each event once however often it is sent again within `late`; journals: journal and further columns.
 
-    Replays do no harm: a batch's rows replace or meet rows of the same key and version. Within a batch the newest counts.
+    Replays are told by their ids alone, and state older than the watermark is dropped. The journals are a static side,
+    joined anew in each batch; events of unknown journals stay, without a record.
     """
+    once = events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(ids))
+    return once.join(journals, "journal", "left")
 
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        cols = [c for c in batch.columns if c != key]
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*cols), version).alias("r")).select(key, "r.*")
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new.write.parquet(path)
-            return
-        swap(spark, merge(old, new) if merge else latest(old, new, key, version), path)
+
+def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", version: str = "version", merge: Merge | None = None, buckets: int = 64, name: str = "stream") -> StreamingQuery:
+    """Merge each batch into the MergeStore at path: the newest version of a key, or what `merge(stored, batch)` gives.
+
+    A batch rewrites the buckets of its keys alone. The store's ledger names the last batch of this stream (`name`), so a
+    batch that is run again after a failure isn't merged twice, even by rules that add up.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        MergeStore(batch.sparkSession, path, key, buckets).merge(batch, merge or newest([key], version), batch_id, name)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -225,10 +225,35 @@ def test_partition_counts_do_not_matter(spark):
 
 
 def test_reparsed_tables_find_their_pages(spark):
-    again = spark.createDataFrame([("d", 1, 4, None), ("d", 2, None, 7), ("d", 3, None, None)], "doc_id string, seq int, table_no int, page_idx int")
-    problems = spark.createDataFrame([("d", 5, 4), ("d", 7, 9), ("d", 8, 2)], "doc_id string, page_idx int, table_no int")
-    got = [(r["seq"], r["page_idx"]) for r in chunks.match_reparsed(again, problems).orderBy("seq").collect()]
-    assert got == [(1, 5), (2, 7), (3, 8)]
+    schema = "doc_id string, seq int, table_nos array<int>, page_idx int"
+    again = [("d", 0, [4], None), ("d", 1, [], 7), ("d", 2, [], None), ("d", 3, [4], None), ("e", 0, [1], 9), ("e", 1, [], 9), ("f", 0, [3], None), ("f", 1, [], 2), ("f", 2, [], None)]
+    problems = spark.createDataFrame([("d", 5, 4), ("d", 5, 6), ("d", 7, 9), ("d", 8, 2), ("e", 3, 8), ("f", 1, 1), ("f", 2, 3)], "doc_id string, page_idx int, table_no int")
+    got = {(r["doc_id"], r["seq"], r["page_idx"]) for r in chunks.match_reparsed(spark.createDataFrame(again, schema), problems).collect()}
+    # d: by number, by page, by place, and nothing free; e: the only page takes all; f: by number, its named page is taken and so is its place
+    assert got == {("d", 0, 5), ("d", 1, 7), ("d", 2, 8), ("e", 0, 3), ("e", 1, 3), ("f", 0, 2)}
+
+
+def test_pairs_arise_only_where_words_can_suffice(spark):
+    from scriptorium.operators import overlap
+
+    common = ["c1", "c2", "c3"]
+    rows = [("d", i, [*common, f"own{i}", f"pair{i // 2}"]) for i in range(60)] + [("d", 100, None), ("d", 101, []), ("e", 1, [*common, "x"]), ("e", 2, [*common, "x", "x"])]
+    sets = spark.createDataFrame(rows, "doc_id string, seq int, words array<string>")
+    got = {(r["doc_id"], r["a"], r["b"], len(r["shared"])) for r in overlap.overlapping(sets, 4).collect()}
+    assert got == {("d", 2 * i, 2 * i + 1, 4) for i in range(30)} | {("e", 1, 2, 4)}
+    firsts = overlap.rare_prefixes(sets, 4)
+    # of 60 * 59 / 2 pairs that share common words, 31 are compared
+    assert overlap.candidates(firsts, 4).count() == 31
+    assert overlap.candidates(firsts, 4, split=1).count() == 31
+    assert overlap.overlapping(sets, 3).count() == 60 * 59 // 2 + 1
+
+
+def test_a_claim_with_several_opposites_and_words_over_the_edge(spark):
+    text = ["More pressure makes higher yields in reactor vessels", "Less pressure makes lower yields in reactor vessels", "Reactor vessels whose pressure yields increase", "Decrease in pressure of reactor vessels cut yields"]
+    c = spark.createDataFrame([("a", i, "t", x) for i, x in enumerate(text)], "doc_id string, seq int, tag string, text string")
+    got = {(r["seq_a"], r["seq_b"], r["word"], r["antonym"]) for r in graph.antonym_conflicts(c).collect()}
+    # `increase` ends its claim, so the word behind it is the first of the next one
+    assert got == {(0, 1, "more", "less"), (0, 1, "higher", "lower"), (2, 3, "increase", "decrease")}
 
 
 def test_graph_json(spark):

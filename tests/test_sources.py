@@ -1,9 +1,11 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.sources import readers, sinks
+from scriptorium.sources.merge_store import MergeStore, newest
 from scriptorium.streaming import incremental
 
 
@@ -89,9 +91,75 @@ def test_stream_merges_and_replays(spark, tmp_path):
     for i, rows in enumerate(([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("a", 1, "old")])):
         spark.createDataFrame(rows, "doc_id string, version int, v string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("doc_id string, version int, v string").parquet(str(source))
-        incremental.merge_stream(stream, path, str(tmp_path / f"cp{i}")).awaitTermination()  # the second run replays the first batch
+        incremental.merge_stream(stream, path, str(tmp_path / f"cp{i}"), name=f"s{i}").awaitTermination()  # the second run merges the first batch again
         time.sleep(0.1)
-    assert {(r["doc_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", "z"), ("b", "y")}
+    assert {(r["doc_id"], r["v"]) for r in MergeStore(spark, path).read().collect()} == {("a", "z"), ("b", "y")}
+
+
+def _files(path):
+    return {f.relative_to(path): f.stat().st_mtime_ns for f in path.glob("data/*/*/*.parquet")}
+
+
+def _add(old, new):
+    return old.unionByName(new).groupBy("k").agg(F.sum("v").alias("v"))
+
+
+def test_a_batch_rewrites_its_buckets_alone(spark, tmp_path):
+    store = MergeStore(spark, str(tmp_path), "k", buckets=8, keep=1)
+    assert store.version() is None
+    assert store.merge(spark.range(200).selectExpr("id AS k", "1L AS v"), _add, 0)
+    before, was = _files(tmp_path), store.version()
+    assert len(was.folders) == 8
+    batch = spark.range(3, 4).selectExpr("id AS k", "5L AS v")
+    assert store.merge(batch, _add, 1)
+    now = store.version()
+    changed = {b for b in was.folders if now.folders[b] != was.folders[b]}
+    assert len(changed) == 1
+    kept = {f: m for f, m in before.items() if f"bucket={next(iter(changed))}" not in f.parts}
+    assert kept.items() <= _files(tmp_path).items() and len(kept) >= 7
+    assert store.lookup(batch).collect()[0]["v"] == 6 and store.read().count() == 200
+
+
+def test_a_batch_is_merged_once_and_failures_leave_the_old_version(spark, tmp_path):
+    store = MergeStore(spark, str(tmp_path), "k", buckets=4)
+    one = spark.createDataFrame([("a", 1)], "k string, v long")
+    assert store.merge(one, _add, 0, "s") and not store.merge(one, _add, 0, "s")
+    assert store.merge(one, _add, 0, "other")
+
+    def broken(old, new):
+        return new.withColumn("v", F.raise_error(F.lit("no")).cast("long"))
+
+    number = store.version().number
+    with pytest.raises(Exception, match="no"):
+        store.merge(one, broken, 1, "s")
+    assert store.version().number == number and [tuple(r) for r in store.read().collect()] == [("a", 2)]
+    assert store.merge(one, _add, 1, "s") and store.read().first()["v"] == 3
+
+
+def test_of_two_writers_the_slower_starts_again(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1)], "k string, v long")
+    store, other, turns = MergeStore(spark, str(tmp_path), "k"), MergeStore(spark, str(tmp_path), "k"), []
+
+    def late(old, new):
+        if not turns:
+            other.merge(one, _add)
+        turns.append(1)
+        return _add(old, new)
+
+    assert store.merge(one, late) and len(turns) == 2 and store.read().first()["v"] == 2
+
+
+def test_store_grows_columns_deletes_and_keeps_versions(spark, tmp_path):
+    store = MergeStore(spark, str(tmp_path), ["k"], buckets=4, keep=2)
+    rule = newest(["k"], "v")
+    store.merge(spark.createDataFrame([("a", 1), ("b", 1), (None, 7)], "k string, v long"), rule)
+    store.merge(spark.createDataFrame([("a", 2, "n")], "k string, v long, note string"), rule)
+    store.merge(spark.createDataFrame([("b", 0)], "k string, v long"), rule)
+    assert {tuple(r) for r in store.read().collect()} == {("a", 2, "n"), ("b", 1, None), (None, 7, None)}
+    assert store.read(2).count() == 3
+    store.delete(spark.createDataFrame([("a",), ("zz",)], "k string"))
+    assert {r["k"] for r in store.read().collect()} == {"b", None}
+    assert store.merge(store.read().limit(0), rule, 9) and store.read().count() == 2
 
 
 def test_elements(spark):
