@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -161,11 +161,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, most: int, chars: int) -> DataFrame:
-    """At most `most` labelled documents outside the held-out fold, those with the least hash of doc_id, as long as their texts have `chars` characters or fewer in all.
+    """At most `most` labelled documents outside the held-out fold, those with the least hash of doc_id, whose texts have `chars` characters or fewer in all.
 
-    A label above 0 counts as 1, any other as 0; of several labels for one document the largest counts; null labels and ids
-    are dropped. Columns: k (a hash that orders the rows), text, y.
+    Documents are taken in that order; one whose text no longer fits is passed over, and the next ones are still tried, so no
+    single text can end the sample. Of several texts of one doc_id the one with the least hash counts, so there are as many
+    rows as ids at most. A label above 0 counts as 1, any other as 0; of several labels for one document the largest
+    counts; null labels and ids are dropped. Columns: k (a hash that orders the rows), text, y.
     """
+    spark = docs.sparkSession
     ids = (
         labels.select(F.col("doc_id").alias("id"), (F.col(label) > 0).cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("id"), folds) != held_out))
@@ -175,9 +178,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
         .limit(most)
     )
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = materialize(own.join(F.broadcast(ids), "id"), "labelled-sample")
-    # the window runs over `most` ids at most
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = sample.groupBy("id").agg(F.sum(F.length("text")).alias("n")).withColumn("upto", upto).where(F.col("upto") <= chars).select("id")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else the few rows would be one task's
+    sample = own.join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
+    sample = materialize(sample, "labelled-sample")
+    taken, left = [], chars
+    for r in sample.select("id", F.length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect():  # `most` rows at most
+        if r["n"] <= left:
+            taken.append((r["id"],))
+            left -= r["n"]
+    within = spark.createDataFrame(taken, sample.select("id").schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # else the few rows would be one task's
     return sample.join(F.broadcast(within), "id").select(F.xxhash64("id", "text").alias("k"), "text", "y").repartition(tasks, "k")

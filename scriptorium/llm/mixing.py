@@ -2,8 +2,7 @@
 
 The texts of a source are laid end to end and cut into blocks of one fixed length. The mix is cut into output shards of a
 fixed number of slots; for each shard a multinomial over the sources, weighted by their targets, draws how many of its slots
-each source fills (of the expected counts the whole parts are given, and the multinomial draws the slots that are left by the
-fractions: the same expectation, less spread). Prefix sums over shards give each source's slots in a shard their numbers, and the j-th slot of a source
+each source fills. Prefix sums over shards give each source's slots in a shard their numbers, and the j-th slot of a source
 takes the block to which a pseudorandom permutation of its blocks (one for each pass over the source) maps it; blocks are
 joined by index. A source gives each block `most` times at most: slots drawn beyond that are drawn again among sources
 that have room. No draw depends on partitions or order of rows, so reruns agree. Nothing is ever ordered within a whole
@@ -25,7 +24,7 @@ from scriptorium.llm.line_dedup import words_in
 
 @dataclass(frozen=True)
 class Params:
-    """block_words: words of a block; a source's words differ from its target as the draw does, by about the root of the number of shards. bucket_rows: documents, and shards, ordered by one task; max_sources bounds what the driver holds, a row a source (more are an error)."""
+    """block_words: words of a block; a source's words differ from its target as the draw does, by about the root of its number of blocks, in blocks. bucket_rows: documents, and shards, ordered by one task; max_sources bounds what the driver holds, a row a source (more are an error)."""
 
     weights: tuple[float, ...] = (5, 2, 1)
     share: float = 1.5
@@ -128,9 +127,7 @@ def _draws(spark: SparkSession, plan: Plan, p: Params) -> DataFrame:
         def draw(frames, chance=chance, seed=seed):
             for f in frames:
                 for shard, n in zip(f["shard"], f["n"], strict=True):
-                    got = np.floor(n * chance).astype(np.int64)
-                    rest = n * chance - got
-                    got += np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(max(0, int(n - got.sum())), rest / max(rest.sum(), 1e-300))
+                    got = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(int(n), chance)
                     sid = np.flatnonzero(got)
                     yield pd.DataFrame({"sid": sid.astype(np.int32), "shard": shard, "n": got[sid]})
 
@@ -146,9 +143,10 @@ def _draws(spark: SparkSession, plan: Plan, p: Params) -> DataFrame:
         need = drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("fits")).alias("n")).where("n > 0")
         if need.isEmpty():
             break
-        # sources whose target leaves room by far, by their targets; in further turns all by their room
+        # by how far each source is from its target, then by what room it has
         room = plan.limits - used
-        weight = np.where((plan.slots < 0.99 * plan.limits) & (room > 0), plan.slots, 0.0) if turn == 0 else np.maximum(room, 0).astype(float)
+        weight = np.where(room > 0, np.maximum(plan.slots - used, 0.0), 0.0)
+        weight = weight if weight.sum() >= 1 else np.maximum(room, 0).astype(float)
         turn += 1
     return spark.createDataFrame([], "sid int, shard long, at long, n long") if out is None else out
 
