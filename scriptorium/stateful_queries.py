@@ -73,7 +73,7 @@ def _scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.concat(F.lit("Table "), key, F.lit(". Stock\n| Item | Count |\n|---|---|\n| a"), key, F.lit(" | 1 |\n| b"), key, F.lit(" | 2 |"))
     prose = F.concat(F.lit("Table "), key, F.lit(". Stock of what was counted in all of the houses that year and then left out."))
     named = F.concat(F.lit("Compare Table "), key, F.lit(" with what others say of it."))
-    flat = F.concat(F.lit("Table "), key, F.lit(". Stock\nwithout any columns\nthat one could see"))
+    flat = F.concat(F.lit("Table "), key, F.lit(". Stock\nwithout any columns for "), key, F.lit("\nthat one could see in "), key)
     kind = F.col("k") % 4
     table = F.when(kind == 0, good).when(kind == 1, prose).when(kind == 2, named).otherwise(flat)
     return pages.select("doc_id", "page_idx", F.concat(F.lit("Remarks of supplier "), key, F.lit(" on the season end here.\n\n"), table).alias("text"))
@@ -102,7 +102,7 @@ c AS (
   SELECT doc_id, CASE kind WHEN 2 THEN r ELSE r - 1 END AS chunk_seq, page AS page_idx, 'paragraph' AS chunk_type, 'first' AS parser, 'Remarks of supplier ' || k || ' on the season end here.' || CASE kind WHEN 2 THEN chr(10) || 'Compare Table ' || k || ' with what others say of it.' ELSE '' END AS text FROM p
   UNION ALL SELECT doc_id, r, page, CASE WHEN kind IN (0, 3) THEN 'table' ELSE 'paragraph' END, 'first', CASE kind WHEN 0 THEN 'DATA TABEL / METRIK SPESIFIK:' || chr(10) || 'Table ' || k || '. Stock' || chr(10) || '| Item | Count |' || chr(10) || '|---|---|' || chr(10) || '| a' || k || ' | 1 |' || chr(10) || '| b' || k || ' | 2 |'
     WHEN 1 THEN 'Table ' || k || '. Stock of what was counted in all of the houses that year and then left out.'
-    ELSE 'DATA TABEL / METRIK SPESIFIK:' || chr(10) || 'Table ' || k || '. Stock' || chr(10) || 'without any columns' || chr(10) || 'that one could see' END
+    ELSE 'DATA TABEL / METRIK SPESIFIK:' || chr(10) || 'Table ' || k || '. Stock' || chr(10) || 'without any columns for ' || k || chr(10) || 'that one could see in ' || k END
   FROM p WHERE kind IN (0, 1) OR kind = 3 AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.page = p.page)
   UNION ALL SELECT b.doc_id, n + 1 + b.seq, g.page, 'table', 'second', CASE WHEN k % 5 = 0 THEN 'Stock' ELSE 'Table ' || k || ': Stock' END || chr(10) || chr(10) || '| Item | Count |' || chr(10) || '|---|---|' || chr(10) || '| z' || k || ' | 9 |' || chr(10) || '| y' || k || ' | 8 |'
   FROM g JOIN b USING (doc_id, seq) WHERE g.page IS NOT NULL)
