@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import bibliography, metadata
+from scriptorium.functions.authors import authors as find_authors
 from scriptorium.functions.text import clean_abstract, clean_title, strip
 from scriptorium.operators import chunks as ch
 from scriptorium.operators import metrics as me
@@ -39,15 +40,6 @@ def title_of(first_page):
     return F.array_join(F.slice(upto, 1, 6), " ")
 
 
-def author_names(first_page, title):
-    """Names on the first page before the abstract: two to four capitalised words, set apart by commas or `and`, marks dropped."""
-    head = F.split(first_page, r"(?i)\babstra[ck]t?\b", 2)[0]
-    ls = F.filter(F.slice(F.split(head, "\n"), 1, 25), lambda x: ~x.rlike(r"(?i)university|universitas|institut|department|faculty|school|journal|volume|received|@|http") & ~F.contains(title, strip(x)))
-    bits = F.flatten(F.transform(ls, lambda x: F.split(x, r"\s*(?:,|;|&|\band\b|\bdan\b)\s*")))
-    clean = F.transform(bits, lambda b: strip(F.regexp_replace(b, r"[\d*†‡¹²³⁴⁵⁶⁷⁸⁹⁰]+", "")))
-    return F.array_distinct(F.filter(clean, lambda b: b.rlike(r"^\p{Lu}[\p{L}.'’\-]*(?:\s+(?:\p{Lu}[\p{L}.'’\-]*|de|van|von|bin|al)){1,3}$")))
-
-
 def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
     """One row a document: id, name, in_language, date_published, doi, genre, publisher, keywords, authors, description, citations, metrics, formulas, codes, sections, tables."""
     head = chunks.where("chunk_seq <= 10")
@@ -59,7 +51,7 @@ def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
     text = body.join(whole, "doc_id", "left").join(cover, "doc_id", "left").join(first, "doc_id", "left")
     raw = title_of(F.coalesce("first_page", F.lit("")))
     abstract = F.regexp_extract("body", r"(?is)\b(?:abstract|abstrak)\b[\s:.\-—]*(.{30,4000}?)(?=\n\s*(?:keywords?|kata\s+kunci|index\s+terms?|1\.?\s+introduction|introduction|pendahuluan)\b|\n\n\n|\z)", 1)
-    meta = text.withColumn("authors", F.transform(author_names(F.coalesce("first_page", F.lit("")), raw), lambda n: F.struct(n.alias("name"), F.array().cast("array<string>").alias("affiliations"))))
+    meta = text.withColumn("authors", find_authors(F.col("first_page")))
     meta = meta.withColumn("name", clean_title(raw, F.transform("authors", lambda a: a["name"]))).withColumn("date_published", metadata.publication_date(F.coalesce("head", F.lit(""))))
     pub = metadata.publisher(F.coalesce("head", F.lit("")), F.col("name"))
     meta = meta.select(
