@@ -113,3 +113,22 @@ def hybrid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = hybrid_chunks(_scanned_pages(spark, sf_dir), _second_parser)
     return out.select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), "page_idx", "chunk_type", "parser", F.md5("text").alias("text_md5"))
+
+
+@query("""
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT 'all' AS payload, *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d
+  UNION ALL SELECT 'label 1', *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM d WHERE label = 1)
+SELECT payload, query_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 6""")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-15, JOIN-15, SORT-04: an index of inverted lists, written once and searched twice, the second time with a filter on its source."""
+    from scriptorium.operators import vector_index
+
+    path = shared_folder(spark)
+    e = t(spark, sf_dir, "embeddings")
+    vector_index.build(e.select(F.col("vec_id").alias("id"), F.col("label").alias("source"), "embedding"), path, lists=32)
+    index = vector_index.load(spark, path)
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    every = vector_index.search(spark, index, asked).withColumn("payload", F.lit("all"))
+    some = vector_index.search(spark, index, asked, payload=F.col("source") == 1).withColumn("payload", F.lit("label 1"))
+    return every.unionByName(some).withColumn("score", F.round("score", 6))
