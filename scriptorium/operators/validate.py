@@ -58,20 +58,6 @@ def readiness(schema: Column, graph: Column) -> Column:
     return F.struct(score.alias("score"), badge.alias("badge"))
 
 
-def integrity_report(docs: DataFrame, antonyms: DataFrame, negations: DataFrame, numeric: DataFrame, unpaged: DataFrame, topology: DataFrame) -> DataFrame:
-    """doc_id, n_contradictions, n_warnings, score, resolution. docs: doc_id; the others are rows of findings by doc_id; topology: doc_id, n_nodes, n_keywords."""
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    out = docs.select("doc_id")
-    for df, name in ((antonyms, "a"), (negations, "n"), (numeric, "m"), (unpaged, "u")):
-        out = out.join(count(df, name), "doc_id", "left")
-    out = out.join(topology, "doc_id", "left").na.fill(0)
-    isolated = (F.col("n_nodes") == 0) & (F.col("n_keywords") == 0)
-    warnings = F.col("m") + F.when(F.col("u") > 0, 1).otherwise(0)
-    contradictions = F.col("a") + F.col("n")
-    got = integrity(contradictions, warnings, (contradictions == 0) & (warnings == 0) & ~isolated)
-    return out.select("doc_id", contradictions.alias("n_contradictions"), warnings.alias("n_warnings"), got["score"].alias("score"), got["resolution"].alias("resolution"))
-
-
 def quality(name: Column, file_name: Column, description: Column, section_names: Column, units: Column, n_citations: Column, meta_tags: Column) -> Column:
     """struct of eight scores and their mean, rounded to one digit: title, abstract, keywords, structure, metrics, tables, citations, meta_tags."""
     n, d = F.coalesce(name, F.lit("")), F.coalesce(description, F.lit(""))
@@ -128,3 +114,38 @@ def json_checks(files: DataFrame) -> DataFrame:
 def missing_fields(date: Column, authors: Column, doi: Column) -> Column:
     """Names of what a complete record lacks."""
     return F.array_compact(F.array(F.when(strip(F.coalesce(date, F.lit(""))) == "", "date"), F.when(size(authors) == 0, "author"), F.when(strip(F.coalesce(doi, F.lit(""))) == "", "doi")))
+
+
+def adversarial(docs: DataFrame, sections: DataFrame, metrics: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, n_antonyms, n_negations, n_numeric, n_unpaged, topology, score, resolution: the five checks of a document's claims.
+
+    docs: doc_id, description, keywords (array), entities (array); sections: doc_id, seq, section_name, summary, page_start; metrics: doc_id, seq,
+    name, value, unit, context, page; nodes: doc_id, node_id. Claims are the description, the summaries and the metrics, in this
+    order; contradictions are looked for among them, denials among the summaries. Sections without a page are one warning
+    together. topology: dense (three nodes and three keywords), thin, or isolated, which alone is a failed check.
+    """
+    from scriptorium.operators.graph import antonym_conflicts, negation_conflicts
+    from scriptorium.operators.metrics import numeric_issues
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    said = docs.select("doc_id", F.lit(0).cast("long").alias("seq"), F.lit("description").alias("tag"), F.col("description").alias("text"))
+    told = sections.select("doc_id", (F.col("seq") + 1).cast("long").alias("seq"), F.col("section_name").alias("tag"), F.col("summary").alias("text"))
+    stated = metrics.select("doc_id", (F.col("seq") + (1 << 32)).cast("long").alias("seq"), F.col("name").alias("tag"), strip(F.concat(text("name"), F.lit(": "), text("value"), F.lit(" "), text("unit"), F.lit(" "), text("context"))).alias("text"))
+    claims = said.unionByName(told).unionByName(stated).where(F.col("text") != "")
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    found = docs.select("doc_id", size(F.col("keywords")).alias("n_keywords"), size(F.col("entities")).alias("n_entities"))
+    parts = {
+        "n_antonyms": antonym_conflicts(claims),
+        "n_negations": negation_conflicts(told.where(F.col("text") != "")),
+        "n_numeric": numeric_issues(metrics),
+        "n_unpaged": sections.where(F.coalesce("page_start", F.lit(0)) < 1),
+        "n_kg": nodes,
+    }
+    for name, rows in parts.items():
+        found = found.join(count(rows, name), "doc_id", "left")
+    found = found.na.fill(0, list(parts)).withColumn("n_nodes", F.col("n_entities") + F.col("n_kg"))
+    topology = F.when((F.col("n_nodes") >= 3) & (F.col("n_keywords") >= 3), "dense").when((F.col("n_nodes") > 0) | (F.col("n_keywords") > 0), "thin").otherwise("isolated")
+    contradictions = F.col("n_antonyms") + F.col("n_negations")
+    warnings = F.col("n_numeric") + F.when(F.col("n_unpaged") > 0, 1).otherwise(0)
+    got = integrity(contradictions, warnings, (contradictions == 0) & (warnings == 0) & (topology != "isolated"))
+    return found.select("doc_id", "n_antonyms", "n_negations", "n_numeric", "n_unpaged", topology.alias("topology"), got["score"].alias("score"), got["resolution"].alias("resolution"))

@@ -1,4 +1,4 @@
-"""Queries that keep state over several steps: streams that merge into stores, and plans that call a second parser.
+"""Queries of several steps: streams that merge into stores, an index that is stored and searched, plans that call a second parser or put operators together.
 
 Their files are made from the driver's tables in the shared folder, so that they grow with them.
 """
@@ -132,3 +132,48 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = vector_index.search(spark, index, asked).withColumn("payload", F.lit("all"))
     some = vector_index.search(spark, index, asked, payload=F.col("source") == 1).withColumn("payload", F.lit("label 1"))
     return every.unionByName(some).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 5 = 0 AS opp, c_custkey % 5 = 1 AS neg, (c_custkey % 150 > 100)::INT + (c_custkey % 7 = 0)::INT AS num, (c_custkey % 6 = 0)::INT AS bare, c_custkey % 3 + c_custkey % 4 AS nodes, c_custkey % 4 AS words FROM customer)
+SELECT k AS doc_id, opp::BIGINT AS n_antonyms, neg::BIGINT AS n_negations, num::BIGINT AS n_numeric, bare::BIGINT AS n_unpaged, CASE WHEN nodes >= 3 AND words >= 3 THEN 'dense' WHEN nodes > 0 OR words > 0 THEN 'thin' ELSE 'isolated' END AS topology,
+  CASE WHEN opp OR neg THEN greatest(30, 75 - (num + bare) * 10) WHEN num + bare = 0 AND nodes + words > 0 THEN 100 ELSE greatest(50, 100 - (num + bare) * 12) END::INT AS score,
+  CASE WHEN opp OR neg THEN 'contradiction' WHEN num + bare = 0 AND nodes + words > 0 THEN 'accepted' ELSE 'flagged' END AS resolution FROM c""")
+def adversarial_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-02, VAL-03, JOIN-05, JOIN-06, MATH-06: documents of which one in five contradicts itself, one denies itself, one weighs things, one speaks of other things, and one says nothing."""
+    from scriptorium.operators import validate
+
+    c = t(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    many = lambda n, x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n), lambda i: F.concat(F.lit(x), i.cast("string")))
+    docs = c.select(F.col("k").alias("doc_id"), F.concat(F.lit("On "), F.col("c_mktsegment")).alias("description"), many(F.col("k") % 4, "word").alias("keywords"), many(F.col("k") % 3, "thing").alias("entities"))
+    second = F.element_at(
+        F.array(*[F.lit(x) for x in ("Sensors decrease river water flow rates", "Sensors do not increase river water flow rates", "While sensors decrease river water flow rates", "Sensors decrease noise of river water flow rates", "Little else is said")]),
+        (F.col("k") % 5 + 1).cast("int"),
+    )
+    sections = c.select(F.col("k").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("One").alias("section_name"), F.lit("Sensors increase river water flow rates").alias("summary"), F.lit(1).alias("page_start")), F.struct(F.lit(1).alias("seq"), F.lit("Two").alias("section_name"), second.alias("summary"), F.when(F.col("k") % 6 == 0, 0).otherwise(2).alias("page_start")))).alias("s"))
+    metrics = c.select(F.col("k").alias("doc_id"), F.lit(0).cast("long").alias("seq"), F.when(F.col("k") % 2 == 0, "Yield").alias("name"), (F.col("k") % 150).cast("string").alias("value"), F.lit("%").alias("unit"), F.lit("").alias("context"), F.when(F.col("k") % 7 != 0, 3).alias("page"))
+    nodes = c.select(F.col("k").alias("doc_id"), F.explode(many(F.col("k") % 4, "node")).alias("node_id"))
+    return validate.adversarial(docs, sections.select("doc_id", "s.*"), metrics, nodes)
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, n_name, 'University of ' || n_name AS u, 'Institute of Rivers, Town ' || s_suppkey AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 'Ann Lee [' || u || '; ' || v || '] -|Jo Ek [' || v || '] -'
+  WHEN 1 THEN 'Ann Lee [' || u || '] https://orcid.org/0000-0001-0000-' || lpad((k % 10000)::VARCHAR, 4, '0') || '|Jo van der Ek [' || v || '] -'
+  WHEN 2 THEN 'Ann Lee [' || u || '] -|Jo Ek [' || u || '] -|S. Kortmann [' || u || '] -' ELSE '' END AS authors FROM s""")
+def first_page_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-18, STR-20: authors with affiliations and ORCIDs on title pages of three layouts, and a page that has none."""
+    from scriptorium.functions.authors import authors
+
+    s = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey").cast("string")
+    u, v = F.concat(F.lit("University of "), F.col("n_name")), F.concat(F.lit("Institute of Rivers, Town "), k)
+    title = F.lit("A Study of the Flow of Water\nin Large Rivers\n")
+    rest = F.lit("\nAbstract\nWe study rivers. Otto Text, University of Nowhere, is not an author.")
+    marked = F.concat(F.lit("Ann Lee1,2 and Jo Ek²*\n1 "), u, F.lit("\n2 "), v, F.lit("\n* Corresponding author: jo@ek.org"))
+    below = F.concat(F.lit("Ann Lee (ORCID: 0000-0001-0000-"), F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0"), F.lit(")\n"), u, F.lit("\nann@lee.org\nJo van der Ek, Senior Member, IEEE\n"), v)
+    shared = F.concat(F.lit("Dr. Ann Lee, Jo Ek & S. Kortmann\n"), u)
+    kind = F.col("s_suppkey") % 4
+    page = F.when(kind == 0, F.concat(title, marked, rest)).when(kind == 1, F.concat(title, below, rest)).when(kind == 2, F.concat(title, shared, rest)).otherwise(F.concat(title, F.lit("with a table of what was measured in the years before"), rest))
+    one = lambda a: F.concat(a["name"], F.lit(" ["), F.array_join(a["affiliations"], "; "), F.lit("] "), F.coalesce(a["orcid"], F.lit("-")))
+    return s.select(F.col("s_suppkey").alias("doc_id"), F.array_join(F.transform(authors(page), one), "|").alias("authors"))
