@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import flat
 from scriptorium.functions.text import is_formula, sanitize_for_extraction, strip, strip_markdown
 
 #: Column names of descriptive tables.
@@ -86,27 +87,14 @@ def parse_markdown(text: Column, page: Column, language: Column) -> Column:
     return F.when(ok, F.struct(align_caption(F.coalesce(caption, made), language).alias("caption"), page.alias("page_number"), headers.alias("headers"), rows.alias("rows"), kind.alias("table_type")))
 
 
-def parse_flat(text: str, page: int) -> tuple[str | None, list[str], list[list[str]]] | None:
-    """A table of columns set apart by tabs or two spaces; longer rows have their end joined, shorter ones are filled."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    caption = next((x.strip() for x in lines[:3] if re.match(r"(?i)^(?:Tabel|Table)\s+\d+", x.strip())), None)
-    body = [re.split(r"\t+|\s{2,}", x.strip()) for x in lines if x.strip() != caption]
-    body = [r for r in body if len(r) >= 2]
-    if len(body) < 2:
-        return None
-    n = len(body[0])
-    rows = [[*r[: n - 1], " ".join(r[n - 1 :])] if len(r) > n else r + [""] * (n - len(r)) for r in body[1:]]
-    return caption, body[0], rows
-
-
 def flat_tables(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_seq, page_number, caption, headers, rows of table chunks without bars."""
+    """doc_id, chunk_seq, page_number, caption, headers, rows of table chunks without bars: columns set apart by gaps, by single spaces, or rows run together in one line."""
 
     def parse(frames):
         for f in frames:
             out = []
             for doc, seq, page, text in zip(f["doc_id"], f["chunk_seq"], f["page_idx"], f["text"], strict=True):
-                got = parse_flat(re.sub(r"^DATA TABEL / METRIK SPESIFIK:\s*", "", text or ""), page)
+                got = flat.parse(re.sub(r"^DATA TABEL / METRIK SPESIFIK:[ \t]*\n?", "", text or ""))
                 if got:
                     out.append((doc, seq, page, got[0], got[1], got[2]))
             yield pd.DataFrame(out, columns=["doc_id", "chunk_seq", "page_number", "caption", "headers", "rows"])

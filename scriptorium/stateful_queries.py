@@ -177,3 +177,23 @@ def first_page_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.when(kind == 0, F.concat(title, marked, rest)).when(kind == 1, F.concat(title, below, rest)).when(kind == 2, F.concat(title, shared, rest)).otherwise(F.concat(title, F.lit("with a table of what was measured in the years before"), rest))
     one = lambda a: F.concat(a["name"], F.lit(" ["), F.array_join(a["affiliations"], "; "), F.lit("] "), F.coalesce(a["orcid"], F.lit("-")))
     return s.select(F.col("s_suppkey").alias("doc_id"), F.array_join(F.transform(authors(page), one), "|").alias("authors"))
+
+
+@query("""
+SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'Table 1. Stock' WHEN 1 THEN 'Table 2. Stock held' ELSE 'Table 3. Stock' END AS caption,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Item|Unit price|Count' WHEN 1 THEN 'Item|Count|Weight' ELSE 'Item|Count' END AS headers,
+  CASE s_suppkey % 4 WHEN 0 THEN 'North Mill|' || s_suppkey || '.5|' || s_suppkey || ';South|' || s_suppkey || '|7;Ours|' || s_suppkey || '|' WHEN 1 THEN 'Mill|' || s_suppkey || '|2;Barn|3|' || s_suppkey ELSE 'a ' || s_suppkey || '|2;b|' || s_suppkey END AS cells
+FROM supplier WHERE s_suppkey % 4 <> 3""")
+def flat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26: tables without bars in three layouts (single spaces, one line, gaps), and prose below a caption, which is none."""
+    from scriptorium.operators import tables
+
+    key = F.col("s_suppkey").cast("string")
+    spaces = F.concat(F.lit("Table 1. Stock\nItem Unit price Count\nNorth Mill "), key, F.lit(".5 "), key, F.lit("\nSouth "), key, F.lit(" 7\nOurs "), key)
+    line = F.concat(F.lit("Table 2. Stock held Item Count Weight Mill "), key, F.lit(" 2 Barn 3 "), key)
+    gaps = F.concat(F.lit("Table 3. Stock\nItem\tCount\na "), key, F.lit("\t2\nb  "), key)
+    kind = F.col("s_suppkey") % 4
+    text = F.when(kind == 0, spaces).when(kind == 1, line).when(kind == 2, gaps).otherwise("Table 4. Stock\nwithout any columns\nthat one could see")
+    rows = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(0).cast("long").alias("chunk_seq"), F.lit(1).alias("page_idx"), F.lit("table").alias("chunk_type"), text.alias("text"))
+    got = tables.flat_tables(rows)
+    return got.select("doc_id", "caption", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scriptorium.operators import chunks, export, graph, merge, metrics, outline, retrieve, tables, validate
+from scriptorium.operators import chunks, export, flat, graph, merge, metrics, outline, retrieve, tables, validate
 from scriptorium.plans import extract
 
 
@@ -70,7 +70,27 @@ def test_table_fragments_stay_apart_over_page_gaps(spark):
 
 
 def test_flat_table():
-    assert tables.parse_flat("Table 1. T\nA  B  C\n1  2  3  4\n5  6", 1) == ("Table 1. T", ["A", "B", "C"], [["1", "2", "3 4"], ["5", "6", ""]])
+    assert flat.parse("Table 1. T\nA  B  C\n1  2  3  4\n5  6") == ("Table 1. T", ["A", "B", "C"], [["1", "2", "3 4"], ["5", "6", ""]])
+    assert flat.parse("Just one line") is None and flat.parse("") is None and flat.parse("Table 2. Prose\nwithout any columns\nthat one could see") is None
+
+
+def test_flat_table_with_single_spaces():
+    text = "Table 2. Grasping\nMethod Success rate Time\nRandom Forest 91.2 3.4\nNet 88.0% 12\nDeep Q Network 70.5 n/a\nOurs 99.1"
+    assert flat.parse(text) == (
+        "Table 2. Grasping",
+        ["Method", "Success rate", "Time"],
+        [["Random Forest", "91.2", "3.4"], ["Net", "88.0%", "12"], ["Deep Q Network", "70.5", "n/a"], ["Ours", "99.1", ""]],
+    )
+    # names all in capitals: the places of the columns decide
+    assert flat.parse("Table 3. Rain\nTown Name Days Millimetres\nNorth End 120 1245.55\nEast Side 100 2266.30")[1] == ["Town Name", "Days", "Millimetres"]
+    assert flat.parse("Table 7. Years\n2020 2021\n1 2\n3 4") is None
+
+
+def test_flat_table_in_one_line():
+    text = "Table 4. Success of grasps Method Rate Time Push 88.1% 2.9 Pull 70 3,1 Twist 12.5 9"
+    assert flat.parse(text) == ("Table 4. Success of grasps", ["Method", "Rate", "Time"], [["Push", "88.1%", "2.9"], ["Pull", "70", "3,1"], ["Twist", "12.5", "9"]])
+    assert flat.parse("Tabel 5: hasil uji Alat Satu 1 2 Alat Dua 3 4")[1:] == (["Item", "Column 1", "Column 2"], [["Alat Satu", "1", "2"], ["Alat Dua", "3", "4"]])
+    assert flat.parse("Table 6. Nothing but words here") is None
 
 
 def test_outline_is_monotonic(spark):
