@@ -197,3 +197,18 @@ def flat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(0).cast("long").alias("chunk_seq"), F.lit(1).alias("page_idx"), F.lit("table").alias("chunk_type"), text.alias("text"))
     got = tables.flat_tables(rows)
     return got.select("doc_id", "caption", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
+@query("""
+SELECT CASE WHEN turn % 3 = 0 THEN (turn + 1)::VARCHAR END AS page_label, md5(CASE WHEN turn % 3 = 0 THEN '- ' || (turn + 1) || ' -' || chr(10) ELSE 'x ' END || coalesce(role, '') || ' ' || conv_id) AS text_md5, count(*) AS n FROM conversations GROUP BY ALL""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-02, SRC-12: turns as pages of text files, parted by form feeds, read by a data source of pages with their printed labels."""
+    from scriptorium.sources.page_source import page_source
+
+    c = t(spark, sf_dir, "conversations")
+    label = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("- "), (F.col("turn") + 1).cast("string"), F.lit(" -\n"))).otherwise("x ")
+    folder = shared_folder(spark)
+    c.select(F.concat(label, F.coalesce("role", F.lit("")), F.lit(" "), F.col("conv_id").cast("string")).alias("value")).write.option("lineSep", "\f").text(folder)
+    spark.dataSource.register(page_source())
+    pages = spark.read.format("pages").option("suffix", ".txt").load(folder)
+    return pages.groupBy("page_label", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
