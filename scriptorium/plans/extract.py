@@ -12,6 +12,7 @@ from scriptorium.operators import chunks as ch
 from scriptorium.operators import metrics as me
 from scriptorium.operators import outline as ou
 from scriptorium.operators import tables as ta
+from scriptorium.session import stored
 
 
 def blocks_of_pages(pages: DataFrame) -> DataFrame:
@@ -41,7 +42,11 @@ def title_of(first_page):
 
 
 def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
-    """One row a document: id, name, in_language, date_published, doi, genre, publisher, keywords, authors, description, citations, metrics, formulas, codes, sections, tables."""
+    """One row a document: id, name, in_language, date_published, doi, genre, publisher, keywords, authors, description, citations, metrics, formulas, codes, sections, tables.
+
+    The branches below all read the chunks, which are written to the shared folder first.
+    """
+    chunks = stored(chunks)
     head = chunks.where("chunk_seq <= 10")
     cover = join_text(ch.cover_chunks(chunks), "cover")
     first = join_text(chunks.where("page_idx = 1"), "first_page")

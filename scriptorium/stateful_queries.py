@@ -212,3 +212,41 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(page_source())
     pages = spark.read.format("pages").option("suffix", ".txt").load(folder)
     return pages.groupBy("page_label", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+def _papers_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_idx, text: a paper of three pages for each supplier."""
+    s = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey").cast("string")
+    one = F.concat(
+        F.lit("A Careful Study of Water in Rivers number "), k, F.lit("\nAnn Lee1, Jo Ek2\n1 University of "), F.col("n_name"), F.lit("\n2 Institute of Rivers\nPublished: 5 March 2021\nhttps://doi.org/10.1000/r"), k,
+        F.lit("\n\nAbstract\nWe study how water flows in the rivers of "), F.col("n_name"), F.lit(" and what it carries along the way.\n\nKeywords: water, rivers, "), F.lower("n_name"), F.lit("\n\n1. Introduction\nThe rivers have been looked at before."),
+    )
+    two = F.concat(F.lit("2. Methods\nWe measured on site. The efficiency = 9"), k, F.lit(".5% was reached.\n\nTable 1. Flow of rivers\n| River | Flow |\n|---|---|\n| a"), k, F.lit(" | 1 |\n| b"), k, F.lit(" | 2 |"))
+    three = F.concat(F.lit("3. Results\nThe results agree with what was known.\n\nREFERENCES\n[1] Lee, A. (2019). On water "), k, F.lit(". Journal of Rivers, 1, 2.\n[2] Ek, J. (2020). On rivers "), k, F.lit(". Journal of Water, 3, 4.\n[3] Ro, B. (2018). On flows "), k, F.lit(". Journal of Flows, 5, 6."))
+    pages = F.posexplode(F.array(one, two, three)).alias("p", "text")
+    return s.select(k.alias("doc_id"), pages).select("doc_id", (F.col("p") + 1).cast("int").alias("page_idx"), "text")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, n_name, replace(n_name, '_', ' ') AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT k::VARCHAR AS doc_id, 'doc:2021-03-05/a-careful-study-of-water-in-rivers-number-' || k AS id, 'A Careful Study of Water in Rivers number ' || k AS name, 'en' AS in_language, '2021-03-05' AS date_published, '10.1000/r' || k AS doi,
+  'Journal of Rivers' AS publisher, 'water|rivers|' || lower(n) AS keywords, 'Ann Lee: University of ' || n_name || '|Jo Ek: Institute of Rivers' AS authors, 'We study how water flows in the rivers of ' || n || ' and what it carries along the way.' AS description,
+  md5('[1] Lee, A. (2019). On water ' || k || '. Journal of Rivers, 1, 2.' || chr(10) || '[2] Ek, J. (2020). On rivers ' || k || '. Journal of Water, 3, 4.' || chr(10) || '[3] Ro, B. (2018). On flows ' || k || '. Journal of Flows, 5, 6.') AS citations_md5,
+  'Efficiency=9' || k || '.5%@2' AS metrics, 1 AS n_formulas, 'Abstract@1-1|1. Introduction@1-1|2. Methods@2-2|3. Results@3-3' AS sections, 'Table 1. Flow of rivers@2: River|Flow; a' || k || '|1; b' || k || '|2' AS tables FROM s""")
+def extracted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction plan over a corpus in one job: pages to chunks to documents, with title, authors, dates, identifiers, keywords, abstract, outline, quantities, tables and bibliography."""
+    from scriptorium.plans import extract
+
+    d = extract.documents(extract.chunks_of_pages(_papers_as_pages(spark, sf_dir)))
+    one = lambda c, f, sep="|": F.array_join(F.transform(c, f), sep)
+    row = lambda r: F.array_join(r, "|")
+    return d.select(
+        "doc_id", "id", "name", "in_language", "date_published", "doi", "publisher", F.array_join("keywords", "|").alias("keywords"),
+        one("authors", lambda a: F.concat(a["name"], F.lit(": "), F.array_join(a["affiliations"], "; "))).alias("authors"),
+        "description", F.md5(F.array_join("citations", "\n")).alias("citations_md5"),
+        one("metrics", lambda m: F.concat(m["name"], F.lit("="), m["value"].cast("string"), m["unit"], F.lit("@"), m["page"].cast("string"))).alias("metrics"),
+        F.size("formulas").alias("n_formulas"),
+        one("sections", lambda x: F.concat(x["section_name"], F.lit("@"), x["page_start"].cast("string"), F.lit("-"), x["page_end"].cast("string"))).alias("sections"),
+        one("tables", lambda x: F.concat(x["caption"], F.lit("@"), x["page_number"].cast("string"), F.lit(": "), row(x["headers"]), F.lit("; "), one(x["rows"], row, "; "))).alias("tables"),
+    )
