@@ -117,6 +117,15 @@ class MergeStore:
         A run that fails leaves files that nothing names, and the old version. Columns that only the batch has are added,
         null in older rows; columns that only the store has become null in new rows.
         """
+        if batch_id is not None and (now := self.version()) is not None and batch_id <= now.ledger.get(stream, -1):
+            return False
+        batch = batch.persist()  # read for its buckets and then merged
+        try:
+            return self._merge(batch, merge, batch_id, stream, tries)
+        finally:
+            batch.unpersist()
+
+    def _merge(self, batch: DataFrame, merge: Merge, batch_id: int | None, stream: str, tries: int) -> bool:
         for turn in range(tries):
             now = self.version()
             if now is not None and batch_id is not None and batch_id <= now.ledger.get(stream, -1):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from scriptorium import schemas
 from scriptorium.functions.text import safe_file_name, strip
+from scriptorium.sources.merge_store import MergeStore
+from scriptorium.sources.sinks import replacing
 
 
 def page_table(spark: SparkSession, path: str) -> DataFrame:
@@ -64,19 +66,17 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = N
 
 
 def cached_chunks(spark: SparkSession, files: DataFrame, parser: str, parse: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Chunks of `files` (doc_id, ...) by a parser, out of the table at path as far as it has them; the others are parsed and added.
+    """Chunks of `files` (doc_id, ...) by a parser, out of the MergeStore at path as far as it has them; the others are parsed and added.
 
-    The table is partitioned by parser_used; rows without one serve every parser. Files that give no chunks are parsed again each time.
+    Rows without a parser_used serve every parser. What is added takes the place of the same parser's rows of a document, so
+    that a run that is repeated, or two at once, don't double them. Files that give no chunks are parsed again each time.
     """
+    key = ["parser_used", "doc_id"]
+    store = MergeStore(spark, path, key)
     mine = F.col("parser_used").isNull() | (F.col("parser_used") == parser)
-    read = lambda: spark.read.parquet(path).where(mine).join(files.select("doc_id").distinct(), "doc_id", "left_semi")
-    try:
-        missing = files.join(read().select("doc_id").distinct(), "doc_id", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        missing = files
-    parse(missing).withColumn("parser_used", F.lit(parser)).write.mode("append").partitionBy("parser_used").parquet(path)
+    read = lambda: store.read().where(mine).join(files.select("doc_id").distinct(), "doc_id", "left_semi")
+    missing = files if store.version() is None else files.join(read().select("doc_id").distinct(), "doc_id", "left_anti")
+    store.merge(parse(missing).withColumn("parser_used", F.lit(parser)), replacing(key))
     return read()
 
 
@@ -98,8 +98,9 @@ def first_parser(*results: DataFrame) -> DataFrame:
 
 
 def stored_chunks(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return (df if doc_id is None else df.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "chunk_seq")
+    """Chunks of the store that sinks.replace_chunks writes, of one document out of its bucket alone; chunk_seq orders a document's."""
+    store = MergeStore(spark, path, "doc_id")
+    return store.read() if doc_id is None else store.lookup(spark.createDataFrame([(doc_id,)], "doc_id string")).orderBy("chunk_seq")
 
 
 def has_chunks(chunks: DataFrame, doc_id: str) -> bool:

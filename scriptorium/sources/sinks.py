@@ -2,52 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.merge_store import Merge, MergeStore
+
+
+def replacing(key: list[str]) -> Merge:
+    """The rule by which new rows take the place of all stored rows of their keys."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
-def replace_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the stored chunks of the documents in `chunks`; others stay. The store is partitioned by document."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    return merge
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside, set the old table aside, rename the new one, delete the old: a step that fails leaves the old table, or puts it back."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    run = uuid.uuid4().hex
-    beside, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}.{run}.{x}") for x in ("new", "old"))
-    df.write.parquet(beside.toString())
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    stored = fs.exists(target)
-    if stored and not fs.rename(target, aside):
-        raise OSError(f"{path} can't be set aside; the new table is at {beside}")
-    if not fs.rename(beside, target):
-        if stored:
-            fs.rename(aside, target)
-        raise OSError(f"{beside} can't be renamed; the old table stays")
-    if stored:
-        fs.delete(aside, True)
+def replace_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replace the stored chunks of the documents in `chunks`; others stay, and buckets without such documents aren't touched."""
+    MergeStore(chunks.sparkSession, path, "doc_id", buckets).merge(chunks, replacing(["doc_id"]))
 
 
-def upsert_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "file_name") -> None:
+def upsert_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "file_name", buckets: int = 64) -> None:
     """Stored documents without those of `new`, and new."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new.write.parquet(path)
-        return
-    swap(spark, old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True), path)
+    MergeStore(spark, path, key, buckets).merge(new, replacing([key]))
 
 
 def delete_document(spark: SparkSession, paths: dict[str, str], name: str) -> None:
     """Delete a document from every table of the store. paths: path by key column."""
     for key, path in paths.items():
-        swap(spark, spark.read.parquet(path).where(F.col(key) != name), path)
+        MergeStore(spark, path, key).delete(spark.createDataFrame([(name,)], f"{key} string"))
 
 
 def latest(history: DataFrame, run: DataFrame, key: str = "file_name", time: str = "updated_at") -> DataFrame:

@@ -250,3 +250,20 @@ def extracted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("sections", lambda x: F.concat(x["section_name"], F.lit("@"), x["page_start"].cast("string"), F.lit("-"), x["page_end"].cast("string"))).alias("sections"),
         one("tables", lambda x: F.concat(x["caption"], F.lit("@"), x["page_number"].cast("string"), F.lit(": "), row(x["headers"]), F.lit("; "), one(x["rows"], row, "; "))).alias("tables"),
     )
+
+
+@query("""
+SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::BIGINT AS chunk_seq, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'again ' ELSE 'first ' END || o_orderkey AS text
+FROM orders WHERE o_custkey % 7 <> 0 AND (o_custkey % 3 <> 0 OR o_orderkey % 2 = 1 OR o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1))""")
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-14, SRC-08: chunks are stored by document, those of some documents replaced as a whole, and other documents deleted."""
+    from scriptorium.sources import readers, sinks
+    from scriptorium.sources.merge_store import MergeStore
+
+    path = shared_folder(spark)
+    o = t(spark, sf_dir, "orders")
+    rows = lambda df, word: df.select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").cast("long").alias("chunk_seq"), F.concat(F.lit(word), F.col("o_orderkey").cast("string")).alias("text"))
+    sinks.replace_chunks(rows(o, "first "), path, 16)
+    sinks.replace_chunks(rows(o.where("o_custkey % 3 = 0 AND o_orderkey % 2 = 1"), "again "), path, 16)
+    MergeStore(spark, path, "doc_id").delete(o.where("o_custkey % 7 = 0").select(F.col("o_custkey").cast("string").alias("doc_id")))
+    return readers.stored_chunks(spark, path)

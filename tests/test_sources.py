@@ -41,13 +41,6 @@ def test_chunks_are_parsed_once(spark, tmp_path):
     assert asked == [["a", "b"], ["c"], ["a", "b"]]
 
 
-def test_a_failed_swap_puts_the_old_table_back(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(3).write.parquet(path)
-    sinks.swap(spark, spark.read.parquet(path).where("id > 0"), path)
-    assert spark.read.parquet(path).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["t"]
-
-
 def test_command_line(spark, tmp_path, capsys):
     from scriptorium import cli
 
@@ -80,9 +73,18 @@ def test_store(spark, tmp_path):
     path = str(tmp_path / "docs")
     sinks.upsert_documents(spark, spark.createDataFrame([("a", 1), ("b", 1)], "file_name string, v int"), path)
     sinks.upsert_documents(spark, spark.createDataFrame([("b", 2), ("c", 2)], "file_name string, v int"), path)
-    assert {(r["file_name"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    store = MergeStore(spark, path, "file_name")
+    assert {(r["file_name"], r["v"]) for r in store.read().collect()} == {("a", 1), ("b", 2), ("c", 2)}
     sinks.delete_document(spark, {"file_name": path}, "a")
-    assert spark.read.parquet(path).count() == 2
+    assert store.read().count() == 2
+
+
+def test_chunk_store(spark, tmp_path):
+    path, schema = str(tmp_path / "chunks"), "doc_id string, chunk_seq int, text string"
+    sinks.replace_chunks(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], schema), path)
+    sinks.replace_chunks(spark.createDataFrame([("a", 1, "new")], schema), path)
+    assert [tuple(r) for r in readers.stored_chunks(spark, path, "a").collect()] == [("a", 1, "new")]
+    assert readers.stored_chunks(spark, path).count() == 2 and readers.stored_chunks(spark, path, "nobody").count() == 0
 
 
 def test_stream_merges_and_replays(spark, tmp_path):
