@@ -5,7 +5,7 @@ fixed number of slots; for each shard a multinomial over the sources, weighted b
 each source fills. Prefix sums over shards give each source's slots in a shard their numbers, and the j-th slot of a source
 takes the block to which a pseudorandom permutation of its blocks (one for each pass over the source) maps it; blocks are
 joined by index. A source gives each block `most` times at most: slots drawn beyond that are drawn again among sources
-that have room. No draw depends on partitions or order of rows, so reruns agree. Nothing is ever ordered within a whole
+that have room. So are those beyond a source's target, among sources short of theirs, for the first `held_turns` turns. No draw depends on partitions or order of rows, so reruns agree. Nothing is ever ordered within a whole
 source or shard: offsets are prefix sums over groups, then within a group.
 """
 
@@ -24,11 +24,12 @@ from scriptorium.llm.line_dedup import words_in
 
 @dataclass(frozen=True)
 class Params:
-    """block_words: words of a block; a source's words differ from its target as the draw does, by about the root of its number of blocks, in blocks. bucket_rows: documents, and shards, ordered by one task; max_sources bounds what the driver holds, a row a source (more are an error)."""
+    """block_words: words of a block; held_turns: turns of drawing in which totals are held to the targets; 0: the first draw stands but for the cap, and totals differ from targets by about the root of a source's number of blocks, in blocks. bucket_rows: documents, and shards, ordered by one task; max_sources bounds what the driver holds, a row a source (more are an error)."""
 
     weights: tuple[float, ...] = (5, 2, 1)
     share: float = 1.5
     most: float = 2.0
+    held_turns: int = 3
     block_words: int = 16
     shard_slots: int = 4096
     task_slots: int = 1 << 18
@@ -120,8 +121,10 @@ def _draws(spark: SparkSession, plan: Plan, p: Params) -> DataFrame:
     need = spark.range(shards).select(F.col("id").alias("shard"), F.least(F.lit(p.shard_slots), F.lit(total) - F.col("id") * p.shard_slots).alias("n"))
     used, turn, out = np.zeros_like(plan.limits), 0, None
     weight = plan.slots
-    limits = spark.createDataFrame([(i, int(x)) for i, x in enumerate(plan.limits)], "sid int, limit long")
+    goals = np.minimum(np.ceil(plan.slots - 1e-9), plan.limits).astype(np.int64)
     while weight.sum() > 0:
+        limit = goals if turn < p.held_turns else plan.limits
+        limits = spark.createDataFrame([(i, int(x)) for i, x in enumerate(limit)], "sid int, limit long")
         chance, seed = weight / weight.sum(), p.seed + 1_000_003 * turn
 
         def draw(frames, chance=chance, seed=seed):
@@ -143,10 +146,9 @@ def _draws(spark: SparkSession, plan: Plan, p: Params) -> DataFrame:
         need = drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("fits")).alias("n")).where("n > 0")
         if need.isEmpty():
             break
-        # by how far each source is from its target, then by what room it has
-        room = plan.limits - used
-        weight = np.where(room > 0, np.maximum(plan.slots - used, 0.0), 0.0)
-        weight = weight if weight.sum() >= 1 else np.maximum(room, 0).astype(float)
+        # by how far each source is from its target; when none is, by what room it has
+        weight = np.maximum(goals - used, 0).astype(float)
+        weight = weight if weight.sum() > 0 and turn < p.held_turns else np.maximum(plan.limits - used, 0).astype(float)
         turn += 1
     return spark.createDataFrame([], "sid int, shard long, at long, n long") if out is None else out
 
