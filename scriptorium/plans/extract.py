@@ -12,6 +12,7 @@ from scriptorium.operators import chunks as ch
 from scriptorium.operators import metrics as me
 from scriptorium.operators import outline as ou
 from scriptorium.operators import tables as ta
+from scriptorium.plans.progress import Stages, watched
 from scriptorium.session import stored
 
 
@@ -41,12 +42,13 @@ def title_of(first_page):
     return F.array_join(F.slice(upto, 1, 6), " ")
 
 
-def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
+def documents(chunks: DataFrame, scheme: str = "doc", stages: Stages | None = None) -> DataFrame:
     """One row a document: id, name, in_language, date_published, doi, genre, publisher, keywords, authors, description, citations, metrics, formulas, codes, sections, tables.
 
-    The branches below all read the chunks, which are written to the shared folder first.
+    The branches below all read the chunks, which are written to the shared folder first. stages gets the numbers of chunks,
+    quantities, headings, sections, tables (those that don't parse are dropped) and documents of the run that writes the result.
     """
-    chunks = stored(chunks)
+    chunks = stored(watched(stages, chunks, "chunks", tables=F.col("chunk_type") == "table"))
     head = chunks.where("chunk_seq <= 10")
     cover = join_text(ch.cover_chunks(chunks), "cover")
     first = join_text(chunks.where("page_idx = 1"), "first_page")
@@ -74,15 +76,18 @@ def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
         clean_abstract(abstract).alias("description"),
     )
     found = chunks.select("doc_id", "chunk_seq", F.posexplode(me.extract_metrics(F.col("text"), F.col("page_idx"))).alias("i", "m"))
+    found = watched(stages, found, "quantities", without_unit=F.col("m.unit").isNull())
     found = me.first_wins(found.withColumn("seq", F.struct("chunk_seq", "i")), [F.lower("m.name"), F.col("m.value"), F.lower(F.coalesce("m.unit", F.lit("")))], "seq", "doc_id")
     metric = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("x")).select("doc_id", F.transform("x", lambda y: y["m"]).alias("metrics"))
     extra = body.select("doc_id", me.formulas(F.col("body")).alias("formulas"), me.technical_codes(F.col("body")).alias("codes"))
     lines = ch.lines_of(chunks.where("chunk_type = 'paragraph'").withColumn("p", F.col("page_idx")), page="p")
     outline = ou.monotonic_outline(ou.heading_candidates(lines))
     secs = outline.select("doc_id", "seq", F.col("heading").alias("section_name"), F.lit("").alias("summary"), F.col("page").cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
-    secs = ou.page_ends(ou.filter_sections(secs))
+    secs = watched(stages, secs, "headings")
+    secs = watched(stages, ou.page_ends(ou.filter_sections(secs)), "sections")
     sec = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "section_name", "summary", "page_start", "page_end"))).alias("sections"))
-    parsed = chunks.where("chunk_type = 'table'").select("doc_id", F.col("chunk_seq").alias("seq"), ta.parse_markdown(F.col("text"), F.col("page_idx"), F.lit("en")).alias("t")).where("t IS NOT NULL")
+    parsed = chunks.where("chunk_type = 'table'").select("doc_id", F.col("chunk_seq").alias("seq"), ta.parse_markdown(F.col("text"), F.col("page_idx"), F.lit("en")).alias("t"))
+    parsed = watched(stages, parsed, "tables", without_bars=F.col("t").isNull()).where("t IS NOT NULL")
     flat = ta.flat_tables(chunks).where(ta.is_valid_table(F.col("headers"), F.col("rows"))).withColumnRenamed("chunk_seq", "seq")
     columns = ("doc_id", "seq", "caption", "page_number", "headers", "rows")
     tab = ta.consolidate(parsed.select("doc_id", "seq", "t.caption", "t.page_number", "t.headers", "t.rows").unionByName(flat.select(*columns)))
@@ -90,6 +95,7 @@ def documents(chunks: DataFrame, scheme: str = "doc") -> DataFrame:
     out = meta
     for branch in (refs, metric, extra, sec, tab):
         out = out.join(branch, "doc_id", "left")
+    out = watched(stages, out, "documents", untitled=F.coalesce("name", F.lit("")) == "", undated=F.col("date_published").isNull(), without_authors=F.size("authors") == 0)
     return out.withColumn("type", F.array_compact(F.array(F.lit("Article"), F.col("genre"))))
 
 

@@ -267,3 +267,26 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.replace_chunks(rows(o.where("o_custkey % 3 = 0 AND o_orderkey % 2 = 1"), "again "), path, 16)
     MergeStore(spark, path, "doc_id").delete(o.where("o_custkey % 7 = 0").select(F.col("o_custkey").cast("string").alias("doc_id")))
     return readers.stored_chunks(spark, path)
+
+
+@query("""
+SELECT c_custkey AS id, 'fits' AS field, CASE WHEN c_custkey % 5 = 4 THEN '-' ELSE c_name END || '|' || CASE c_custkey % 3 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Jo' ELSE 'Jo,Ek' END || '|' || CASE c_custkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'a' ELSE '-' END || '|' || CASE WHEN c_custkey % 7 = 0 THEN '-' ELSE (c_custkey % 50)::VARCHAR || '.5' END AS value FROM customer
+UNION ALL SELECT c_custkey, 'name', '{"en":"x"}' FROM customer WHERE c_custkey % 5 = 4
+UNION ALL SELECT c_custkey, 'keywords', '[["a"]]' FROM customer WHERE c_custkey % 4 = 2
+UNION ALL SELECT c_custkey, 'score', '"high"' FROM customer WHERE c_custkey % 7 = 0""")
+def coerced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-02, UDF-02: objects whose fields go by several names and types, brought to one schema, and a row for each value that didn't fit."""
+    from scriptorium.operators import coerce
+
+    k, name = F.col("c_custkey"), F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))
+    parts = [
+        F.when(k % 5 == 0, F.concat(F.lit('"title": '), name)).when(k % 5 == 4, '"name": {"en": "x"}').otherwise(F.concat(F.lit('"name": '), name)),
+        F.when(k % 3 == 0, '"authors": "Ann Lee"').when(k % 3 == 1, '"author": [{"@type": "Person", "name": "Jo"}]').otherwise('"author": ["Jo", {"name": "Ek"}]'),
+        F.when(k % 4 == 0, '"tags": ["a", "b"]').when(k % 4 == 1, '"keywords": "a"').when(k % 4 == 2, '"keywords": [["a"]]').otherwise('"keywords": null'),
+        F.when(k % 7 == 0, '"score": "high"').when(k % 7 == 1, F.concat(F.lit('"score": "'), (k % 50).cast("string"), F.lit(',5 %"'))).otherwise(F.concat(F.lit('"score": '), (k % 50).cast("string"), F.lit(".5"))),
+    ]
+    rows = t(spark, sf_dir, "customer").select(k.alias("id"), F.parse_json(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))).alias("v"))
+    fields = {"name": "string", "author": "people", "keywords": "array<string>", "score": "double"}
+    fits, lost = coerce.coerced(rows, fields, ["id"])
+    text = F.concat_ws("|", F.coalesce("name", F.lit("-")), F.array_join(F.transform("author", lambda a: a["name"]), ","), F.coalesce(F.array_join("keywords", ","), F.lit("-")), F.coalesce(F.col("score").cast("string"), F.lit("-")))
+    return fits.select("id", F.lit("fits").alias("field"), text.alias("value")).unionByName(lost.select("id", "field", "value"))

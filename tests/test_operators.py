@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import chunks, export, flat, graph, merge, metrics, outline, retrieve, tables, validate
@@ -295,3 +296,37 @@ def test_flat_tables_reach_documents(spark):
     flat = ("Table 1. Stock by month", [["May", "12", "3"], ["June", "14", "4"]])
     assert flat in got["a"]
     assert flat in got["b"] and len(got["b"]) == 2
+
+
+def test_numbers_of_a_run(spark):
+    from scriptorium.plans import extract
+    from scriptorium.plans.progress import Stages
+
+    rows = [("a", 1, "A Study of Rivers\nin the North\nAnn Lee\nUniversity of X\n\nAbstract\nWe study rivers and what they carry along.\n\n1. Introduction\nThe efficiency = 94.5% was found."), ("a", 2, "2. Methods\nWe measured.\n\nTable 1. Flow\n| River | Flow |\n|---|---|\n| a | 1 |\n| b | 2 |"), ("b", 1, None)]
+    stages = Stages()
+    docs = extract.documents(extract.chunks_of_pages(spark.createDataFrame(rows, "doc_id string, page_idx int, text string")), stages=stages).collect()
+    got = stages.report()
+    assert [d["doc_id"] for d in docs] == ["a"]
+    assert got["chunks"] == {"rows": 3, "tables": 1}
+    assert got["tables"] == {"rows": 1, "without_bars": 0} and got["quantities"]["rows"] >= 1
+    assert got["headings"]["rows"] >= got["sections"]["rows"] >= 2
+    assert got["documents"] == {"rows": 1, "untitled": 0, "undated": 1, "without_authors": 0}
+    with pytest.raises(ValueError):
+        stages.watch(spark.range(1), "chunks")
+
+
+def test_json_is_coerced_and_what_does_not_fit_is_told(spark):
+    from scriptorium.operators import coerce
+
+    bodies = ['{"title": "T", "authors": ["A", {"name": "B", "@type": "Organization"}], "score": "12,5 %", "tags": "one"}', '{"name": {"x": 1}, "author": [{"role": 1}], "score": [1], "extra": 1}', '{"name": null, "headline": "H"}', "[1, 2]", None]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id int, j string").select("id", F.try_parse_json("j").alias("v"))
+    fields = {"name": "string", "author": "people", "keywords": "array<string>", "score": "double", "description": "string"}
+    seen = coerce.observed(rows.where("id < 3"))
+    assert {"title", "headline", "extra"} <= set(seen) and coerce.plan(fields, seen)["description"] == []
+    fits, lost = coerce.coerced(rows, fields, ["id"], names=coerce.plan(fields, seen))
+    got = {r["id"]: (r["name"], [tuple(a) for a in r["author"] or []], r["keywords"], r["score"], r["description"]) for r in fits.collect()}
+    assert got[0] == ("T", [("Person", "A"), ("Organization", "B")], ["one"], 12.5, None)
+    assert got[1] == (None, [], None, None, None) and got[2] == ("H", [], None, None, None) and got[3] == got[4] == (None, [], None, None, None)
+    assert {(r["id"], r["field"], r["value"]) for r in lost.collect()} == {(1, "name", '{"x":1}'), (1, "author", '[{"role":1}]'), (1, "score", "[1]")}
+    with pytest.raises(ValueError):
+        coerce.coerced(rows, {"name": "date"}, ["id"])
