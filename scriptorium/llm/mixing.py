@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import materialize, mixed, text_key
+from scriptorium.llm._common import materialize, mixed, passes, text_key
 from scriptorium.llm.line_dedup import words_in
 
 
@@ -159,13 +159,19 @@ def _slots(spark: SparkSession, plan: Plan, p: Params) -> DataFrame:
 
     def take(frames):
         for f in frames:
-            for sid, shard, at, n in f.itertuples(index=False):
-                j = np.arange(at, at + n)
-                turn, place = j // blocks[sid], j % blocks[sid]
-                block = np.empty(n, dtype=np.int64)
-                for t in np.unique(turn):
-                    block[turn == t] = permuted(place[turn == t], int(blocks[sid]), int(mixed(np.array([seed * 1_000_003 + sid * 8_191 + t], dtype=np.uint64))[0]))
-                yield pd.DataFrame({"sid": np.int32(sid), "shard": shard, "j": j, "block": block})
+            sid, shard, at, n = (f[c].to_numpy() for c in ("sid", "shard", "at", "n"))
+            for a, b in passes(n, p.task_slots):
+                own = np.repeat(sid[a:b], n[a:b])
+                j = np.arange(len(own)) + np.repeat(at[a:b] - np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b])
+                turn, place = j // blocks[own], j % blocks[own]
+                # slots of one source and turn go through one permutation together
+                order = np.lexsort((turn, own))
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(own[order]) != 0) | (np.diff(turn[order]) != 0))))
+                block = np.empty(len(own), dtype=np.int64)
+                for some in np.split(order, new[1:]):
+                    s, t = int(own[some[0]]), int(turn[some[0]])
+                    block[some] = permuted(place[some], int(blocks[s]), int(mixed(np.array([seed * 1_000_003 + s * 8_191 + t], dtype=np.uint64))[0]))
+                yield pd.DataFrame({"sid": own.astype(np.int32), "shard": np.repeat(shard[a:b], n[a:b]), "j": j, "block": block})
 
     # a fixed number of tasks: the few rows that hold the draws would else meet in one
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(plan.slots.sum()) // p.task_slots))
