@@ -53,7 +53,7 @@ d AS (SELECT lang, CASE WHEN greatest(n_id, n_en, n_es, n_de, n_fr) < 5 THEN CAS
   WHEN n_es = greatest(n_id, n_en, n_es, n_de, n_fr) THEN 'es' WHEN n_de = greatest(n_id, n_en, n_es, n_de, n_fr) THEN 'de' ELSE 'fr' END AS detected, doc_id FROM c)
 SELECT lang, detected, count(*) AS n_docs, count(l.doc_id) AS n_labelled, sum(l.quality)::BIGINT AS n_good FROM d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) GROUP BY ALL""")
 def lang_detect_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-15, AGG-06, AGG-11: labelled and detected languages with the yield of labels."""
+    """STR-15, AGG-06: labelled and detected languages with the yield of labels."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "lang", metadata.language(F.col("text")).alias("detected"))
     labels = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(1).alias("one"))
     return docs.join(labels, "doc_id", "left").groupBy("lang", "detected").agg(F.count("*").alias("n_docs"), F.count("one").alias("n_labelled"), F.sum("quality").alias("n_good"))
@@ -82,7 +82,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH j AS (SELECT conv_id, string_agg('[Page: ' || turn || ']' || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn, coalesce(text, '')) AS j FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN length(j) <= 400 THEN j ELSE left(j, 400) || chr(10) || '[...konteks dipotong...]' END AS context FROM j""")
 def context_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-02, PRJ-03."""
+    """PRJ-02."""
     return chunks.context(t(spark, sf_dir, "conversations"), 400, "conv_id", "turn", "turn").withColumnRenamed("doc_id", "conv_id")
 
 
@@ -219,7 +219,7 @@ def merge_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(json_extract(props, '$.k')) AS n_k, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS sum_k FROM events GROUP BY event_type")
 def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON-02, JSON-03."""
+    """Fields of JSON strings, by Spark's own functions."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("n_k"), F.sum(k).alias("sum_k"))
 
@@ -308,7 +308,7 @@ def table_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, count(*)::INT AS n_citations, min(l_linenumber) AS least FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY l_orderkey""")
 def citation_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-08, STR-09: an order's lines as one string of numbered references."""
+    """STR-09: an order's lines as one string of numbered references."""
     part = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] Writer , A . Part number "), F.col("l_partkey").cast("string"), F.lit(" of the list , 1999 ;"))
     o = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(part)), " ").alias("s"))
     got = bibliography.unpack(F.array(F.concat(F.lit("References "), F.col("s"))))
@@ -422,7 +422,7 @@ def scholar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, min(l_partkey % 6 + 1)::INT AS p FROM lineitem GROUP BY ALL)
 SELECT doc_id, seq, p AS page_start, CASE WHEN lead(p) OVER w IS NULL THEN p ELSE greatest(p, lead(p) OVER w - 1) END AS page_end FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p, seq)""")
 def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-02, WIN-03, STR-24."""
+    """WIN-02, WIN-03."""
     s = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq")).agg(F.min(F.col("l_partkey") % 6 + 1).cast("int").alias("page_start"))
     s = s.withColumn("section_name", F.concat(F.col("seq").cast("string"), F.lit(". Section"))).withColumn("page_end", F.lit(None).cast("int"))
     return outline.page_ends(s).select("doc_id", "seq", "page_start", "page_end")
@@ -431,7 +431,7 @@ def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT user_id, arg_max(event_type, ts_id) AS event_type, max(event_id) AS n FROM (SELECT user_id, event_type, event_id, event_id AS ts_id FROM events) GROUP BY user_id""")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-02, SET-06: what merging the events by user leaves, as one batch."""
+    """SET-06: what merging the events by user leaves, as one batch."""
     e = t(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("n"))
     return sinks.latest(e.where("n % 2 = 0"), e.where("n % 2 = 1"), "user_id", "n")
 
@@ -439,7 +439,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_custkey, 'publication.published' AS event, 'Journal of ' || c_mktsegment AS journal, 'Study ' || c_custkey AS title, 'Ann ' || c_name || '|Solo' AS authors FROM customer""")
 def webhook_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11, STM-03."""
+    """SRC-11."""
     body = F.to_json(F.struct(F.concat(F.lit("Journal of "), F.col("c_mktsegment")).alias("journal"), F.struct(F.concat(F.lit("Study "), F.col("c_custkey").cast("string")).alias("title"), F.array(F.struct(F.lit("Ann").alias("given_name"), F.col("c_name").alias("family_name"), F.lit(None).cast("string").alias("name")), F.struct(F.lit(None).cast("string").alias("given_name"), F.lit(None).cast("string").alias("family_name"), F.lit("Solo").alias("name"))).alias("authors")).alias("article")))
     raw = t(spark, sf_dir, "customer").select("c_custkey", body.alias("value"))
     got = readers.webhook_events(raw.select("value", "c_custkey"))
@@ -462,7 +462,7 @@ g AS (SELECT *, CASE WHEN c > 0 THEN greatest(30, 100 - 25 * c - 10 * w) WHEN w
 r AS (SELECT *, round_even(s * 0.5 + k * 0.5, 0)::INT AS score FROM g)
 SELECT o_orderkey, score, resolution, CASE WHEN score >= 85 AND resolution = 'accepted' THEN 'excellent' WHEN score >= 60 THEN 'sound' ELSE 'review' END AS badge FROM r""")
 def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-12, AGG-13, VAL-01."""
+    """AGG-13."""
     k = F.col("o_orderkey")
     g = validate.integrity(k % 3, k % 5, (k % 3 == 0) & (k % 5 == 0))
     r = validate.readiness(60 + 20 * (k % 3), g)
@@ -551,7 +551,7 @@ def reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, grouping_id(source, lang)::BIGINT AS level FROM documents GROUP BY ROLLUP (source, lang)")
 def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-10, AGG-15: a report over the corpus with subtotals."""
+    """An extension: a report over the corpus with subtotals."""
     return t(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.grouping_id().cast("long").alias("level"))
 
 
@@ -642,7 +642,7 @@ def merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 4 THEN seq ELSE 1000000 + seq END AS seq, 'n' || seq AS src, 'n' || seq + 1 AS dst, 'uses' AS type, CASE WHEN seq = 1 THEN 0.25 ELSE 0.75 END::DOUBLE AS weight FROM i""")
 def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MRG-07: the new properties of an edge win."""
+    """MRG-06: the new properties of an edge win."""
     node = lambda k: F.concat(F.lit("n"), (F.col("seq") + k).cast("string"))
     i = _items(spark, sf_dir).select("doc_id", "seq", node(0).alias("src"), node(1).alias("dst"), F.lit("uses").alias("type"))
     return merge.edges(i.where("seq <= 4").withColumn("weight", F.lit(0.25)), i.where("seq >= 2").withColumn("weight", F.lit(0.75)))
@@ -651,7 +651,7 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_ITEMS} SELECT doc_id, CASE WHEN seq <= 4 THEN seq ELSE 1000000 + seq END AS seq, seq::INT AS step_number, CASE WHEN seq = 1 THEN 'Mix' ELSE 'Mix well' END AS name FROM i""")
 def merge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MRG-09: steps meet by number."""
+    """MRG-07: steps meet by number."""
     i = _items(spark, sf_dir).withColumn("step_number", F.col("seq").cast("int"))
     return merge.procedures(i.where("seq <= 4").withColumn("name", F.lit("Mix")), i.where("seq >= 2").withColumn("name", F.lit("Mix well")))
 

@@ -290,3 +290,20 @@ def coerced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits, lost = coerce.coerced(rows, fields, ["id"])
     text = F.concat_ws("|", F.coalesce("name", F.lit("-")), F.array_join(F.transform("author", lambda a: a["name"]), ","), F.coalesce(F.array_join("keywords", ","), F.lit("-")), F.coalesce(F.col("score").cast("string"), F.lit("-")))
     return fits.select("id", F.lit("fits").alias("field"), text.alias("value")).unionByName(lost.select("id", "field", "value"))
+
+
+@query("""
+WITH o AS (SELECT p_size AS doc_id, p_partkey::BIGINT AS seq, 'y = ' || p_partkey || 'x' AS expression, 'old' AS description FROM part),
+n AS (SELECT p_size AS doc_id, p_partkey::BIGINT AS seq, 'Y = ' || p_partkey || 'X ' AS expression, 'new' AS description FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_size, p_partkey + 500, 'z = ' || p_partkey, 'more' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_size, p_partkey + 9000000, '', 'without' FROM part WHERE p_partkey % 11 = 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.seq, 1000000 + n.seq) AS seq, coalesce(n.expression, o.expression) AS expression, coalesce(n.description, o.description) AS description
+FROM o FULL JOIN n ON o.doc_id = n.doc_id AND lower(o.expression) = lower(trim(n.expression)) AND trim(n.expression) <> ''""")
+def merge_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG-09: formulas meet by their expression in any case, new ones win, and those without an expression stay as they are."""
+    from scriptorium.operators import merge
+
+    p, key = t(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    rows = lambda df, off, expression, word: df.select(F.col("p_size").alias("doc_id"), (F.col("p_partkey") + off).cast("long").alias("seq"), expression.alias("expression"), F.lit(word).alias("description"))
+    old = rows(p, 0, F.concat(F.lit("y = "), key, F.lit("x")), "old")
+    new = rows(p.where("p_partkey % 3 = 0"), 0, F.concat(F.lit("Y = "), key, F.lit("X ")), "new").unionByName(rows(p.where("p_partkey % 5 = 0"), 500, F.concat(F.lit("z = "), key), "more"))
+    new = new.unionByName(rows(p.where("p_partkey % 11 = 0"), 9_000_000, F.lit(""), "without"))
+    return merge.formulas(old, new).select("doc_id", "seq", "expression", "description")
