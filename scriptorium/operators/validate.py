@@ -137,7 +137,7 @@ def adversarial(docs: DataFrame, sections: DataFrame, metrics: DataFrame, nodes:
     parts = {
         "n_antonyms": antonym_conflicts(claims),
         "n_negations": negation_conflicts(told.where(F.col("text") != "")),
-        "n_numeric": numeric_issues(metrics),
+        "n_numeric": numeric_issues(metrics, every=True),
         "n_unpaged": sections.where(F.coalesce("page_start", F.lit(0)) < 1),
         "n_kg": nodes,
     }
