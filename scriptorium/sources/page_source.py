@@ -24,8 +24,10 @@ LABEL = re.compile(r"^\s*[-–—\[(]?\s*(?:(?i:page|halaman|p\.)\s*)?(\d{1,4}|[
 
 
 def text_pages(content: bytes) -> list[tuple[str | None, str]]:
-    """Pages of UTF-8 text, parted by form feeds; a first or last line of a number alone is the printed label."""
+    """Pages of UTF-8 text, parted by form feeds; a first or last line of a number alone is the printed label. An empty file has none."""
     out = []
+    if not content:  # as Spark writes for a first partition without rows
+        return out
     for page in content.decode("utf-8").removesuffix("\f").split("\f"):
         lines = page.strip("\n").split("\n")
         ends = [m.group(1) for m in (LABEL.match(lines[0]), LABEL.match(lines[-1])) if m]

@@ -16,6 +16,15 @@ def test_text_pages():
     assert text_pages(b"one\n- 7 -\fiv\ntwo\fthree\n") == [("7", "one\n- 7 -"), ("iv", "iv\ntwo"), (None, "three\n")]
 
 
+def test_an_empty_file_has_no_pages(spark, tmp_path):
+    assert text_pages(b"") == []
+    (tmp_path / "a.txt").write_bytes(b"")
+    (tmp_path / "b.txt").write_bytes(b"one\f\ftwo\f")
+    spark.dataSource.register(page_source())
+    got = rows(spark.read.format("pages").load(f"file://{tmp_path}"))
+    assert [(r[0], r[3]) for r in got] == [("b.txt", "one"), ("b.txt", ""), ("b.txt", "two")]
+
+
 def test_a_folder_of_pages_with_a_broken_file(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"12\nfirst\fsecond")
     (tmp_path / "sub").mkdir()
