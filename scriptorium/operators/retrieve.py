@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import jaccard, tokens
+from scriptorium.operators.nearest import nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,23 +24,15 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(index: DataFrame, queries: DataFrame, k: int = 6, payload: Column | None = None, max_queries: int = 4096) -> DataFrame:
     """query_id, rank, id, score: the k nearest of each query by cosine, ties to the smaller id. index: id, embedding and more; queries: query_id, query.
 
-    payload filters the index before anything is compared. Queries are a stated small set: they go to every partition of the
-    index in blocks of max_queries, and each partition keeps its own k before rows are shuffled.
+    payload filters the index before anything is compared. Every query meets every row of its size, in blocks of max_queries queries
+    and some thousand rows; a block keeps its own k before rows are shuffled. Vectors without a norm above 0 take no part.
     """
     rows = index if payload is None else index.where(payload)
-    rows = rows.select("id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("__n"))
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    asked = queries.withColumn("__q", F.sqrt(dot(F.col("query"), F.col("query")))).withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(asked.where(F.col("__b") == b).select("query_id", "query", "__q"))
-        norm = F.col("__n") * F.col("__q")
-        found = rows.join(part).select("query_id", "id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("score")).where(F.col("score").isNotNull())
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", "rank", "id", "score")
+    sized = lambda d, i, v, n: d.select(F.size(v).alias("size"), i, F.col(v).alias("v"), F.sqrt(dot(F.col(v), F.col(v))).alias(n)).where(F.col(n) > 0)
+    asked = sized(queries, "query_id", "query", "qn").withColumnRenamed("v", "q")
+    found = nearest(sized(rows, "id", "embedding", "n"), asked, "size", k, block_queries=max_queries)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def answer_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
