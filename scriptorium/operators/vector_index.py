@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.nearest import nearest
 from scriptorium.session import stored
 
 
@@ -113,8 +114,8 @@ def _lists_of(asked: DataFrame, index: VectorIndex) -> DataFrame:
 def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int = 6, probes: int = 4, payload: Column | None = None, exact: bool = True) -> DataFrame:
     """query_id, rank, id, score: the k nearest of each query by cosine, ties to the smaller id. queries: query_id (unique), query.
 
-    payload: a condition on id and source, checked as lists are read. Queries meet lists by equality of the list's number; a list
-    of very many rows is split by adaptive execution. Queries without a direction find nothing.
+    payload: a condition on id and source, checked as lists are read. Queries meet lists by equality of the list's number, in blocks
+    of rows and queries that are multiplied as matrices. Queries without a direction find nothing.
     """
     asked = stored(queries.select("query_id", unit(F.col("query")).alias("q")).where("q IS NOT NULL"))
     if not len(index.centres):
@@ -128,9 +129,9 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int =
     def met(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("list").distinct()
         near = rows.join(F.broadcast(wanted), "list", "left_semi")  # as few lists as there are centres; prunes partitions
-        both = near.join(pairs.join(asked, "query_id").hint("merge"), "list")
-        score = F.aggregate(F.zip_with("unit", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return both.select("query_id", "id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+        near = near.select("list", "id", F.col("unit").alias("v"), F.lit(1.0).alias("n"))
+        found = nearest(near, pairs.join(asked.withColumn("qn", F.lit(1.0)), "query_id"), "list", k)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     first = stored(met(reach.where(F.col("place") < probes).select("query_id", "list")))
     if not exact:
