@@ -21,7 +21,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_lm(table(spark, sf_dir, "documents"))
+    # fitted to the training documents: the vocabulary's own ranks know nothing of them
+    return lm_score.score_lm(table(spark, sf_dir, "documents"), lm_score.Params(rounds=1, whole_words=True))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_no_training_rows(spark, docs):
     r = lm_score.score_lm(docs([(held, "new words")])).first()
     assert (r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) == (0, 0, 3, 0.0) and math.isfinite(r["score"])
     assert lm_score.score_lm(docs([(1, "x")]).limit(0)).count() == 0
+
+
+def test_the_query_learns_from_training_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm import queries
+
+    words = [f"{a}{b}onth" for a in ("k", "br", "st", "m", "v") for b in ("a", "ei", "u", "oa")]
+    rows = [(i, " ".join(words[(i * k + k * k) % len(words)] for k in range(1, 40)) + f" odd{i}th") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    held = queries.op3_lm_score(spark, f"file://{tmp_path}").where("held_out")
+    r = held.agg(F.sum("n_tokens").alias("n"), F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad")).first()
+    assert r["bad"] == 0 and r["score"] / r["n"] > r["base"] / r["n"] - 1
