@@ -41,18 +41,18 @@ def first_true(flags: Column) -> Column:
     return F.nullif(F.array_position(flags, True), F.lit(0).cast("bigint")).cast("int")
 
 
+#: Unicode's white space, as Java's `(?U)\\s` has it.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column, chars: str | None = None) -> Column:
     """Both ends without Unicode white space, or without the given characters."""
-    if chars is None:
-        return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    inner = "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in chars)
-    return F.regexp_replace(text, f"^[{inner}]+|[{inner}]+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE if chars is None else chars))
 
 
 def strip_markdown(text: Column) -> Column:
     """Fences, paired and stray markers and HTML tags go; runs of spaces become one; edges lose white space and punctuation."""
-    out = chain(
-        F.coalesce(text, F.lit("")),
+    steps = (
         (r"```[a-zA-Z]*\n?", ""),
         (r"\*\*([^*]+)\*\*", "$1"),
         (r"__([^_]+)__", "$1"),
@@ -62,7 +62,8 @@ def strip_markdown(text: Column) -> Column:
         (r"<[^>]+>", ""),
         (r"[ \t]+", " "),
     )
-    return strip(out, " \t\r\n-–—:;")
+    # a text without a marker, a tag, a tab or two spaces in a row is left as it is by every step
+    return strip(let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[*_`#~<\t]|  "), chain(t, *steps)).otherwise(t)), " \t\r\n-–—:;")
 
 
 def fix_ligatures(text: Column) -> Column:
@@ -83,10 +84,13 @@ def fix_title_spacing(title: Column) -> Column:
 
 def clean_title(title: Column, authors: Column | None = None) -> Column:
     """A title without quotes, a running head (`NAME et al:`), author names at its end and `by X`. authors: array of names."""
-    out = strip(strip_markdown(title), "\"'")
-    head = F.lower(F.rtrim(F.substring_index(out, ":", 1)))
-    running = out.contains(":") & (head.endswith("et al") | head.endswith("et al."))
-    out = fix_title_spacing(F.when(running, strip(F.substring(out, F.instr(out, ":") + 1, F.length(out)))).otherwise(out))
+
+    def headless(out: Column) -> Column:
+        head = F.lower(F.rtrim(F.substring_index(out, ":", 1)))
+        running = out.contains(":") & (head.endswith("et al") | head.endswith("et al."))
+        return F.when(running, strip(F.substring(out, F.instr(out, ":") + 1, F.length(out)))).otherwise(out)
+
+    out = fix_title_spacing(let(strip(strip_markdown(title), "\"'"), headless))
     # whatever joins a name to the title goes with it
     bare = lambda t: strip(F.regexp_replace(t, r"(?i)(?:[\s,&–—-]|\b(?:by|and)\b)+$", ""))
 
@@ -111,18 +115,20 @@ def clean_abstract(text: Column) -> Column:
     """An abstract without what stands before it (its heading, rights, dates, stacked header lines of 90 characters at most) and after it (keywords, introduction), line by line."""
     lines = F.transform(F.split(strip_markdown(text), "\n"), lambda x: strip(F.regexp_replace(x, r"^#+", "")))
     heading = worded(*ABSTRACT_WORDS)
-    at = first_true(F.transform(lines, lambda x: x.rlike("^" + heading)))
-    opened = F.transform(F.slice(lines, F.coalesce(at, F.lit(1)), F.size(lines)), lambda x, i: F.when(i == 0, strip(F.regexp_replace(x, rf"^(?:{heading}[\s:.*#–—-]*)+", ""))).otherwise(x))
-    lines = F.when(at.isNotNull(), opened).otherwise(lines)
+
+    def opened(lines: Column, at: Column) -> Column:
+        rest = F.transform(F.slice(lines, F.coalesce(at, F.lit(1)), F.size(lines)), lambda x, i: F.when(i == 0, strip(F.regexp_replace(x, rf"^(?:{heading}[\s:.*#–—-]*)+", ""))).otherwise(x))
+        return F.when(at.isNotNull(), rest).otherwise(lines)
+
     signs = "|".join(re.escape(x) for x in FRONT_SIGNS)
     dated = r"^(?:\p{L}{3,9}\.?\s\d{1,2},?\s\d{4}|\d{4}-\d\d-\d\d|\d{1,2}\s\p{L}{3,9}\s\d{4})$"
     front = lambda x: (x == "") | ((F.length(x) <= 90) & (x.rlike("^" + worded(*FRONT_WORDS)) | x.rlike(f"(?i)^(?:{signs})") | x.rlike(dated)))
-    begin = first_true(F.transform(lines, lambda x: ~front(x)))
-    lines = F.when(begin <= 9, F.slice(lines, F.coalesce(begin, F.lit(1)), F.size(lines))).otherwise(lines)
+    begun = lambda lines: let(first_true(F.transform(lines, lambda x: ~front(x))), lambda begin: F.when(begin <= 9, F.slice(lines, F.coalesce(begin, F.lit(1)), F.size(lines))).otherwise(lines))
     number = r"^(?:\d{1,2}\.?\s+|[IVX]+\.\s+|BAB\s+[IVX\d]+\W*)?"
     ends = lambda x: x.rlike(rf"^{worded(*KEYWORD_LABELS)}\s*[:–—-]") | x.rlike(number + worded(*OPENING_SECTIONS)) | x.rlike(r"^BAB\s+[IVX\d]+")
-    stop = first_true(F.transform(lines, ends))
-    return strip(F.array_join(F.when(stop.isNotNull(), F.slice(lines, F.lit(1), stop - 1)).otherwise(lines), "\n"))
+    ended = lambda lines: let(first_true(F.transform(lines, ends)), lambda stop: F.when(stop.isNotNull(), F.slice(lines, F.lit(1), stop - 1)).otherwise(lines))
+    lines = let(lines, lambda x: let(first_true(F.transform(x, lambda y: y.rlike("^" + heading))), lambda at: opened(x, at)))
+    return strip(F.array_join(let(let(lines, begun), ended), "\n"))
 
 
 #: What only formulas hold.

@@ -35,9 +35,9 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a small file has come as fewer partitions; for operators whose cost is in the expressions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Rows over all cores where a file has come as few partitions, of which some may be empty (a row group is one task); for operators whose cost is in the expressions."""
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if n >= 4 * cores else df.repartition(max(n, 2 * cores))
 
 
 _LANG_SQL = "\n".join(
@@ -54,7 +54,7 @@ d AS (SELECT lang, CASE WHEN greatest(n_id, n_en, n_es, n_de, n_fr) < 5 THEN CAS
 SELECT lang, detected, count(*) AS n_docs, count(l.doc_id) AS n_labelled, sum(l.quality)::BIGINT AS n_good FROM d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) GROUP BY ALL""")
 def lang_detect_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-15, AGG-06: labelled and detected languages with the yield of labels."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", metadata.language(F.col("text")).alias("detected"))
+    docs = spread(t(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", metadata.language(F.col("text")).alias("detected"))
     labels = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(1).alias("one"))
     return docs.join(labels, "doc_id", "left").groupBy("lang", "detected").agg(F.count("*").alias("n_docs"), F.count("one").alias("n_labelled"), F.sum("quality").alias("n_good"))
 
@@ -231,7 +231,8 @@ FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.seq < b.seq AND a.hi <> b.hi""")
 def antonym_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-05, VAL-03."""
     claim = F.when(F.col("o_totalprice") > 150000, "increase").otherwise("decrease")
-    c = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.lit("order").alias("tag"), F.concat(F.lit("Annual revenue "), claim, F.lit(" reported across customer orders")).alias("text"))
+    o = spread(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"))
+    c = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.lit("order").alias("tag"), F.concat(F.lit("Annual revenue "), claim, F.lit(" reported across customer orders")).alias("text"))
     return graph.antonym_conflicts(c).select("doc_id", "seq_a", "seq_b", "word", "antonym", F.size("shared").alias("n_shared"))
 
 
@@ -311,7 +312,8 @@ def citation_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09: an order's lines as one string of numbered references."""
     part = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] Writer , A . Part number "), F.col("l_partkey").cast("string"), F.lit(" of the list , 1999 ;"))
     o = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(part)), " ").alias("s"))
-    got = bibliography.unpack(F.array(F.concat(F.lit("References "), F.col("s"))))
+    got = F.col("got")
+    o = o.select("l_orderkey", bibliography.unpack(F.array(F.concat(F.lit("References "), F.col("s")))).alias("got"))
     return o.select("l_orderkey", F.size(got).alias("n_citations"), F.array_min(F.transform(got, bibliography.citation_number)).alias("least"))
 
 
@@ -485,7 +487,7 @@ def institution_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-09: of two institutions in an affiliation the one of higher priority counts."""
     k = F.col("c_custkey") % 4
     place = F.when(k == 0, "Dept. of Physics, ITB (Bandung)").when(k == 1, "ETH Zurich, Switzerland").when(k == 2, "MIT and UGM, joint lab").otherwise("Nowhere Academy")
-    rows = t(spark, sf_dir, "customer").select("c_custkey", place.alias("place"))
+    rows = spread(t(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", place.alias("place"))
     return graph.resolve(rows, "place", authorities.institutions(spark), ["c_custkey"]).select("c_custkey", "name", "ror")
 
 
@@ -494,7 +496,7 @@ SELECT c_custkey, c_mktsegment || ' trade|graph data|n' || c_nationkey AS keywor
 def keyword_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-19."""
     body = F.concat(F.lit("Abstract. We look at trade.\nKeywords: "), F.col("c_mktsegment"), F.lit(" trade; graph data; n"), F.col("c_nationkey").cast("string"), F.lit("; received 2020; x\nIntroduction\nMore text."))
-    return t(spark, sf_dir, "customer").select("c_custkey", F.array_join(metadata.keywords(body), "|").alias("keywords"))
+    return spread(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")).select("c_custkey", F.array_join(metadata.keywords(body), "|").alias("keywords"))
 
 
 @query("""
@@ -677,7 +679,8 @@ def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.sanitize_for_extraction(F.concat(F.lit("## DATA TABEL / METRIK SPESIFIK: **"), F.col("c_name"), F.lit("** of 3 . 5")))
     title = text.clean_title(F.concat(F.lit('"SMITH et al: Report on '), F.col("c_name"), F.lit(', Ann Lee"')), F.array(F.lit("Ann Lee")))
     abstract = text.clean_abstract(F.concat(F.lit("Copyright 2024 Wiley\nAbstract: We study "), F.col("c_mktsegment"), F.lit(".\nIt grows.\nKeywords: a, b\n1. Introduction\nMore")))
-    return t(spark, sf_dir, "customer").select("c_custkey", plain.alias("plain"), text.fix_title_spacing(F.concat(F.lit("THE"), F.col("c_mktsegment"))).alias("spaced"), title.alias("title"), abstract.alias("abstract"))
+    c = spread(t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return c.select("c_custkey", plain.alias("plain"), text.fix_title_spacing(F.concat(F.lit("THE"), F.col("c_mktsegment"))).alias("spaced"), title.alias("title"), abstract.alias("abstract"))
 
 
 @query("""
