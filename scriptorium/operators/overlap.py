@@ -15,7 +15,7 @@ def rare_prefixes(sets: DataFrame, least: int, group: str = "doc_id", item: str
     """
     w = sets.select(group, item, F.explode(F.array_distinct(words)).alias("word"))
     shared = w.groupBy(group, "word").agg(F.count("*").alias("f")).where("f > 1")
-    w = w.join(shared, [group, "word"])
+    w = w.join(shared.hint("merge"), [group, "word"])
     own = Window.partitionBy(group, item)
     w = w.withColumn("i", F.row_number().over(own.orderBy("f", "word")) - 1).withColumn("n", F.count("*").over(own))
     return w.where(F.col("i") <= F.col("n") - least)
@@ -34,7 +34,7 @@ def candidates(prefixes: DataFrame, least: int, may: Column | None = None, carry
     b = prefixes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(group, "word", "part", F.col(item), "i", "n", *carry).alias("b")
     same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.part") == F.col("b.part"))
     left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    met = a.join(b, same & (F.col(f"a.{item}") < F.col(f"b.{item}")) & (left >= least) & (may if may is not None else F.lit(True)))
+    met = a.join(b.hint("merge"), same & (F.col(f"a.{item}") < F.col(f"b.{item}")) & (left >= least) & (may if may is not None else F.lit(True)))
     return met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b")).distinct()
 
 
@@ -42,9 +42,10 @@ def overlapping(sets: DataFrame, least: int, may: Column | None = None, carry: l
     """group, a, b, shared (sorted): all pairs of sets of a group with `least` words in common. Sets with fewer words, and rows whose words are null, meet nothing."""
     keep = [group, item, *(carry or [])]
     firsts = rare_prefixes(sets, least, group, item, words)
-    firsts = firsts.join(sets.select(*keep), [group, item]) if carry else firsts
+    firsts = firsts.join(sets.select(*keep).hint("merge"), [group, item]) if carry else firsts
     met = candidates(firsts, least, may, carry, group, item)
     x = sets.select(group, F.col(item).alias("a"), F.col(words).alias("__x"))
     y = sets.select(group, F.col(item).alias("b"), F.col(words).alias("__y"))
-    out = met.join(x, [group, "a"]).join(y, [group, "b"])
+    # merged, as all of them grow with the rows: what looks small when compressed would be broadcast through the driver
+    out = met.join(x.hint("merge"), [group, "a"]).join(y.hint("merge"), [group, "b"])
     return out.select(group, "a", "b", F.array_sort(F.array_intersect("__x", "__y")).alias("shared")).where(F.size("shared") >= least)

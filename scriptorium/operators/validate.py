@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,6 @@ def adversarial(docs: DataFrame, sections: DataFrame, metrics: DataFrame, nodes:
     told = sections.select("doc_id", (F.col("seq") + 1).cast("long").alias("seq"), F.col("section_name").alias("tag"), F.col("summary").alias("text"))
     stated = metrics.select("doc_id", (F.col("seq") + (1 << 32)).cast("long").alias("seq"), F.col("name").alias("tag"), strip(F.concat(text("name"), F.lit(": "), text("value"), F.lit(" "), text("unit"), F.lit(" "), text("context"))).alias("text"))
     claims = said.unionByName(told).unionByName(stated).where(F.col("text") != "")
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     found = docs.select("doc_id", size(F.col("keywords")).alias("n_keywords"), size(F.col("entities")).alias("n_entities"))
     parts = {
         "n_antonyms": antonym_conflicts(claims),
@@ -141,9 +142,10 @@ def adversarial(docs: DataFrame, sections: DataFrame, metrics: DataFrame, nodes:
         "n_unpaged": sections.where(F.coalesce("page_start", F.lit(0)) < 1),
         "n_kg": nodes,
     }
-    for name, rows in parts.items():
-        found = found.join(count(rows, name), "doc_id", "left")
-    found = found.na.fill(0, list(parts)).withColumn("n_nodes", F.col("n_entities") + F.col("n_kg"))
+    # one count over all parts, merged: five counts joined one by one would each be broadcast through the driver
+    rows = reduce(DataFrame.unionByName, (df.select("doc_id", F.lit(name).alias("part")) for name, df in parts.items()))
+    counts = rows.groupBy("doc_id").agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
+    found = found.join(counts.hint("merge"), "doc_id", "left").na.fill(0, list(parts)).withColumn("n_nodes", F.col("n_entities") + F.col("n_kg"))
     topology = F.when((F.col("n_nodes") >= 3) & (F.col("n_keywords") >= 3), "dense").when((F.col("n_nodes") > 0) | (F.col("n_keywords") > 0), "thin").otherwise("isolated")
     contradictions = F.col("n_antonyms") + F.col("n_negations")
     warnings = F.col("n_numeric") + F.when(F.col("n_unpaged") > 0, 1).otherwise(0)
