@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokens, worded
 from scriptorium.operators.overlap import overlapping
+from scriptorium.session import stored
 
 #: Relation types; others count as the last.
 RELATIONS = ("causes", "requires", "contradicts", "supports", "contains", "precedes", "similar_to", "derived_from", "instance_of", "influences")
@@ -142,10 +143,10 @@ def antonym_conflicts(claims: DataFrame, least_shared: int = 4) -> DataFrame:
     by their rarest common words, if one has what the other has the opposite of, and pairs that can't reach the number of common
     words never arise. What follows a word is found once a claim.
     """
-    c = opposed_claims(claims).where("not trade")
+    c = stored(opposed_claims(claims)).where("not trade")
     met = overlapping(c, least_shared, F.arrays_overlap("a.against", "b.own"), ["own", "against"])
     side = lambda x: c.select("doc_id", F.col("seq").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in ("own", "against", "nexts", "head", "last")])
-    met = met.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
+    met = met.join(side("a").hint("merge"), ["doc_id", "a"]).join(side("b").hint("merge"), ["doc_id", "b"])
     opposite = F.create_map(*[x for w, o in _opposites().items() for x in (F.lit(w), F.array(*[F.lit(y) for y in o]))])
     met = met.withColumn("word", F.explode("a_own")).withColumn("antonym", F.explode(F.array_intersect(opposite[F.col("word")], F.col("b_own"))))
 
@@ -166,6 +167,6 @@ def negation_conflicts(sections: DataFrame, least_shared: int = 4) -> DataFrame:
 
     doc_id and seq tell sections apart. Sections meet by their rarest common words, as claims do.
     """
-    c = claims_with_words(sections).select("doc_id", "seq", "words", F.lower("text").rlike(NEGATION).alias("negative"))
+    c = stored(claims_with_words(sections).select("doc_id", "seq", "words", F.lower("text").rlike(NEGATION).alias("negative")))
     met = overlapping(c, least_shared, F.col("a.negative") != F.col("b.negative"), ["negative"])
     return met.select("doc_id", F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), F.size("shared").cast("long").alias("n_shared"))
