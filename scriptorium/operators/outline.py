@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import strip, strip_markdown, worded
+from scriptorium.functions.text import let, strip, strip_markdown, worded
+from scriptorium.session import stored
 
 #: Roman numbers of major headings.
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
@@ -109,11 +110,12 @@ def filter_sections(sections: DataFrame) -> DataFrame:
 def sort_key(name: Column, page: Column) -> list[Column]:
     """Page, then number parts; abstracts first, unnumbered names last."""
     low = F.lower(strip(name))
-    numbers = F.transform(F.split(F.regexp_extract(low, r"^[\d.]*", 0), r"\."), lambda x: x.try_cast("int"))
-    numbers = F.when(F.get(numbers, F.lit(0)).between(1, 29), numbers).otherwise(F.array().cast("array<int>"))
-    part = lambda g: F.coalesce(F.get(numbers, F.lit(g - 1)), F.lit(0))
+    digits = F.split(F.regexp_extract(low, r"^[\d.]*", 0), r"\.", 4)
+    number = lambda d, g: F.coalesce(F.get(d, F.lit(g)).try_cast("int"), F.lit(0))
     first = low.isin("abstract", "abstrak", "executive summary", "ringkasan eksekutif")
-    return [F.coalesce(F.nullif(page, F.lit(0)), F.lit(1)), F.when(first, 0).when(part(1) > 0, part(1)).otherwise(999), F.when(first, 0).otherwise(part(2)), F.when(first, 0).otherwise(part(3))]
+    place = lambda d: F.when(number(d, 0).between(1, 29), F.struct(number(d, 0).alias("a"), number(d, 1).alias("b"), number(d, 2).alias("c"))).otherwise(F.struct(F.lit(999).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")))
+    # one struct, so that the name is looked at once; structs are ordered field by field
+    return [F.coalesce(F.nullif(page, F.lit(0)), F.lit(1)), F.when(first, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))).otherwise(let(digits, place))]
 
 
 def page_ends(sections: DataFrame) -> DataFrame:
@@ -150,6 +152,7 @@ def resolve_pages(headings: DataFrame, sections: DataFrame) -> DataFrame:
     heading = strip(F.col("heading"))
     h = headings.where(~F.lower(heading).isin(*PLACEHOLDERS)).select("doc_id", F.col("seq").alias("hseq"), F.col("page").alias("hpage"), heading.alias("heading"), number(heading).alias("no"), plain(heading).alias("hname"))
     s = sections.select("doc_id", "seq", number(F.col("section_name")).alias("no"), plain(F.col("section_name")).alias("nm"))
+    h, s = stored(h), stored(s)  # four branches and three read them
     by_no = h.join(s.where("no IS NOT NULL").select("doc_id", "no", "seq"), ["doc_id", "no"]).select("doc_id", "hseq", "seq", F.lit(0).alias("p"))
     by_name = h.join(s.select("doc_id", F.col("nm").alias("hname"), "seq"), ["doc_id", "hname"]).select("doc_id", "hseq", "seq", F.lit(1).alias("p"))
     begin = lambda d, c: d.where(F.length(c) > 5).withColumn("six", F.left(F.col(c), F.lit(6)))
