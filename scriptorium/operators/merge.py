@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.bibliography import citation_number
 from scriptorium.functions.text import is_valid_scalar, strip
-from scriptorium.operators.metrics import first_wins
 from scriptorium.operators.outline import sort_key
 
 Rule = Callable[[Column, Column], Column]
@@ -43,11 +42,12 @@ def more_rows(old: Column, new: Column) -> Column:
 
 def upsert(old: DataFrame, new: DataFrame, key: Callable[[DataFrame], Column], rules: dict[str, Rule], seq: str = "seq", doc: str = "doc_id") -> DataFrame:
     """old and new full outer on (doc, key); columns without a rule keep the stored value if it is there. Keys are unique first: the first row of each. Rows without a key stay as they are."""
-    sides, bare = [], []
-    for i, df in enumerate((old, new)):
-        k = df.withColumn("__key", F.coalesce(key(df), F.lit("")))
-        sides.append(first_wins(k.where(F.col("__key") != ""), [doc, "__key"], seq))
-        bare.append(k.where(F.col("__key") == "").select(doc, (F.col(seq) + 1_000_000 * i).cast("long").alias(seq), *[c for c in old.columns if c not in (doc, seq)]))
+    sides = []
+    for df in (old, new):
+        k = df.withColumn("__key", F.nullif(key(df), F.lit("")))
+        first = F.row_number().over(Window.partitionBy(doc, "__key").orderBy(seq))
+        # null keys meet nothing in the join, so rows without a key go through it as they are
+        sides.append(k.withColumn("__r", first).where((F.col("__r") == 1) | F.col("__key").isNull()).drop("__r").withColumn("__side", F.lit(1)))
     a, b = sides[0].alias("a"), sides[1].alias("b")
     met = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.__key") == F.col("b.__key")), "full_outer")
     cols = [F.coalesce(F.col(f"a.{doc}"), F.col(f"b.{doc}")).alias(doc), F.coalesce(F.col(f"a.{seq}"), F.lit(1_000_000) + F.col(f"b.{seq}")).cast("long").alias(seq)]
@@ -55,8 +55,8 @@ def upsert(old: DataFrame, new: DataFrame, key: Callable[[DataFrame], Column], r
         if c not in (doc, seq):
             x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
             rule = rules.get(c, lambda p, q: F.coalesce(p, q))
-            cols.append(F.when(F.col("a.__key").isNull(), y).when(F.col("b.__key").isNull(), x).otherwise(rule(x, y)).alias(c))
-    return met.select(*cols).unionByName(bare[0]).unionByName(bare[1])
+            cols.append(F.when(F.col("a.__side").isNull(), y).when(F.col("b.__side").isNull(), x).otherwise(rule(x, y)).alias(c))
+    return met.select(*cols)
 
 
 def alnum(c: Column) -> Column:
