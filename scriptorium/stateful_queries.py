@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.queries import query, t
+from scriptorium.queries import query, spread, t
 from scriptorium.session import shared_folder
 
 
@@ -143,7 +143,7 @@ def adversarial_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-02, VAL-03, JOIN-05, JOIN-06, MATH-06: documents of which one in five contradicts itself, one denies itself, one weighs things, one speaks of other things, and one says nothing."""
     from scriptorium.operators import validate
 
-    c = t(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    c = spread(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).withColumn("k", F.col("c_custkey"))
     many = lambda n, x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n), lambda i: F.concat(F.lit(x), i.cast("string")))
     docs = c.select(F.col("k").alias("doc_id"), F.concat(F.lit("On "), F.col("c_mktsegment")).alias("description"), many(F.col("k") % 4, "word").alias("keywords"), many(F.col("k") % 3, "thing").alias("entities"))
     second = F.element_at(
