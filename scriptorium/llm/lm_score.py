@@ -17,6 +17,7 @@ whole, the others cut, and the share is fitted with each occurrence left out of
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,10 @@ from scriptorium.llm._common import fold, materialize, powers, small_batches
 
 POWER, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 LONG = 40  # bytes; longer words are scored one by one
+PIECE, BEGINNING = np.uint8(1), np.uint8(2)
+PASS_WORDS, PASS_BYTES = 1 << 16, 4 << 20  # words that are scored together: few of one length would leave numpy with small arrays
+
+Arcs = dict[tuple[int, int], tuple[np.ndarray | slice, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -69,6 +74,16 @@ def vocabulary(path: str | None) -> tuple[list[bytes], np.ndarray]:
     return pieces, weights - np.logaddexp.reduce(weights)
 
 
+def log_sums(n: int, terms: list[tuple[np.ndarray | slice, np.ndarray]]) -> np.ndarray:
+    """For each of n words the logarithm of the sum of its terms. terms: which words have one, each once, and its logarithm."""
+    top, total = np.full(n, -np.inf), np.zeros(n)
+    for at, x in terms:
+        top[at] = np.maximum(top[at], x)
+    for at, x in terms:
+        total[at] += np.exp(x - top[at])
+    return top + np.log(total)
+
+
 class Lattice:
     """Forward and backward recursions over the pieces, for many words at once."""
 
@@ -85,42 +100,63 @@ class Lattice:
         self.sorted = hashes[self.order]
         if (self.sorted[1:] == self.sorted[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.filter = np.zeros(1 << 22, dtype=bool)
-        self.filter[(hashes * SPREAD) >> np.uint64(42)] = True
-
-    def arcs(self, words: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """words: n x L bytes. By start and length: the words that have a piece there, and which."""
+        # by hash, whether it may be a piece's (1), and whether it may be that of a longer piece's beginning (2)
+        self.filter = np.zeros(1 << 22, dtype=np.uint8)
+        self.filter[self.slot(hashes)] = PIECE
+        data = np.frombuffer(b"".join(x.ljust(self.longest, b"\0") for x in pieces), dtype=np.uint8).reshape(len(pieces), -1)
+        h = np.zeros(len(pieces), dtype=np.uint64)
+        for k, power in enumerate(powers(POWER, self.longest)[:-1], 1):
+            h += (data[:, k - 1].astype(np.uint64) + np.uint64(1)) * power
+            self.filter[self.slot(h[sizes > k] + np.uint64(k))] |= BEGINNING
+        self.single = np.array([self.index.get(bytes([b]), -1) for b in range(256)])
+
+    @staticmethod
+    def slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * SPREAD) >> np.uint64(42)
+
+    def arcs(self, words: np.ndarray) -> Arcs:
+        """words: n x L bytes. By start and length: the words that have a piece there (a slice, if all have), and which.
+
+        From each start on only the words that a longer piece may still fit are followed.
+        """
         n, size = words.shape
-        out = {}
+        out: Arcs = {}
         p = powers(POWER, self.longest)
-        values = words.astype(np.uint64) + np.uint64(1)
+        data = np.ascontiguousarray(words.T)
+        values = data.astype(np.uint64) + np.uint64(1)
         for i in range(size):
-            h = np.zeros(n, dtype=np.uint64)
-            for k in range(1, min(self.longest, size - i) + 1):
-                h += values[:, i + k - 1] * p[k - 1]
+            ids = self.single[data[i]]
+            at = np.flatnonzero(ids >= 0)
+            if len(at):
+                out[i, 1] = (slice(None), ids) if len(at) == n else (at, ids[at])
+            h = values[i] * p[0]
+            live = np.flatnonzero(self.filter[self.slot(h + np.uint64(1))] & BEGINNING)
+            h = h[live]
+            for k in range(2, min(self.longest, size - i) + 1):
+                if not len(live):
+                    break
+                h = h + values[i + k - 1, live] * p[k - 1]
                 g = h + np.uint64(k)
-                at = np.flatnonzero(self.filter[(g * SPREAD) >> np.uint64(42)])
+                found = self.filter[self.slot(g)]
+                at = np.flatnonzero(found & PIECE)
                 if len(at):
-                    g = g[at]
-                    place = np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)
-                    same = self.sorted[place] == g
+                    place = np.minimum(np.searchsorted(self.sorted, g[at]), len(self.sorted) - 1)
+                    same = self.sorted[place] == g[at]
                     if same.any():
-                        out[i, k] = (at[same], self.order[place[same]])
+                        out[i, k] = (live[at[same]], self.order[place[same]])
+                on = np.flatnonzero(found & BEGINNING)
+                live, h = live[on], h[on]
         return out
 
-    def forward(self, words: np.ndarray, weights: np.ndarray, arcs=None) -> np.ndarray:
-        """alpha: n x (L + 1), the log probability of all ways to each place."""
+    def forward(self, words: np.ndarray, weights: np.ndarray, arcs: Arcs | None = None) -> np.ndarray:
+        """alpha: (L + 1) x n, the log probability of all ways to each place."""
         arcs = self.arcs(words) if arcs is None else arcs
         n, size = words.shape
-        alpha = np.full((n, size + 1), -np.inf)
-        alpha[:, 0] = 0
+        alpha = np.full((size + 1, n), -np.inf)
+        alpha[0] = 0
         for j in range(1, size + 1):
             into = [(j - k, arcs[j - k, k]) for k in range(1, min(self.longest, j) + 1) if (j - k, k) in arcs]
-            terms = np.full((len(into), n), -np.inf)
-            for r, (i, (at, ids)) in enumerate(into):
-                terms[r, at] = alpha[at, i] + weights[ids]
-            top = terms.max(axis=0)
-            alpha[:, j] = top + np.log(np.exp(terms - top).sum(axis=0))
+            alpha[j] = log_sums(n, [(at, alpha[i][at] + weights[ids]) for i, (at, ids) in into])
         return alpha
 
     def expect(self, words: np.ndarray, counts: np.ndarray, weights: np.ndarray, share: float, n_all: float, total: np.ndarray) -> None:
@@ -131,21 +167,19 @@ class Lattice:
         arcs = self.arcs(words)
         alpha = self.forward(words, weights, arcs)
         n, size = words.shape
-        cut = (1 - share) * np.exp(np.maximum(alpha[:, size], -700.0))
+        cut = (1 - share) * np.exp(np.maximum(alpha[size], -700.0))
         counts = counts * cut / (cut + share * np.maximum(counts - 1, 0) / n_all)
         total[-1] += counts.sum()
-        beta = np.full((n, size + 1), -np.inf)
-        beta[:, size] = 0
+        beta = np.full((size + 1, n), -np.inf)
+        beta[size] = 0
+        which, found = [], []
         for i in range(size - 1, -1, -1):
-            out = [(k, arcs[i, k]) for k in range(1, min(self.longest, size - i) + 1) if (i, k) in arcs]
-            terms = np.full((len(out), n), -np.inf)
-            for r, (k, (at, ids)) in enumerate(out):
-                terms[r, at] = beta[at, i + k] + weights[ids]
-            top = terms.max(axis=0)
-            beta[:, i] = top + np.log(np.exp(terms - top).sum(axis=0))
-            for r, (_, (at, ids)) in enumerate(out):
-                found = np.exp(alpha[at, i] + terms[r, at] - alpha[at, size]) * counts[at]
-                total += np.bincount(ids, weights=found, minlength=len(total))
+            out = [(ids, at, beta[i + k][at] + weights[ids]) for k in range(1, min(self.longest, size - i) + 1) if (i, k) in arcs for at, ids in [arcs[i, k]]]
+            beta[i] = log_sums(n, [(at, x) for _, at, x in out])
+            for ids, at, x in out:
+                which.append(ids)
+                found.append(np.exp(alpha[i][at] + x - alpha[size][at]) * counts[at])
+        total += np.bincount(np.concatenate(which), weights=np.concatenate(found), minlength=len(total))
 
     def long_forward(self, word: bytes, weights: np.ndarray) -> float:
         """The same for one word of any length; the window of places it keeps is as long as the longest piece."""
@@ -166,7 +200,7 @@ class Lattice:
                 out[at] = [self.long_forward(b" " + words[i], weights) for i in at]
             else:
                 for k in range(0, len(at), 4096):
-                    out[at[k : k + 4096]] = self.forward(matrix([words[i] for i in at[k : k + 4096]]), weights)[:, -1]
+                    out[at[k : k + 4096]] = self.forward(matrix([words[i] for i in at[k : k + 4096]]), weights)[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray, share: float, n_all: float, total: np.ndarray) -> None:
@@ -188,6 +222,19 @@ def matrix(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8).reshape(len(words), -1)
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of words put together, PASS_WORDS or PASS_BYTES at a time, about."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PASS_WORDS or size >= PASS_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
 
@@ -221,7 +268,7 @@ def fit_weights(words: DataFrame, pieces: list[bytes], weights: np.ndarray, n_al
 
         def expect(batches, weights=weights, share=share):
             lattice, total = Lattice(pieces), np.zeros(len(pieces) + 1)
-            for batch in batches:
+            for batch in together(batches):
                 lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64), weights, share, float(n_all), total)
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at, type=pa.int64()), pa.array(total[at], type=pa.float64())], names=["piece", "n"])
@@ -261,13 +308,13 @@ def score_lm(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
     def scored(batches):
         lattice = Lattice(pieces)
-        for batch in batches:
+        for batch in together(batches):
             ws = batch.column("word").to_pylist()
             cut = np.log1p(-share) + lattice.scores(ws, weights)
             with np.errstate(divide="ignore"):
                 whole = np.log(share * batch.column("c").to_numpy() / max(1, got["n"]))
             values = np.logaddexp(cut, whole) / np.log(10) + log_more
-            yield pa.record_batch([*batch.columns, pa.array(values, type=pa.float64())], names=["word", "c", "lp"])
+            yield from batch.append_column("lp", pa.array(values, type=pa.float64())).to_batches(max_chunksize=8192)
 
     known = words.mapInArrow(scored, "word binary, c long, lp double")
     blocks = max(1, -(-int(sums["chars"] or 0) // p.block_bytes))

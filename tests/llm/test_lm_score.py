@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from scriptorium.llm import lm_score
 
@@ -26,6 +27,26 @@ def test_lattice_sums_over_all_cuts():
     assert math.isclose(spelled, 3.0) and math.isclose(total[-1], 1.0)  # the expected pieces spell the word
 
 
+def test_arcs_are_all_pieces_of_a_word_and_no_start_is_followed_for_nothing():
+    pieces, _ = lm_score.vocabulary(None)
+    lat, held = lm_score.Lattice(pieces), set(pieces)
+    words = lm_score.matrix([b"information", b"internation", b"zzqxjkwvbqz", "éé日本x".encode()])
+    got = {(w, i, k, int(x)) for (i, k), (at, ids) in lat.arcs(words).items() for w, x in zip(np.arange(len(words))[at].tolist(), ids, strict=True)}
+    want = {(w, i, j - i, lat.index[x]) for w, row in enumerate(words) for i in range(words.shape[1]) for j in range(i + 1, words.shape[1] + 1) if (x := row[i:j].tobytes()) in held}
+    assert got == want
+    for x in (b" info", b"nternat", b"\xc3"):  # beginnings of longer pieces are marked, so that what begins none can be left
+        h = sum((c + 1) * int(p) for c, p in zip(x, lm_score.powers(lm_score.POWER, len(x)), strict=True)) + len(x)
+        longer = any(len(y) > len(x) and y.startswith(x) for y in pieces)
+        assert not longer or lat.filter[lat.slot(np.array([h % (1 << 64)], dtype=np.uint64))[0]] & lm_score.BEGINNING
+
+
+def test_small_batches_of_words_are_scored_together():
+    batch = pa.record_batch([pa.array([b"word"] * 2000, type=pa.binary()), pa.array([1] * 2000)], names=["word", "c"])
+    assert [t.num_rows for t in lm_score.together(iter([batch] * 40))] == [66_000, 14_000]
+    long = pa.record_batch([pa.array([b"x" * (3 << 20)], type=pa.binary()), pa.array([1])], names=["word", "c"])
+    assert [t.num_rows for t in lm_score.together(iter([long] * 5))] == [2, 2, 1] and not list(lm_score.together(iter([])))
+
+
 def test_scores_against_counts(spark, docs):
     rows = [(i, f"The cat sat on the MAT {i % 5}\tand\nÉté {'x' * (i % 3 + 1)}") for i in range(30)]
     pieces, weights = lm_score.vocabulary(None)
