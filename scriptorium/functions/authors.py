@@ -54,8 +54,7 @@ def name_of(part: Column) -> Column:
 
 
 def is_name(part: Column) -> Column:
-    n = name_of(part)
-    return n.rlike(PERSON) & (F.length(n) <= 45) & n.rlike(r"\p{L}{2,}")
+    return let(name_of(part), lambda n: n.rlike(PERSON) & (F.length(n) <= 45) & n.rlike(r"\p{L}{2,}"))
 
 
 def marks_of(part: Column) -> Column:
@@ -64,12 +63,16 @@ def marks_of(part: Column) -> Column:
 
 def scores(line: Column) -> Column:
     """How well a line fits each label, as an array in their order."""
-    parts = parts_of(line)
-    named = F.size(F.filter(parts, is_name)) / F.greatest(F.size(parts), F.lit(1))
+    # what several labels look at is found once
+    names = let(parts_of(line), lambda parts: F.struct((F.size(F.filter(parts, is_name)) / F.greatest(F.size(parts), F.lit(1))).alias("named"), F.size(parts).alias("n")))
+    return let(F.struct(names.alias("names"), line.rlike(PLACES).alias("place"), line.rlike(ADDRESS).alias("address"), line.rlike(NOTE).alias("note")), lambda f: _scores(line, f))
+
+
+def _scores(line: Column, f: Column) -> Column:
+    named, place, address, note = f["names"]["named"], f["place"], f["address"], f["note"]
     words = F.size(F.split(strip(line), r"\s+"))
-    place, address, note = line.rlike(PLACES), line.rlike(ADDRESS), line.rlike(NOTE)
     number = lambda ok, yes, no: F.when(ok, F.lit(yes)).otherwise(F.lit(no))
-    listed = number((F.size(parts) > 1) & (named == 1), 1.0, 0.0)
+    listed = number((f["names"]["n"] > 1) & (named == 1), 1.0, 0.0)
     marked = number(line.rlike(r"\p{L}(?:\s?(?:" + MARK + r"))+(?:,|\s|$)"), 0.5, 0.0)
     lead = number(line.rlike(r"^\s*[(\[]?(?:\d+|[*†‡§¶#])[)\]]?\s*\p{Lu}"), 0.5, 0.0)
     return F.array(
@@ -83,6 +86,10 @@ def scores(line: Column) -> Column:
 
 def labelled(lines: Column, most: int = 25) -> Column:
     """The label (its number) of each line up to the abstract, `most` lines at most: the best sequence by dynamic programming over the lines."""
+    return _best(F.transform(head_lines(lines, most), scores))
+
+
+def _best(own: Column) -> Column:
     n = len(LABELS)
     table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in STEPS])
     begins = F.array(*[F.lit(float(x)) for x in BEGINS])
@@ -93,11 +100,10 @@ def labelled(lines: Column, most: int = 25) -> Column:
         """state: the best score of a sequence that ends with each label, and the sequence; own: the scores of the next line."""
         first = F.struct(F.transform(kinds, lambda k: own[k] - begins[k]).alias("best"), F.transform(kinds, lambda k: F.array(k)).alias("path"))
         came = F.transform(kinds, lambda k: F.array_max(F.transform(kinds, lambda j: F.struct((state["best"][j] - table[j][k]).alias("s"), (-j).alias("j")))))
-        best = F.zip_with(came, kinds, lambda c, k: c["s"] + own[k])
-        path = F.zip_with(came, kinds, lambda c, k: F.concat(state["path"][-c["j"]], F.array(k)))
-        return F.when(F.size(state["best"]) == 0, first).otherwise(F.struct(best.alias("best"), path.alias("path")))
+        best = lambda came: F.zip_with(came, kinds, lambda c, k: c["s"] + own[k])
+        path = lambda came: F.zip_with(came, kinds, lambda c, k: F.concat(state["path"][-c["j"]], F.array(k)))
+        return F.when(F.size(state["best"]) == 0, first).otherwise(let(came, lambda came: F.struct(best(came).alias("best"), path(came).alias("path"))))
 
-    own = F.transform(head_lines(lines, most), scores)
     end = lambda s: F.when(F.size(s["best"]) > 0, F.get(s["path"], (F.array_position(s["best"], F.array_max(s["best"])) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(own, none, step, end)
 
@@ -129,7 +135,7 @@ def authors(first_page: Column) -> Column:
     """
     lines = head_lines(F.split(F.coalesce(first_page, F.lit("")), "\n"))
     # each is computed once and read by what follows: an array around it binds it as a variable of the function
-    return let(F.struct(lines.alias("ls"), labelled(F.split(F.coalesce(first_page, F.lit("")), "\n")).alias("ks")), _authors)
+    return let(let(lines, lambda ls: F.struct(ls.alias("ls"), _best(F.transform(ls, scores)).alias("ks"))), _authors)
 
 
 def let(value: Column, body) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import flat
-from scriptorium.functions.text import is_formula, sanitize_for_extraction, strip, strip_markdown
+from scriptorium.functions.text import is_formula, let, sanitize_for_extraction, strip, strip_markdown
 
 #: Column names of descriptive tables.
 DESCRIPTIVE = (
@@ -43,7 +43,11 @@ def is_descriptive(headers: Column, rows: Column) -> Column:
 def is_valid_table(headers: Column, rows: Column, allow_descriptive: bool = True) -> Column:
     """Two headers that say something, none a formula or over 12 words, not mostly formulas, no plot's axes or labels; a single row needs three columns."""
     real = F.filter(F.transform(headers, lambda h: strip(h)), lambda h: (h != "") & ~h.rlike(r"^[\-:\s]+$"))
-    cells = cells_of(rows)
+    parts = F.struct(headers.alias("headers"), rows.alias("rows"), real.alias("real"), cells_of(rows).alias("cells"))
+    return let(parts, lambda p: _valid(p["headers"], p["rows"], p["real"], p["cells"], allow_descriptive))
+
+
+def _valid(headers: Column, rows: Column, real: Column, cells: Column, allow_descriptive: bool) -> Column:
     formulas = F.size(F.filter(cells, is_formula)) / F.nullif(F.size(cells), F.lit(0))
     ok = (F.size(headers) >= 2) & (F.size(rows) >= 1) & (F.size(real) >= 2) & (F.size(cells) > 0)
     ok = ok & ~F.exists(real, is_formula) & ~F.exists(real, lambda h: words_of(h) > 12) & (F.coalesce(formulas, F.lit(0.0)) <= 0.4)
@@ -65,7 +69,19 @@ def align_caption(caption: Column, language: Column) -> Column:
 def parse_markdown(text: Column, page: Column, language: Column) -> Column:
     """struct(caption, page_number, headers, rows, table_type) of a table with bars; null for figures, formulas and what is no table."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
-    head = F.transform(F.slice(lines, 1, 6), lambda x: strip_markdown(x))
+    parts = lambda ls: F.struct(ls.alias("lines"), F.transform(F.slice(ls, 1, 6), lambda x: strip_markdown(x)).alias("head"), F.filter(ls, lambda x: x.contains("|")).alias("bars"))
+    split = lambda x: F.transform(F.split(strip(x, "|"), r"\|"), lambda c: strip_markdown(c))
+
+    def cells(p: Column) -> Column:
+        bars = p["bars"]
+        start = F.when(F.get(bars, F.lit(1)).rlike(RULE), 3).otherwise(2)
+        rows = F.filter(F.transform(F.slice(bars, start, F.greatest(F.size(bars), F.lit(1))), split), lambda r: F.exists(r, lambda c: c != ""))
+        return F.struct(p.alias("p"), split(F.get(bars, F.lit(0))).alias("headers"), rows.alias("rows"))
+
+    return let(let(let(lines, parts), cells), lambda c: _parsed(c["p"]["lines"], c["p"]["head"], c["p"]["bars"], c["headers"], c["rows"], page, language))
+
+
+def _parsed(lines: Column, head: Column, bars: Column, headers: Column, rows: Column, page: Column, language: Column) -> Column:
     captions = F.filter(F.transform(head, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"(?i)^(?:Tabel|Table)\s+\d+\b") & ~s["x"].contains("|") & ~s["x"].rlike(INTRODUCES))
     at = F.get(captions, F.lit(0))["i"]
     caption = F.get(captions, F.lit(0))["x"]
@@ -75,11 +91,6 @@ def parse_markdown(text: Column, page: Column, language: Column) -> Column:
     goes_on = (after != "") & ~after.contains("|") & ~after.rlike(r"(?i)^(?:Table|Tabel|Figure|Gambar|BAB|Section|\d+\.)")
     open_end = caption.rlike(r"(?i)(?:\b(?:for|of|in|with|and|to|the|on|by|at|from|under|between|among)|-)$") | (~caption.endswith(".") & (F.length(caption) < 80))
     caption = F.when(F.coalesce(goes_on & open_end, F.lit(False)), F.concat_ws(" ", caption, after)).otherwise(caption)
-    bars = F.filter(lines, lambda x: x.contains("|"))
-    split = lambda x: F.transform(F.split(strip(x, "|"), r"\|"), lambda c: strip_markdown(c))
-    headers = split(F.get(bars, F.lit(0)))
-    start = F.when(F.get(bars, F.lit(1)).rlike(RULE), 3).otherwise(2)
-    rows = F.filter(F.transform(F.slice(bars, start, F.greatest(F.size(bars), F.lit(1))), split), lambda r: F.exists(r, lambda c: c != ""))
     named = F.filter(headers, lambda h: (h != "") & ~h.rlike(r"^[\-:\s]+$"))
     made = F.concat(F.lit("Table "), F.when(F.size(named) > 0, F.array_join(F.slice(named, 1, 2), " - ")).otherwise("Data"), F.lit(" (Page "), page.cast("string"), F.lit(")"))
     ok = ~F.coalesce(bad, F.lit(False)) & (F.size(bars) >= 2) & is_valid_table(headers, rows)

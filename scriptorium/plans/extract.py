@@ -13,7 +13,7 @@ from scriptorium.operators import metrics as me
 from scriptorium.operators import outline as ou
 from scriptorium.operators import tables as ta
 from scriptorium.plans.progress import Stages, watched
-from scriptorium.session import stored
+from scriptorium.session import dealt, stored
 
 
 def blocks_of_pages(pages: DataFrame) -> DataFrame:
@@ -45,10 +45,10 @@ def title_of(first_page):
 def documents(chunks: DataFrame, scheme: str = "doc", stages: Stages | None = None) -> DataFrame:
     """One row a document: id, name, in_language, date_published, doi, genre, publisher, keywords, authors, description, citations, metrics, formulas, codes, sections, tables.
 
-    The branches below all read the chunks, which are written to the shared folder first. stages gets the numbers of chunks,
+    The branches below all read the chunks, which are written to the shared folder first and dealt to tasks by document. stages gets the numbers of chunks,
     quantities, headings, sections, tables (those that don't parse are dropped) and documents of the run that writes the result.
     """
-    chunks = stored(watched(stages, chunks, "chunks", tables=F.col("chunk_type") == "table"))
+    chunks = dealt(stored(watched(stages, chunks, "chunks", tables=F.col("chunk_type") == "table")), "doc_id")
     head = chunks.where("chunk_seq <= 10")
     cover = join_text(ch.cover_chunks(chunks), "cover")
     first = join_text(chunks.where("page_idx = 1"), "first_page")

@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over all cores, for operators whose cost is in the expressions: adaptive execution, which goes by bytes, would leave small tables to a task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what several branches read is computed once, and a lost executor costs no recomputation."""
     path = shared_folder(df.sparkSession)

@@ -216,7 +216,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _papers_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_idx, text: a paper of three pages for each supplier."""
-    s = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = spread(t(spark, sf_dir, "supplier")).join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("s_suppkey").cast("string")
     one = F.concat(
         F.lit("A Careful Study of Water in Rivers number "), k, F.lit("\nAnn Lee1, Jo Ek2\n1 University of "), F.col("n_name"), F.lit("\n2 Institute of Rivers\nPublished: 5 March 2021\nhttps://doi.org/10.1000/r"), k,

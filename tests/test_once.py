@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import bibliography, metadata, text
-from scriptorium.operators import graph, merge, metrics, outline, validate
+from scriptorium.functions import authors, bibliography, metadata, text
+from scriptorium.operators import graph, merge, metrics, outline, tables, validate
 from scriptorium.queries import spread
+from scriptorium.session import dealt
 
 
 def optimized(df):
@@ -61,3 +62,22 @@ def test_claims_are_merged_not_broadcast(spark):
 
 def test_a_small_file_is_spread(spark):
     assert spread(spark.range(10).repartition(5)).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_of_authors_tables_and_publishers_are_taken_apart_once(spark):
+    assert times(spark, authors.scores, "graduate") == 1  # the pattern of members
+    assert times(spark, lambda c: tables.parse_markdown(c, F.lit(1), F.lit("en")), "^[|\\s\\-:]+$") == 1
+    assert times(spark, metadata.publisher, "Inderscience") == 1 and times(spark, metadata.publisher, "transactions") == 1
+    assert times(spark, lambda c: metadata.parse_date(F.reverse(c)), "reverse(") == 1
+
+
+def test_little_text_that_costs_much_is_dealt_over_all_cores(spark):
+    got = dealt(spark.range(1000).repartition(1), "id").groupBy("id").count()
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert spark.range(1000).repartition(1).groupBy("id").count().rdd.getNumPartitions() < 8
+
+
+def test_quantities_are_looked_for_where_a_number_follows(value):
+    names = lambda c: F.to_json(F.transform(metrics.extract_metrics(c, F.lit(1)), lambda m: F.concat(m["name"], F.lit("="), m["value"].cast("string"))))
+    assert value(names, "The mass is about 5 kg. Net weight: $ ,5 kg, and speed =\n.7 m/s; this is not: a number") == value(names, "The mass is approximately 5 kg. Net weight: $ ,5 kg, and speed =\n.7 m/s; this is not: a number")
+    assert "Mass=5.0" in value(names, "The mass is about 5 kg") and value(names, "what is: nothing of 7 kinds") == "[]"
