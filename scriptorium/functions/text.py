@@ -50,6 +50,10 @@ def strip(text: Column, chars: str | None = None) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE if chars is None else chars))
 
 
+#: What a text holds that strip_markdown changes within it, and what it takes off its ends.
+MARKED, EDGES = r"[*_`#~<\t]|  ", " \t\r\n-–—:;"
+
+
 def strip_markdown(text: Column) -> Column:
     """Fences, paired and stray markers and HTML tags go; runs of spaces become one; edges lose white space and punctuation."""
     steps = (
@@ -63,7 +67,7 @@ def strip_markdown(text: Column) -> Column:
         (r"[ \t]+", " "),
     )
     # a text without a marker, a tag, a tab or two spaces in a row is left as it is by every step
-    return strip(let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[*_`#~<\t]|  "), chain(t, *steps)).otherwise(t)), " \t\r\n-–—:;")
+    return strip(let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(MARKED), chain(t, *steps)).otherwise(t)), EDGES)
 
 
 def fix_ligatures(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import flat
-from scriptorium.functions.text import is_formula, let, sanitize_for_extraction, strip, strip_markdown
+from scriptorium.functions.text import EDGES, MARKED, is_formula, let, sanitize_for_extraction, strip, strip_markdown
 
 #: Column names of descriptive tables.
 DESCRIPTIVE = (
@@ -21,6 +21,8 @@ AXES = "α β γ δ θ λ μ σ τ ω 0 1 2 x y z d n c l a b m k r".split()
 PLOT_LABELS = ("coordinates", "layer", "tokens n", "check", "compared against", "add-one", "add-1", "add-half", "point", "points")
 FIGURE_LINE = r"(?i)^(?:Figure|Fig\.|Gambar|Bagan|Chart|Grafik|Plot|Diagram)\s+\d+"
 INTRODUCES = r"(?i)^(?:Tabel|Table)\s+\d+\s+(?:shows|presents|illustrates|displays|summarizes|provides|compares|is|was|were|menunjukkan|menyajikan|menjelaskan|memperlihatkan)\b"
+#: Captions that no cleaning changes: plain words with single spaces between them, no decimal that may be torn apart.
+PLAIN = r"^(?!.*\d ?\. ?\d)[A-Za-z0-9(][A-Za-z0-9().,]*(?: [A-Za-z0-9().,]+)*\z"
 RULE = r"^[|\s\-:]+$"
 
 words_of = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
@@ -119,7 +121,12 @@ def merge_key(caption: Column, headers: Column) -> Column:
     plain = F.left(strip(F.regexp_replace(F.lower(caption), r"\(?\s*(?:halaman|page)\s+\d+\s*\)?", "")), F.lit(30))
     number = F.regexp_extract(F.lower(caption), r"\b(?:table|tabel)\s*([0-9ivxlcdm]+)\b", 1)
     count = F.size(headers).cast("string")
-    return F.when(number != "", F.concat(F.lit("tbl_"), number, F.lit("_"), count)).when(token != "", F.concat(token, F.lit("::"), plain)).otherwise(F.concat(F.lit("cols_"), count, F.lit("::"), plain))
+    numbered = let(number, lambda n: F.when(n != "", F.concat(F.lit("tbl_"), n, F.lit("_"), count)))
+    return F.coalesce(numbered, let(F.struct(token.alias("token")), lambda s: _key_of_names(s["token"], plain, count)))
+
+
+def _key_of_names(token: Column, plain: Column, count: Column) -> Column:
+    return F.when(token != "", F.concat(token, F.lit("::"), plain)).otherwise(F.concat(F.lit("cols_"), count, F.lit("::"), plain))
 
 
 def consolidate(tables: DataFrame, language: Column | None = None) -> DataFrame:
@@ -129,18 +136,24 @@ def consolidate(tables: DataFrame, language: Column | None = None) -> DataFrame:
     its headers go, and the page is the last fragment's.
     """
     language = F.lit("en") if language is None else language
-    clean = F.transform("headers", lambda h: strip_markdown(h))
-    rows = tables.withColumn("headers", clean).withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda c: strip_markdown(c))))
-    caption = strip_markdown(sanitize_for_extraction(F.col("caption")))
-    rows = rows.withColumn("caption", F.when(caption == "", F.when(language == "en", "Table Data").otherwise("Tabel Data Dokumen")).otherwise(align_caption(caption, language)))
+    # one look at all cells of a fragment (a star for nulls): without a marker only their ends are trimmed
+    marked = lambda cells: F.coalesce(F.array_join(cells, "\n", "*").rlike(MARKED), F.lit(True))
+    each = lambda cells, f: F.transform(cells, lambda c: f(c))
+    ends = lambda c: strip(c, EDGES)
+    rows = tables.withColumn("headers", F.when(marked(F.col("headers")), each("headers", strip_markdown)).otherwise(each("headers", ends)))
+    rows = rows.withColumn("rows", let(F.col("rows"), lambda rs: F.when(marked(F.flatten(rs)), F.transform(rs, lambda r: each(r, strip_markdown))).otherwise(F.transform(rs, lambda r: each(r, ends)))))
+    named = lambda c: F.when(c == "", F.when(language == "en", "Table Data").otherwise("Tabel Data Dokumen")).otherwise(align_caption(c, language))
+    rows = rows.withColumn("caption", let(let(F.coalesce("caption", F.lit("")), lambda c: F.when(c.rlike(PLAIN), c).otherwise(strip_markdown(sanitize_for_extraction(c)))), named))
     rows = rows.withColumn("key", merge_key(F.col("caption"), F.col("headers")))
     w = Window.partitionBy("doc_id", "key").orderBy("page_number", "seq")
     rows = rows.withColumn("island", F.sum(F.when(F.col("page_number") - F.lag("page_number").over(w) <= 1, 0).otherwise(1)).over(w))
     part = F.struct("page_number", "seq", "caption", "headers", "rows")
     out = rows.groupBy("doc_id", "key", "island").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min("seq").alias("first_seq"), F.max("page_number").alias("page_number"))
     first = F.get("p", F.lit(0))
-    token = lambda r: F.transform(r, lambda c: F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]", ""))
-    more = F.flatten(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.filter(x["rows"], lambda r: token(r) != token(first["headers"]))))
-    out = out.select("doc_id", first["caption"].alias("caption"), "page_number", first["headers"].alias("headers"), F.concat(first["rows"], more).alias("rows"), "first_seq")
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]", "")
+    # the headers are brought to letters once a table; most rows differ from them in the first cell
+    other = lambda r, own: (plain(F.get(r, F.lit(0))) != F.get(own, F.lit(0))) | (F.transform(r, plain) != own)
+    more = let(F.transform(first["headers"], plain), lambda own: F.flatten(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.filter(x["rows"], lambda r: other(r, own)))))
+    out = out.select("doc_id", first["caption"].alias("caption"), "page_number", first["headers"].alias("headers"), F.when(F.size("p") > 1, F.concat(first["rows"], more)).otherwise(first["rows"]).alias("rows"), "first_seq")
     out = out.where(~F.col("caption").rlike(FIGURE_LINE))
     return out.withColumn("table_type", F.when(is_descriptive(F.col("headers"), F.col("rows")), "descriptive").otherwise("quantitative"))

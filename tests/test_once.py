@@ -71,6 +71,25 @@ def test_lines_of_authors_tables_and_publishers_are_taken_apart_once(spark):
     assert times(spark, lambda c: metadata.parse_date(F.reverse(c)), "reverse(") == 1
 
 
+def test_fragments_are_looked_at_once_and_cleaned_as_before(spark):
+    rows = [
+        (1, 1, "Table 1. 5 of  ﬁve", 1, ["*A*", " b:"], [["x  y", None], ["<b>1</b>", "- 2"]]),
+        (1, 2, "Table 1. 5 of five", 2, ["A", "b"], [["a", "B"], ["p ", "q"], ["a", "c"]]),
+        (2, 1, None, 1, ["A ", "b"], [[" 1", "2;"], [None, "3"]]),
+        (3, 1, "**Tabel 2**: Parts", 1, ["Part", "n"], []),
+        (4, 1, "Table 3. Plain parts", 1, ["Part", "n"], [["a", "1"]]),
+    ]
+    f = spark.createDataFrame(rows, "doc_id long, seq long, caption string, page_number int, headers array<string>, rows array<array<string>>")
+    got = tables.consolidate(f.repartition(2))
+    assert {r["doc_id"]: (r["caption"], r["headers"], r["rows"], r["page_number"]) for r in got.collect()} == {
+        1: ("Table 1.5 of five", ["A", "b"], [["x y", ""], ["1", "2"], ["p", "q"], ["a", "c"]], 2),
+        2: ("Table Data", ["A", "b"], [["1", "2"], ["", "3"]], 1),
+        3: ("Table 2: Parts", ["Part", "n"], [], 1),
+        4: ("Table 3. Plain parts", ["Part", "n"], [["a", "1"]], 1),
+    }
+    assert optimized(got).count("```") == 3  # cells, headers and the caption, each cleaned in one place
+
+
 def test_little_text_that_costs_much_is_dealt_over_all_cores(spark):
     got = dealt(spark.range(1000).repartition(1), "id").groupBy("id").count()
     assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
